@@ -7,10 +7,10 @@ bits of each minimum are kept as a packed signature of 128 bytes.  Two sets of s
 
 Buckets are classes with an equal band.  Their pairs are never all emitted:
 
-1. Stars: each class is linked to the smallest class of each of its buckets.  These pairs, linear in the bucket, are
-   estimated from their signatures and confirmed on the full sets.
-2. Rests: classes that stars (and two steps along them) have joined need no more comparison.  Only in buckets that still
-   hold several groups, classes of different groups are compared: in memory, by signature bits, each pair in its first
+1. Stars: each class is paired with the smallest and the largest class of each of its buckets.  These pairs, linear in
+   the bucket, are estimated from their signatures and confirmed on the full sets.
+2. Rests: classes in one component of the stars' links need no more comparison.  Only in buckets that still hold several
+   components, classes of different ones are compared: in memory, by signature bits, each pair in its first
    common band alone.  What passes leaves the task as one row of partners per class and is confirmed on the full sets.
    Buckets larger than a block are compared block against block in tasks of their own; no class and no pair is dropped.
 
@@ -244,21 +244,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = common.written(classes, "classes")
     members = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1").select("key", "leader")
+    shared = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1").select("key", "low", "high")
     buckets = common.written(members.join(shared, "key"), "buckets")
 
-    stars = common.written(_estimated(buckets.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), classes), "stars")
+    leaders = buckets.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a <> b")
+    stars = common.written(_estimated(leaders.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes), "stars")
     star_nodes = stars.select(F.col("a").alias("node")).union(stars.select(F.explode("partners").alias("node"))).distinct()
-    star_links = common.written(confirmed(stars, sets_of(star_nodes, classes, docs, id_col, text_col)), "links")
-    label = star_links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
-    for _ in range(2):
-        step = label.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        label = label.join(step, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"))
-    rests = common.written(_rests(buckets.select("key", "band", "node"), common.written(label, "labels"), classes), "rests")
+    star_links = confirmed(stars, sets_of(star_nodes, classes, docs, id_col, text_col))
+    label = common.written(connected_components(star_links).withColumnRenamed("component", "label"), "labels")
+    rests = common.written(_rests(buckets.select("key", "band", "node"), label, classes), "rests")
     rest_nodes = rests.select(F.col("a").alias("node")).union(rests.select(F.explode("partners").alias("node"))).distinct()
     rest_links = confirmed(rests, sets_of(rest_nodes, classes, docs, id_col, text_col))
 
-    component = common.written(connected_components(star_links.union(rest_links)), "components")
+    joined = label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest_links)
+    component = common.written(connected_components(joined), "components")
     named = component.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
     of_node = component.join(named, "component").select("node", "component_id")
     of_class = classes.select("node", "id").join(of_node, "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
