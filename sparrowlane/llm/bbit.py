@@ -10,9 +10,10 @@ Buckets are classes with an equal band.  Their pairs are never all emitted:
 1. Stars: each class is paired with the smallest and the largest class of each of its buckets.  These pairs, linear in
    the bucket, are estimated from their signatures and confirmed on the full sets.
 2. Rests: classes in one component of the stars' links need no more comparison.  Only in buckets that still hold several
-   components, classes of different ones are compared: in memory, by signature bits, each pair in its first
-   common band alone.  What passes leaves the task as one row of partners per class and is confirmed on the full sets.
-   Buckets larger than a block are compared block against block in tasks of their own; no class and no pair is dropped.
+   components, classes of different ones are compared: in memory, by signature bits, each pair in its first common band
+   alone.  What passes leaves the task as one row of partners per class; the full sets of these classes are brought to
+   the task again and confirm enough links to join all that belong together.  Buckets larger than a block are compared
+   block against block in tasks of their own; no class and no pair is dropped.
 
 The estimate from equal low bits is corrected for chance, J = (E - 2^-b) / (1 - 2^-b).  Pairs under 0.64 are dropped: four
 standard deviations below 0.75.  Confirmation counts the intersection of the sets (100 * common >= 75 * all).
@@ -173,6 +174,11 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return near.select("a", "b", "x", "y").mapInArrow(estimate, "a long, b long").select("a", F.array("b").alias("partners"))
 
 
+_TASK = ["key", "first", "second"]
+_REST = "key long, first int, second int, node long, partners array<long>"
+_REST_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+
+
 def _compare(table: dict[str, np.ndarray], first: int, second: int) -> list[tuple[int, np.ndarray]]:
     """Partners of each class of block ``first`` in block ``second``: of other groups, near by bits, no earlier band shared."""
     out = []
@@ -194,7 +200,7 @@ def _compare(table: dict[str, np.ndarray], first: int, second: int) -> list[tupl
 
 
 def _rests(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """``a, partners``: candidates between groups in buckets that hold several."""
+    """``key, first, second, node, partners``: the classes of each task with candidates in other groups, and the candidates."""
     spark = buckets.sparkSession
     labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "size")
@@ -203,7 +209,7 @@ def _rests(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", "band", "node", "label", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     rows = rows.join(classes.select("node", "n", "bits", "bands"), "node")
-    task = ["key", "first", "second"]
+    task = _TASK
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(*task, "block", "band", "node", "label", "n", "bits", "bands").repartition(parts, *task).sortWithinPartitions(*task, "node")
 
@@ -214,13 +220,49 @@ def _rests(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
             columns = {c: table.column(c).to_numpy() for c in ("node", "label", "n", "block", "band")}
             columns["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(table.num_rows, -1)
             columns["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, BANDS)
-            found = []
+            rows = []
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                found += _compare({c: v[a:b] for c, v in columns.items()}, int(keys[a, 1]), int(keys[a, 2]))
+                own = dict(_compare({c: v[a:b] for c, v in columns.items()}, int(keys[a, 1]), int(keys[a, 2])))
+                ends = np.setdiff1d(np.concatenate(list(own.values())), list(own)).tolist() if own else []
+                rows += [(*keys[a].tolist(), n, p) for n, p in own.items()] + [(*keys[a].tolist(), n, []) for n in ends]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _REST_TYPES, strict=True)], [*_TASK, "node", "partners"])
+
+    return dealt.mapInArrow(compare, _REST)
+
+
+def _confirmed_rests(rests: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join all classes which the full sets join within a task; a spanning set, so linear in the classes."""
+    parts = int(rests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rests.join(sets, "node").select(*_TASK, "node", "partners", "shingles").repartition(parts, *_TASK).sortWithinPartitions(*_TASK, "node")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_tasks(batches, _TASK):
+            keys = np.stack([table.column(c).to_numpy() for c in _TASK], axis=1)
+            starts = np.flatnonzero(np.insert((keys[1:] != keys[:-1]).any(axis=1), 0, True)).tolist()
+            nodes, partners, packed = table.column("node").to_pylist(), table.column("partners").to_pylist(), table.column("shingles").combine_chunks()
+            found = []
+            for first, last in zip(starts, [*starts[1:], table.num_rows], strict=True):
+                place = {nodes[i]: i for i in range(first, last)}
+                sets_of_task = {n: np.frombuffer(packed[i].as_buffer(), np.uint64) for n, i in place.items()}
+                root = {n: n for n in place}
+
+                def top(n: int, root: dict = root) -> int:
+                    while root[n] != n:
+                        root[n] = root[root[n]]
+                        n = root[n]
+                    return n
+
+                for n, i in place.items():
+                    for other in partners[i]:
+                        a, b = top(n), top(other)
+                        if a != b and linked(sets_of_task[n], sets_of_task[other]):
+                            root[max(a, b)] = min(a, b)
+                            found.append((n, other))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.list_(pa.int64()))], ["a", "partners"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    return dealt.mapInArrow(compare, "a long, partners array<long>")
+    return rows.mapInArrow(confirm, "a long, b long")
 
 
 def _whole_tasks(batches: Iterator[pa.RecordBatch], task: list[str]) -> Iterator[pa.Table]:
@@ -253,8 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star_links = confirmed(stars, sets_of(star_nodes, classes, docs, id_col, text_col))
     label = common.written(connected_components(star_links).withColumnRenamed("component", "label"), "labels")
     rests = common.written(_rests(buckets.select("key", "band", "node"), label, classes), "rests")
-    rest_nodes = rests.select(F.col("a").alias("node")).union(rests.select(F.explode("partners").alias("node"))).distinct()
-    rest_links = confirmed(rests, sets_of(rest_nodes, classes, docs, id_col, text_col))
+    rest_links = _confirmed_rests(rests, sets_of(rests.select("node").distinct(), classes, docs, id_col, text_col))
 
     joined = label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest_links)
     component = common.written(connected_components(joined), "components")

@@ -8,7 +8,6 @@ more memory than a batch of short ones.
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import workers_can_import
+
 SLICE_BYTES = 8 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -30,15 +31,6 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 # ---------------------------------------------------------------- shared folder
 
-def workers_can_import(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it by ``sys.path`` alone."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if root not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (have, root) if x)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
     workers_can_import(spark)
