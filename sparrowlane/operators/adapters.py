@@ -43,6 +43,16 @@ def orthogonal(p: np.ndarray, scale: np.ndarray) -> Callable[[np.ndarray], np.nd
     return lambda x: _unit((x @ w.T) * scale)
 
 
+KINDS = {"projection": projection, "mlp": mlp, "low_rank": low_rank, "orthogonal": orthogonal}
+
+
+def create(kind: str, *weights: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """The forward pass of an adapter kind."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown adapter: {kind}")
+    return KINDS[kind](*weights)
+
+
 def applied(df: DataFrame, forward: Callable[[np.ndarray], np.ndarray], vec_col: str, out: str, *keep: str) -> DataFrame:
     """``keep`` and ``out``: the forward pass of each vector, a batch at a time."""
     fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
@@ -107,3 +117,19 @@ def evolve(df: DataFrame, members: int, seed: int, fitness: Callable[[np.ndarray
     found = spark.range(members).mapInArrow(score, "member long, fitness double")
     stats = found.agg(F.avg("fitness").alias("mean"), F.stddev_pop("fitness").alias("std"))
     return found.join(F.broadcast(stats)).select("member", "fitness", F.when(F.col("std") > 0, (F.col("fitness") - F.col("mean")) / F.col("std")).otherwise(0.0).alias("shaped"))
+
+
+def fit_logistic(rows: DataFrame, features: list[str], target: str, rate: float = 0.08, epochs: int = 300, l2: float = 0.01, most_rows: int = 100_000) -> tuple[np.ndarray, float]:
+    """Weights of standardised features and bias: class-balanced, L2, plain gradient steps; refuses more than ``most_rows``."""
+    if rows.count() > most_rows:
+        raise ValueError("aggregate the rows first")
+    data = np.array([tuple(r) for r in rows.select(*features, target).collect()], float)
+    x, y = data[:, :-1], data[:, -1]
+    x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    share = np.where(y > 0, len(y) / max(1.0, 2 * y.sum()), len(y) / max(1.0, 2 * (1 - y).sum()))
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(epochs):
+        error = share * (1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y)
+        w -= rate * (x.T @ error / len(y) + l2 * w)
+        b -= rate * error.mean()
+    return w, float(b)

@@ -2,15 +2,46 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_ARROW_BYTES, OWN_ARROW_BYTES = 64 << 20, 16 << 20
+
+
 def workers_can_import(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver found it by ``sys.path`` alone."""
+    """Let Python workers import this package when the driver found it by ``sys.path`` alone.
+
+    Arrow batches are also held to 16 MB where the session has Spark's default of 64 MB: rows with long texts would
+    otherwise fill a worker several times over.
+    """
+    if spark.conf.get(ARROW_BYTES, f"{DEFAULT_ARROW_BYTES}b").rstrip("b") == str(DEFAULT_ARROW_BYTES):
+        spark.conf.set(ARROW_BYTES, f"{OWN_ARROW_BYTES}b")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (have, root) if x)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    workers_can_import(spark)
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        path = tempfile.mkdtemp(prefix="sparrowlane-")
+        found = f"file://{path}"
+        spark.conf.set("spark.checkpoint.dir", found)
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return found
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_folder(spark).rstrip('/')}/sparrowlane-{name}-{uuid.uuid4().hex}"
