@@ -7,9 +7,6 @@ more memory than a batch of short ones.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import workers_can_import
+from ..session import new_path, workers_can_import
 
 SLICE_BYTES = 8 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -31,28 +28,6 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 # ---------------------------------------------------------------- shared folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
-    workers_can_import(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='sparrowlane-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(_remove_local, found.removeprefix("file://"))
-    return found
-
-
-def _remove_local(path: str) -> None:
-    import shutil
-
-    shutil.rmtree(path, ignore_errors=True)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_folder(spark).rstrip('/')}/sparrowlane-{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives the loss of executors."""
     spark = df.sparkSession

@@ -194,9 +194,10 @@ def cleaned(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id",
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, removed = batch.column(text_col).to_pylist(), batch.column("__removed").to_pylist()
-            new = [without_lines(t, set(r)) if t and r else t for t, r in zip(texts, removed, strict=True)]
-            yield batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type))
+            for part in common.slices(batch, text_col):
+                texts, removed = part.column(text_col).to_pylist(), part.column("__removed").to_pylist()
+                new = [without_lines(t, set(r)) if t and r else t for t, r in zip(texts, removed, strict=True)]
+                yield part.set_column(place, part.schema.field(place), pa.array(new, part.schema.field(place).type))
 
     out = joined.mapInArrow(clean, schema).drop("__removed")
     return out.select(*docs.columns)
@@ -210,7 +211,8 @@ def _with_text_hash(docs: DataFrame, text_col: str) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = pa.array(common.hash_strings(common.texts_of(batch.column(text_col))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], [*batch.schema.names, "__text_hash"])
+            for part in common.slices(batch, text_col):
+                hashes = pa.array(common.hash_strings(common.texts_of(part.column(text_col))).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, hashes], [*part.schema.names, "__text_hash"])
 
     return docs.mapInArrow(add, schema)

@@ -37,6 +37,7 @@ MOST_ROWS = 16_384
 MOST_ENTRIES = 4096
 LEAST_RATIO = 30.0  # likelihood ratio of an entry
 PREFIXES = range(4, 13)
+COUNTED_KEYS = 200_000  # that a task holds before it hands on its sums
 THRESHOLD = 0.7
 
 # fixed values: letters of other scripts that look like Latin ones
@@ -135,16 +136,22 @@ def likelihood_ratio(t: np.ndarray, f: np.ndarray, toxic: int, clean: int) -> np
 
 
 def _counted(sample: DataFrame, keys_of, kept: frozenset[str] | None = None) -> DataFrame:
-    """``key, toxic, clean``: in how many texts of either label each key is; summed in each batch before the shuffle."""
+    """``key, toxic, clean``: in how many texts of either label each key is; summed in bounded tables before the shuffle."""
+
+    def flushed(found: tuple[Counter, Counter]) -> pa.RecordBatch:
+        keys = list(found[0].keys() | found[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[0][k] for k in keys], pa.int64()), pa.array([found[1][k] for k in keys], pa.int64())], ["key", "toxic", "clean"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            found: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                keys = keys_of(fold(text or ""))
+            for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                keys = keys_of(fold(text.as_py() or ""))
                 found[1 - label].update(keys if kept is None else keys & kept)
-            keys = list(found[0].keys() | found[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[0][k] for k in keys], pa.int64()), pa.array([found[1][k] for k in keys], pa.int64())], ["key", "toxic", "clean"])
+                if len(found[0]) + len(found[1]) > COUNTED_KEYS:
+                    yield flushed(found)
+                    found = (Counter(), Counter())
+        yield flushed(found)
 
     out = sample.mapInArrow(count, "key string, toxic long, clean long")
     return out.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
@@ -227,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ent
 
     def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [lexicon.density(fold(t or ""), automaton) for t in batch.column("text").to_pylist()]
+            found = [lexicon.density(fold(t.as_py() or ""), automaton) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("toxic")], ["x", "y"])
 
     points = sample.mapInArrow(densities, "x double, y int").collect()  # two numbers for each of the bounded rows
@@ -237,24 +244,31 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ent
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of ``docs`` and score, predicted (1 from ``threshold`` on)."""
-    from pyspark.sql.types import DoubleType, StructType
+    """``id_col``, score, predicted (1 from ``threshold`` on); one text at a time leaves the Arrow batch."""
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
     common.workers_can_import(docs.sparkSession)
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    schema = StructType([packed.schema["row"]]).add("score", DoubleType())
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("score", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            found = [lexicon.score(lexicon.density(fold(t or ""), automaton)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.float64())], ["row", "score"])
+            found = [lexicon.score(lexicon.density(fold(t.as_py() or ""), automaton)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.float64())], ["id", "score"])
 
-    out = packed.mapInArrow(score, schema)
-    return out.select("row.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, schema)
+    return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with a score under ``threshold``, with their own columns."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    return scored(packed, lexicon, "row", "text", threshold).where("predicted = 0").select("row.*")
+    """The rows of ``docs`` with a score under ``threshold``; rows pass through the function, nothing is added to them."""
+    common.workers_can_import(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in batches:
+            for part in common.slices(batch, text_col):
+                low = [lexicon.score(lexicon.density(fold(t.as_py() or ""), automaton)) < threshold for t in part.column(text_col)]
+                yield part.filter(pa.array(low, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
