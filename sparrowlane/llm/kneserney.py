@@ -40,7 +40,7 @@ from .warc import open_fs
 
 BEGIN = common.mix(np.array([0xB361], np.uint64))[0]
 END = common.mix(np.array([0xE17D], np.uint64))[0]
-FLUSH_TOKENS = 4 << 20
+FLUSH_TOKENS = 2 << 20
 PART_BYTES = 4 << 20  # of input for each part
 SALT = 4
 
