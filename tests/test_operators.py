@@ -307,3 +307,15 @@ def test_streams(spark, tiny, tmp_path):
     assert spark.sql("select sum(n) from (select key, max(n) n from limits group by key)").first()[0] == 1000
     rollups.upsert_batches(stream, lambda df, n: df.select("event_id"), str(tmp_path / "c3"), str(tmp_path / "out")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
+
+
+def test_logistic_fit(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(80, 2))
+    rows = [(float(a), float(b), float(a - b > 0)) for a, b in x]
+    w, _ = adapters.fit_logistic(spark.createDataFrame(rows, "a double, b double, y double"), ["a", "b"], "y")
+    assert w[0] > 0.5 and w[1] < -0.5
+    with pytest.raises(ValueError):
+        adapters.fit_logistic(spark.range(9).selectExpr("id a", "id y"), ["a"], "y", most_rows=3)
+    with pytest.raises(ValueError):
+        adapters.create("unknown")
