@@ -6,12 +6,13 @@ stands for both.  Everything else but letters and digits becomes a space, invisi
 
 The lexicon is learned from labelled rows: words and word beginnings (which catch compounds and inflections) that toxic
 texts have far more often than others, by the likelihood ratio; a beginning stands for all longer entries under it.  A
-weight is the logarithm of the ratio of the two rates.  Exception phrases are an entry with a word before or after it
-that only clean texts have; an entry inside one does not count.  A text's sum of weights per 100 words goes through a
-logistic curve fitted on the same rows.
+weight is the logarithm of the ratio of the two rates.  An entry must be in a share of the toxic texts, so that words of
+one group of copies are none.  Exception phrases are an entry with a word before or after it that only clean texts have;
+an entry inside one does not count.  A text's sum of weights, per 100 words and as it is (long texts may be toxic in a
+few places), goes through a logistic curve fitted on the same rows.
 
 The fit reads at most ``most_rows`` labelled rows (chosen by hash of the id: a documented bound); their texts are found by
-a broadcast of these ids, counted in Spark, and only lexicons of bounded size and one number per row reach the driver.
+a broadcast of these ids, counted in Spark, and only lexicons of bounded size and three numbers per row reach the driver.
 Scoring reads every whole text once and shuffles nothing.
 
 Null and empty texts have no matches and get the curve's score of 0.  Rows with a null id or label teach nothing; of
@@ -36,6 +37,8 @@ from . import common
 MOST_ROWS = 16_384
 MOST_ENTRIES = 4096
 LEAST_RATIO = 30.0  # likelihood ratio of an entry
+LEAST_SHARE = 0.02  # of toxic texts that have it
+SAME_TEXTS = 0.95
 PREFIXES = range(4, 13)
 COUNTED_KEYS = 200_000  # that a task holds before it hands on its sums
 THRESHOLD = 0.7
@@ -83,7 +86,7 @@ class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: frozenset[str] = frozenset()
     bias: float = -30.0
-    slope: float = 0.0
+    slopes: tuple[float, float] = (0.0, 0.0)
 
     def automaton(self):
         """Aho-Corasick over entries and exceptions, each from a word's start."""
@@ -113,12 +116,13 @@ class Lexicon:
                 best[start] = (end, weight)
         return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in spared)]
 
-    def density(self, words: list[str], automaton) -> float:
-        """Summed weights per 100 words."""
-        return 100.0 * sum(w for _, _, w in self.hits(words, automaton)) / max(1, len(words))
+    def features(self, words: list[str], automaton) -> tuple[float, float]:
+        """log(1 + x) of the summed weights per 100 words, and of their sum."""
+        total = sum(w for _, _, w in self.hits(words, automaton))
+        return math.log1p(100.0 * total / max(1, len(words))), math.log1p(total)
 
-    def score(self, density: float) -> float:
-        z = self.bias + self.slope * math.log1p(density)
+    def score(self, features: tuple[float, float]) -> float:
+        z = self.bias + self.slopes[0] * features[0] + self.slopes[1] * features[1]
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 
 
@@ -158,37 +162,42 @@ def _counted(sample: DataFrame, keys_of, kept: frozenset[str] | None = None) ->
 
 
 def _choose(rows: list, toxic: int, clean: int, most_entries: int) -> dict[str, float]:
-    """Weights of the entries over the least ratio; a beginning replaces everything under it."""
-    t, f = (np.array([r[k] for r in rows], float) for k in ("toxic", "clean"))
-    if not len(rows):
+    """Weights of the entries over the least ratio.
+
+    A beginning replaces everything under it, unless one longer entry under it has nearly all of its toxic texts: then
+    the longer one says it better.
+    """
+    if not rows:
         return {}
+    t, f = (np.array([r[k] for r in rows], float) for k in ("toxic", "clean"))
     ratio = likelihood_ratio(t, f, toxic, clean)
     weight = np.log((t + 0.5) / (toxic + 1)) - np.log((f + 0.5) / (clean + 1))
     # an entry that clean texts have too must at least be many times as frequent in toxic ones
-    good = (ratio >= LEAST_RATIO) & (weight >= math.log(20))
+    good = np.flatnonzero((ratio >= LEAST_RATIO) & (weight >= math.log(20)))
+    texts = {rows[i]["key"]: t[i] for i in good}
+    beginnings = lambda key: [key[:k] + "*" for k in PREFIXES if k < len(key.rstrip("*"))]
+    said_better = {p for key, n in texts.items() for p in beginnings(key) if n >= SAME_TEXTS * texts.get(p, math.inf)}
     chosen: dict[str, float] = {}
-    for i in sorted(np.flatnonzero(good), key=lambda i: (len(rows[i]["key"].rstrip("*")), rows[i]["key"])):
+    for i in sorted(good, key=lambda i: (len(rows[i]["key"].rstrip("*")), rows[i]["key"])):
         key = rows[i]["key"]
-        stem = key.rstrip("*")
-        if not any(stem[:k] + "*" in chosen for k in PREFIXES if k <= len(stem)):
+        if key not in said_better and not any(p in chosen for p in beginnings(key)):
             chosen[key] = float(weight[i])
     order = sorted(chosen, key=lambda k: (-chosen[k], k))[:most_entries]
     return {k: chosen[k] for k in order}
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Bias and slope of a logistic curve of log(1 + density), lightly regularised; by Newton's steps."""
-    z, theta = np.log1p(x), np.zeros(2)
-    design = np.stack([np.ones_like(z), z], axis=1)
+def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, float]]:
+    """Bias and slopes of a logistic curve of two features, lightly regularised; by Newton's steps."""
+    design, theta = np.column_stack([np.ones(len(x)), x]), np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
         gradient = design.T @ (p - y) + 0.01 * theta
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(3)
         step = np.linalg.solve(hessian, gradient)
         theta -= step
         if np.abs(step).max() < 1e-9:
             break
-    return float(theta[0]), float(theta[1])
+    return float(theta[0]), (float(theta[1]), float(theta[2]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -209,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ent
     if not toxic or not clean:
         return Lexicon()
     # what enough toxic texts have, then in how many clean texts that is
-    least = max(2, math.ceil(LEAST_RATIO / (2 * math.log((toxic + clean) / toxic))))
+    least = max(2, math.ceil(LEAST_RATIO / (2 * math.log((toxic + clean) / toxic))), math.ceil(LEAST_SHARE * toxic))
     common_keys = _counted(sample.where("toxic = 1"), _patterns).where(F.col("toxic") >= least)
     candidates = frozenset(r["key"] for r in common_keys.orderBy(F.col("toxic").desc(), "key").limit(64 * most_entries).select("key").collect())
     rows = _counted(sample, _patterns, candidates).where(F.col("clean") * 20 * toxic <= F.col("toxic") * clean).collect()
@@ -232,14 +241,14 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ent
     lexicon.exceptions = frozenset(r["key"] for r in spared)
     automaton = lexicon.automaton()
 
-    def densities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [lexicon.density(fold(t.as_py() or ""), automaton) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("toxic")], ["x", "y"])
+            found = [lexicon.features(fold(t.as_py() or ""), automaton) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.float64()), pa.array([b for _, b in found], pa.float64()), batch.column("toxic")], ["dense", "total", "y"])
 
-    points = sample.mapInArrow(densities, "x double, y int").collect()  # two numbers for each of the bounded rows
+    points = sample.mapInArrow(measured, "dense double, total double, y int").collect()  # three numbers for each of the bounded rows
     points.sort()
-    lexicon.bias, lexicon.slope = _fit_curve(np.array([p["x"] for p in points]), np.array([p["y"] for p in points], float))
+    lexicon.bias, lexicon.slopes = _fit_curve(np.array([p[:2] for p in points]), np.array([p["y"] for p in points], float))
     return lexicon
 
 
@@ -253,7 +262,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            found = [lexicon.score(lexicon.density(fold(t.as_py() or ""), automaton)) for t in batch.column("text")]
+            found = [lexicon.score(lexicon.features(fold(t.as_py() or ""), automaton)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.float64())], ["id", "score"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(score, schema)
@@ -268,7 +277,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", thr
         automaton = lexicon.automaton()
         for batch in batches:
             for part in common.slices(batch, text_col):
-                low = [lexicon.score(lexicon.density(fold(t.as_py() or ""), automaton)) < threshold for t in part.column(text_col)]
+                low = [lexicon.score(lexicon.features(fold(t.as_py() or ""), automaton)) < threshold for t in part.column(text_col)]
                 yield part.filter(pa.array(low, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -147,7 +147,13 @@ def test_stages_by_brute_force(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{tmp_path}/labels.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     lexicon = toxicity.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
-    left = [r for r in rows if lexicon.score(100 * hits_by_force(lexicon, toxicity.fold(r[1] or "")) / max(1, len(toxicity.fold(r[1] or "")))) < 0.7]
+
+    def score(text):
+        words = toxicity.fold(text or "")
+        total = hits_by_force(lexicon, words)
+        return lexicon.score((math.log1p(100 * total / max(1, len(words))), math.log1p(total)))
+
+    left = [r for r in rows if score(r[1]) < 0.7]
     assert {r[0] for r in rows if r[0] and r[0] >= 5000}.isdisjoint(r[0] for r in left)
     from sparrowlane.llm.linefreq import Limits
 

@@ -122,11 +122,12 @@ def hits_by_force(lexicon, words_):
 
 def test_matching_equals_naive_search():
     rng = random.Random(6)
-    lexicon = toxicity.Lexicon({"ab*": 1.0, "abc": 2.5, "cc": 1.0, "a*": 0.5}, frozenset({"cc x", "x abc"}), 0.0, 1.0)
+    lexicon = toxicity.Lexicon({"ab*": 1.0, "abc": 2.5, "cc": 1.0, "a*": 0.5}, frozenset({"cc x", "x abc"}))
     automaton = lexicon.automaton()
     for _ in range(300):
         w = [rng.choice(["ab", "abc", "cc", "x", "abcd", "b", "a"]) for _ in range(rng.randrange(12))]
-        assert lexicon.density(w, automaton) == pytest.approx(100 * hits_by_force(lexicon, w) / max(1, len(w)))
+        total = hits_by_force(lexicon, w)
+        assert lexicon.features(w, automaton) == pytest.approx((math.log1p(100 * total / max(1, len(w))), math.log1p(total)))
 
 
 def test_held_out_accuracy(spark, small):
