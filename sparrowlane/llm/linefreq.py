@@ -42,7 +42,7 @@ class Limits:
     repeat_percent: int = 30
     most_documents: int = 20
     most_share: float = 0.01
-    least_words: int = 20
+    least_words: int = 5
     most_removed: float = 0.8
 
 
