@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# fixed values: the simulated devices
 #: name, fetch microseconds, branch microseconds, queue depth, gigaflops
 DEVICES = [("rp2040", 500.0, 10.0, 2, 0.01), ("consumer_nvme", 100.0, 1.0, 16, 1.0), ("smartssd", 50.0, 2.0, 64, 60.0), ("dpu_storage", 25.0, 2.0, 128, 200.0)]
 SECTOR, RESULT_LBA = 512, 100

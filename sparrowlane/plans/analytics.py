@@ -390,7 +390,7 @@ def comparative_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("AGG-36", f"SELECT {R('avg(CASE WHEN event_type LIKE (SELECT min(event_type) FROM events) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS rate, count(*) AS n FROM events")
-def chelate_rate(spark: SparkSession, d: str) -> DataFrame:
+def rerank_rate(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
     first = F.broadcast(e.agg(F.min("event_type").alias("first")))
     return e.crossJoin(first).agg(r6(F.avg(F.when(F.col("event_type") == F.col("first"), 1.0).otherwise(0.0))).alias("rate"), F.count("*").alias("n"))
