@@ -19,7 +19,7 @@ import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 500_000
 BATCH_BYTES = 1 << 18
 _SPACE, _LINE_FEED = 0x20, 0x0A
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
