@@ -15,8 +15,10 @@ from pyspark.sql.window import Window
 from ..functions import vector as V
 from ..operators import neighborhood as N
 from ..operators.topk import cosine_top_k
+from ..session import written
 
 SCOUT_K, RESULT_K = 50, 10
+BROADCAST_HITS = 200_000  # of three numbers each
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +38,15 @@ def centroids(rows: DataFrame) -> DataFrame:
 
 
 def scout(spark: SparkSession, sf_dir: str, k: int = SCOUT_K) -> DataFrame:
-    """query_id, rank, vec_id, score, label, v, q."""
+    """query_id, rank, vec_id, score, label, v, q; written once, since spread, masks and re-ranking all read it.
+
+    The hits are few (``k`` for each query), so their vectors are fetched by a broadcast of them where that is checked.
+    """
     rows = corpus(spark, sf_dir)
-    queries = centroids(rows)
-    top = cosine_top_k(rows, queries, k)
-    return top.join(rows, "vec_id").join(queries, "query_id")
+    queries = written(centroids(rows), "centroids")
+    top = written(cosine_top_k(rows, queries, k), "hits")
+    side = F.broadcast(top) if top.count() <= BROADCAST_HITS else top
+    return written(rows.join(side, "vec_id").join(queries, "query_id"), "scout")
 
 
 def reranked(hits: DataFrame, percentile: float = 0.85) -> DataFrame:
