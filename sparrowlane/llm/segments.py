@@ -75,20 +75,33 @@ def byte_batches(texts: Iterable[str], most: int = BATCH_BYTES) -> Iterator[list
 
 
 class SegmentMemo:
-    """What ``encode`` makes of segments: a bytes value for each text of a list."""
+    """What ``encode`` makes of segments: a bytes value for each text of a list.
+
+    Two generations hold at most about ``entries``: when the young one has half of them it becomes the old one, which is
+    dropped then; what is used again moves to the young one, so frequent segments stay.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = MEMO_ENTRIES):
         self.encode, self.entries = encode, entries
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def of_distinct(self, texts: list[str]) -> list[bytes]:
-        unknown = [x for x in texts if x not in self.known]
-        if len(self.known) + len(unknown) > self.entries:
-            self.known.clear()
-            unknown = texts
+        if len(self.young) > self.entries // 2:
+            self.young, self.old = {}, self.young
+        out = [self.young.get(x) for x in texts]
+        unknown = []
+        for i, value in enumerate(out):
+            if value is None:
+                text = texts[i]
+                value = out[i] = self.old.get(text)
+                if value is None:
+                    unknown.append(text)
+                else:
+                    self.young[text] = value
         for batch in byte_batches(unknown):
-            self.known.update(zip(batch, self.encode(batch), strict=True))
-        return [self.known[x] for x in texts]
+            self.young.update(zip(batch, self.encode(batch), strict=True))
+        return [self.young[x] if v is None else v for x, v in zip(texts, out, strict=True)] if unknown else out
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The 32-bit ids of all texts in order, and offsets: text i has ``offsets[i]`` up to the next."""
