@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .segments import hf_memo
+from .segments import MEMO_ENTRIES, hf_memo
 
 CAPACITY = 4096
 END_ID = 1
@@ -81,14 +81,14 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return number, offset
 
 
-def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """``id_col``, piece, start, length, ids_crc32 of each piece of each row's encoded text, and ``deal`` to group by."""
     common.workers_can_import(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = hf_memo(tokenizer_path)
+        memo = hf_memo(tokenizer_path, memo_entries)
         for batch in batches:
             for part in common.slices(batch, "text"):
                 texts = common.texts_of(part.column("text"))
@@ -129,7 +129,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
     return grouped.applyInArrow(packed, f"{id_col} {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """One row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = common.written(pieces(df, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
+    """One row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset.
+
+    ``memo_entries`` trades a worker's memory (about 200 bytes each) for encoding time; it has no part in the result.
+    """
+    cut = common.written(pieces(df, tokenizer_path, capacity, end_id, id_col, text_col, memo_entries), "pieces")
     return pack(cut, capacity, group_pieces, id_col)

@@ -42,7 +42,7 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(common.read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return packing.pack_documents(common.read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), memo_entries=1_200_000)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,6 @@ def hf_tokenizer(path: str):
 
 
 @lru_cache(maxsize=4)
-def hf_memo(path: str) -> SegmentMemo:
+def hf_memo(path: str, entries: int = MEMO_ENTRIES) -> SegmentMemo:
     tokenizer = hf_tokenizer(path)
-    return SegmentMemo(lambda texts: [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    return SegmentMemo(lambda texts: [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], entries)
