@@ -1,7 +1,7 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, for log10 probabilities and perplexity.
+"""Interpolated modified Kneser-Ney model of order two or three, counted in Spark, for log10 probabilities and perplexity.
 
-A text is its words (A-Z lower-cased) and one end; the first word follows a begin mark.  Words and word pairs are known by
-64-bit hashes.
+A text is its words (A-Z lower-cased) and one end; the first word follows a begin mark.  Words, pairs and triples of words
+are known by 64-bit hashes.
 
 Counting: each task sums the pairs of its texts and packs them into one block for each of ``parts`` hash ranges, so the
 shuffle moves sorted arrays, not a row per pair.  A pair's part comes from its first word and two bits of its second:
@@ -10,14 +10,20 @@ counts, and sends each word's shares (as a pair's second word: count and number
 numbers of successors seen once, twice, more often) to the word's part, whose task merges and writes them sorted by hash.
 Only the list of files and the counts of counts reach the driver.
 
+Order three counts triples first, in the same way: a triple's part is that of its first two words.  Its task writes the
+triples and, as contexts, the pairs they begin with (count and numbers of successors seen once, twice, more often), and
+sends each pair they end with (number of distinct predecessors, and count) to the pair's part, which goes on as above.
+
 The arrays lie in the shared folder and workers map them into memory, so a worker holds no copy and reads what it needs;
 a batch's distinct words and pairs are looked up in hash order.  Files have names of their own for each task attempt and
 only a successful attempt's are listed.
 
-Probability of word w after v: (max(c(v,w) - D(c), 0) + (D1 n1(v) + D2 n2(v) + D3 n3(v)) p1(w)) / c(v), and
+Probability of word w after v: p2(w|v) = (max(c(v,w) - D(c), 0) + (D1 n1(v) + D2 n2(v) + D3 n3(v)) p1(w)) / c(v), and
 p1(w) = max(a(w) - D'(a), 0) / A + g / (V + 1), with a(w) the number of distinct predecessors, A their sum and g the mass
-that the discounts D' set free; an unknown word has the last term alone, and after an unknown v it is p1(w).  Discounts
-are estimated from counts of counts; where these are too few, 0.5, 1 and 1.5 stand in.
+that the discounts D' set free; an unknown word has the last term alone, and after an unknown v it is p1(w).  In order
+three it is the same formula over triples, with p2 in the place of p1, and p2 itself after an unknown pair; the c of p2 are
+then numbers of distinct predecessors, c(v) their sum.  Nothing precedes the begin mark: pairs that start with it keep
+their counts, and a first word has p2.  Discounts of each order are estimated from counts of counts; where these are too few, 0.5, 1 and 1.5 stand in.
 
 Null texts count as empty: their end follows the begin mark.  A null id counts as the empty text for the split.  Repeated
 rows count each.  Without training texts every word is unknown: N = V = 0 and a token's probability is 1 (its base too).
@@ -40,6 +46,7 @@ from .warc import open_fs
 
 BEGIN = common.mix(np.array([0xB361], np.uint64))[0]
 END = common.mix(np.array([0xE17D], np.uint64))[0]
+START = common.mix(np.array([0x57A7], np.uint64))[0]  # in the place before BEGIN
 FLUSH_TOKENS = 2 << 20
 PART_BYTES = 4 << 20  # of input for each part
 SALT = 4
@@ -62,6 +69,14 @@ def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before, tokens, offsets
 
 
+def word_before(before: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The token before each of ``before``: START where that is BEGIN."""
+    earlier = np.empty_like(before)
+    earlier[1:] = before[:-1]
+    earlier[offsets[:-1]] = START
+    return earlier
+
+
 def pair_hash(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return common.mix(before * common.MULTIPLIER + tokens)
 
@@ -105,8 +120,8 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[first], *(np.add.reduceat(v[order], first) for v in values))
 
 
-def _pair_blocks(before: np.ndarray, tokens: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """One block for each part: runs of first words, second words by a dictionary, counts."""
+def _pair_blocks(before: np.ndarray, tokens: np.ndarray, parts: int, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """One block for each part: runs of first words, second words by a dictionary, sums of ``values`` (of ones without any)."""
     part = pair_part(before, tokens, parts)
     # equal pairs become neighbours; the few that do not are summed later
     bits = np.uint64(24)
@@ -114,7 +129,7 @@ def _pair_blocks(before: np.ndarray, tokens: np.ndarray, parts: int) -> Iterator
     order = order[np.argsort(part[order].astype(np.uint16), kind="stable")]
     part, before, tokens = part[order], before[order], tokens[order]
     first = np.flatnonzero(np.insert((before[1:] != before[:-1]) | (tokens[1:] != tokens[:-1]) | (part[1:] != part[:-1]), 0, True))
-    counts = np.diff(np.append(first, len(before)))
+    sums = [np.add.reduceat(x[order], first) for x in values] or [np.diff(np.append(first, len(before)))]
     part, before, tokens = part[first], before[first], tokens[first]
     bounds = np.searchsorted(part, np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(bounds)).tolist():
@@ -122,17 +137,53 @@ def _pair_blocks(before: np.ndarray, tokens: np.ndarray, parts: int) -> Iterator
         v, w = before[own], tokens[own]
         runs = np.flatnonzero(np.insert(v[1:] != v[:-1], 0, True))
         words, codes = np.unique(w, return_inverse=True)
-        yield p, _pack(v[runs], np.diff(np.append(runs, len(v))), words, codes, counts[own])
+        yield p, _pack(v[runs], np.diff(np.append(runs, len(v))), words, codes, *(x[own] for x in sums))
+
+
+def triple_part(earlier: np.ndarray, before: np.ndarray, tokens: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each triple: that of its first two words; that of its last word where nothing precedes the begin mark."""
+    return np.where(earlier == START, _range_of(tokens, parts), pair_part(earlier, before, parts))
+
+
+def _triple_blocks(earlier: np.ndarray, before: np.ndarray, tokens: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """One block for each part: runs of first two words and last words, all by a dictionary, and counts."""
+    part = triple_part(earlier, before, tokens, parts)
+    context = pair_hash(earlier, before)
+    bits = np.uint64(32)
+    order = np.argsort((context >> bits << bits) | (pair_hash(context, tokens) >> bits))
+    order = order[np.argsort(part[order].astype(np.uint16), kind="stable")]
+    part, context, tokens, earlier, before = part[order], context[order], tokens[order], earlier[order], before[order]
+    first = np.flatnonzero(np.insert((context[1:] != context[:-1]) | (tokens[1:] != tokens[:-1]) | (part[1:] != part[:-1]), 0, True))
+    counts = np.diff(np.append(first, len(part)))
+    part, context, tokens, earlier, before = part[first], context[first], tokens[first], earlier[first], before[first]
+    bounds = np.searchsorted(part, np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(bounds)).tolist():
+        own = slice(bounds[p], bounds[p + 1])
+        c = context[own]
+        runs = np.flatnonzero(np.insert(c[1:] != c[:-1], 0, True))
+        words, codes = np.unique(np.concatenate((earlier[own][runs], before[own][runs], tokens[own])), return_inverse=True)
+        n = len(runs)
+        yield p, _pack(words, codes[:n], codes[n : 2 * n], np.diff(np.append(runs, len(c))), codes[2 * n :], counts[own])
 
 
 def _write(folder: str, arrays: list[np.ndarray]) -> tuple[str, str]:
-    """A file of the arrays one after another, and their types."""
+    """A file of the arrays one after another, and their types and lengths."""
     fs, inner = open_fs(folder)
     name = f"{inner}/{uuid.uuid4().hex}.arrays"
     with fs.open_output_stream(name, compression=None) as out:
         for a in arrays:
             out.write(a.tobytes())
-    return name, ",".join(a.dtype.str for a in arrays)
+    return name, ",".join(f"{a.dtype.str}:{len(a)}" for a in arrays)
+
+
+def _small(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def _write_counted(folder: str, keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[str, str]:
+    """A file of sorted keys: those of count 1 alone, then the others with their values."""
+    one = counts == 1
+    return _write(folder, [keys[one], keys[~one], *(_small(x[~one]) for x in (counts, *more))])
 
 
 def _count_of_counts(counts: np.ndarray) -> list[int]:
@@ -145,12 +196,15 @@ class Model:
 
     folder: str
     parts: int
+    order: int = 2
+    triples: dict[int, tuple[str, str, int]] = field(default_factory=dict)
+    contexts: dict[int, tuple[str, str, int]] = field(default_factory=dict)
     pairs: dict[int, tuple[str, str, int]] = field(default_factory=dict)
     words: dict[int, tuple[str, str, int]] = field(default_factory=dict)
-    texts: int = 0
     tokens: int = 0
     types: int = 0
     predecessors: int = 0
+    triple_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
     pair_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
     word_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
     free_mass: float = 1.0
@@ -175,8 +229,10 @@ def default_parts(df: DataFrame) -> int:
     return 1 << max(4, min(15, (max(1, size // PART_BYTES) - 1).bit_length()))
 
 
-def train(texts: DataFrame, text_col: str = "text", parts: int | None = None) -> Model:
-    """Count the texts and write the arrays of the model."""
+def train(texts: DataFrame, text_col: str = "text", parts: int | None = None, order: int = 2) -> Model:
+    """Count the texts and write the arrays of the model of ``order`` two or three."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is neither 2 nor 3")
     spark = texts.sparkSession
     common.workers_can_import(spark)
     parts = parts or default_parts(texts)
@@ -185,22 +241,23 @@ def train(texts: DataFrame, text_col: str = "text", parts: int | None = None) ->
     fs.create_dir(inner)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for piece in common.slices(batch, "text"):
-                before, tokens, _ = token_stream(common.texts_of(piece.column("text")))
-                held.append((before, tokens))
-                if sum(len(t) for _, t in held) >= FLUSH_TOKENS:
+                before, tokens, offsets = token_stream(common.texts_of(piece.column("text")))
+                held.append((before, tokens) if order == 2 else (word_before(before, offsets), before, tokens))
+                if sum(len(x[-1]) for x in held) >= FLUSH_TOKENS:
                     yield flushed(held)
                     held = []
         if held:
             yield flushed(held)
 
-    def flushed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        blocks = list(_pair_blocks(np.concatenate([b for b, _ in held]), np.concatenate([t for _, t in held]), parts))
+    def flushed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        blocks = list((_pair_blocks if order == 2 else _triple_blocks)(*(np.concatenate(x) for x in zip(*held, strict=True)), parts))
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], ["part", "block"])
 
-    # kind: s and f are blocks of words as second and first of pairs, p and w name files of pairs and words
+    # kind: b is a block of pairs, s and f are blocks of words as second and first of pairs; t, c, p and w name files of
+    # triples, contexts, pairs and words
     schema = "part int, kind string, block binary, path string, types string, n long, counts array<long>"
     names = ["part", "kind", "block", "path", "types", "n", "counts"]
     types = [pa.int32(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
@@ -208,23 +265,56 @@ def train(texts: DataFrame, text_col: str = "text", parts: int | None = None) ->
     def table_of(rows: list[tuple]) -> pa.Table:
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, zip(*rows, strict=True), types, strict=True)})
 
+    def merge_triples(key: tuple, table: pa.Table) -> pa.Table:
+        u, v, w, c = [], [], [], []
+        for block in table.column("block").to_pylist():
+            words, firsts, seconds, lengths, codes, counts = _unpack(block)
+            lengths = lengths.astype(np.int64)
+            u.append(np.repeat(words[firsts], lengths))
+            v.append(np.repeat(words[seconds], lengths))
+            w.append(words[codes])
+            c.append(counts.astype(np.int64))
+        u, v, w, c = (np.concatenate(x) for x in (u, v, w, c))
+        h = pair_hash(pair_hash(u, v), w)
+        at = np.argsort(h)
+        first = np.flatnonzero(np.insert(h[at][1:] != h[at][:-1], 0, True))
+        c = np.add.reduceat(c[at], first)
+        u, v, w, h = (x[at][first] for x in (u, v, w, h))
+        real = u != START
+        rows = []
+        if real.any():
+            seen = c[real]
+            path, dtypes = _write_counted(folder, h[real], seen)
+            rows.append((key[0].as_py(), "t", None, path, dtypes, len(seen), _count_of_counts(seen)))
+            found = _sums(pair_hash(u[real], v[real]), seen, *(m.astype(np.int64) for m in (seen == 1, seen == 2, seen > 2)))
+            path, dtypes = _write_counted(folder, *found)
+            rows.append((key[0].as_py(), "c", None, path, dtypes, len(found[0]), None))
+        rows += [(q, "b", block, None, None, 0, None) for q, block in _pair_blocks(v, w, parts, np.where(real, 1, c), c)]
+        return table_of(rows)
+
     def merge_pairs(key: tuple, table: pa.Table) -> pa.Table:
-        v, w, c = [], [], []
+        rows, v, w, c, n = [], [], [], [], []
+        if order == 3:
+            rows = [tuple(r[n] for n in names) for r in table.filter(pc.not_equal(table.column("kind"), "b")).to_pylist()]
+            table = table.filter(pc.equal(table.column("kind"), "b"))
+            if not table.num_rows:
+                return table_of(rows)
         for block in table.column("block").to_pylist():
-            runs, lengths, words, codes, counts = _unpack(block)
+            runs, lengths, words, codes, *counts = _unpack(block)
             v.append(np.repeat(runs, lengths.astype(np.int64)))
             w.append(words[codes])
-            c.append(counts.astype(np.int64))
-        v, w, c = np.concatenate(v), np.concatenate(w), np.concatenate(c)
+            c.append(counts[0].astype(np.int64))
+            n.append(counts[-1].astype(np.int64))
+        v, w, c, n = (np.concatenate(x) for x in (v, w, c, n))
         h = pair_hash(v, w)
-        order = np.argsort(h)
-        first = np.flatnonzero(np.insert(h[order][1:] != h[order][:-1], 0, True))
-        c = np.add.reduceat(c[order], first)
-        v, w, h = v[order][first], w[order][first], h[order][first]
-        path, dtypes = _write(folder, [h, c.astype(np.min_scalar_type(int(c.max())))])
-        rows = [(key[0].as_py(), "p", None, path, dtypes, len(h), _count_of_counts(c))]
-        as_second = _sums(w, c, np.ones_like(c))
-        as_first = _sums(v, *((m).astype(np.int64) for m in (c == 1, c == 2, c > 2)))
+        at = np.argsort(h)
+        first = np.flatnonzero(np.insert(h[at][1:] != h[at][:-1], 0, True))
+        c, n = np.add.reduceat(c[at], first), np.add.reduceat(n[at], first)
+        v, w, h = v[at][first], w[at][first], h[at][first]
+        path, dtypes = _write_counted(folder, h, c)
+        rows.append((key[0].as_py(), "p", None, path, dtypes, len(h), _count_of_counts(c)))
+        as_second = _sums(w, n, np.ones_like(n))
+        as_first = _sums(v, *((m).astype(np.int64) for m in (c == 1, c == 2, c > 2)), c)
         for kind, (words, *values) in (("s", as_second), ("f", as_first)):
             ranges = _range_of(words, parts)
             bounds = np.searchsorted(ranges, np.arange(parts + 1))
@@ -232,9 +322,9 @@ def train(texts: DataFrame, text_col: str = "text", parts: int | None = None) ->
         return table_of(rows)
 
     def merge_words(key: tuple, table: pa.Table) -> pa.Table:
-        rows = [tuple(r[n] for n in names) for r in table.filter(pc.equal(table.column("kind"), "p")).to_pylist()]
+        rows = [tuple(r[n] for n in names) for r in table.filter(pc.is_in(table.column("kind"), pa.array(["t", "c", "p"]))).to_pylist()]
         merged = {}
-        for kind, width in (("s", 2), ("f", 3)):
+        for kind, width in (("s", 2), ("f", 4)):
             blocks = [_unpack(b) for b in table.filter(pc.equal(table.column("kind"), kind)).column("block").to_pylist()]
             parted = [np.concatenate([b[k].astype(np.uint64 if not k else np.int64) for b in blocks]) if blocks else np.empty(0, np.uint64 if not k else np.int64) for k in range(width + 1)]
             merged[kind] = _sums(*parted)
@@ -248,25 +338,26 @@ def train(texts: DataFrame, text_col: str = "text", parts: int | None = None) ->
                 columns.append(column)
         if len(words):
             small = [c.astype(np.min_scalar_type(int(c.max()))) for c in columns]
-            path, dtypes = _write(folder, [words, *small])
+            path, dtypes = _write(folder, [words[:0], words, *small])
             c, a = columns[0], columns[1]
             rows.append((key[0].as_py(), "w", None, path, dtypes, len(words), [*_count_of_counts(a), int(c.sum()), int((c > 0).sum()), int(a.sum()), int((a > 2).sum())]))
         return table_of(rows)
 
     blocks = texts.select(F.col(text_col).alias("text")).mapInArrow(count, "part int, block binary")
+    if order == 3:
+        blocks = blocks.groupBy("part").applyInArrow(merge_triples, schema)
     merged = blocks.groupBy("part").applyInArrow(merge_pairs, schema).groupBy("part").applyInArrow(merge_words, schema)
-    files = common.written(merged.drop("block"), "ngram-files").collect()  # two rows for each part
-    model = Model(folder, parts)
+    files = common.written(merged.drop("block"), "ngram-files").collect()  # two or four rows for each part
+    model = Model(folder, parts, order)
     for row in files:
-        (model.pairs if row["kind"] == "p" else model.words)[row["part"]] = (row["path"], row["types"], row["n"])
-    of_pairs = [sum(r["counts"][k] for r in files if r["kind"] == "p") for k in range(4)]
+        {"t": model.triples, "c": model.contexts, "p": model.pairs, "w": model.words}[row["kind"]][row["part"]] = (row["path"], row["types"], row["n"])
+    of_triples, of_pairs = ([sum(r["counts"][k] for r in files if r["kind"] == kind) for k in range(4)] for kind in "tp")
     of_words = [sum(r["counts"][k] for r in files if r["kind"] == "w") for k in range(8)]
     model.tokens, model.types, model.predecessors = of_words[4:7]
-    model.pair_discounts, model.word_discounts = discounts(of_pairs), discounts(of_words[:4])
+    model.triple_discounts, model.pair_discounts, model.word_discounts = discounts(of_triples), discounts(of_pairs), discounts(of_words[:4])
     if model.predecessors:
         d = model.word_discounts
         model.free_mass = (d[0] * of_words[0] + d[1] * of_words[1] + d[2] * of_words[7]) / model.predecessors
-        model.texts = model.mapped().text_count()
     return model
 
 
@@ -278,69 +369,85 @@ class MappedModel:
         self.open: dict[str, list[np.ndarray]] = {}
 
     def _arrays(self, entry: tuple[str, str, int]) -> list[np.ndarray]:
-        path, dtypes, n = entry
+        path, dtypes, _ = entry
         if path not in self.open:
-            out, at = [], 0
-            raw = None
-            if not self.m.folder.startswith("file:"):  # a store without mapping
+            if self.m.folder.startswith("file:"):
+                raw = np.memmap(path, np.uint8, "r")
+            else:  # a store without mapping
                 raw = open_fs(self.m.folder)[0].open_input_file(path).read_buffer()
-            for t in dtypes.split(","):
-                out.append(np.memmap(path, t, "r", at, (n,)) if raw is None else np.frombuffer(raw, t, n, at))
-                at += np.dtype(t).itemsize * n
+            out, at = [], 0
+            for dtype, _, n in (x.partition(":") for x in dtypes.split(",")):
+                out.append(np.frombuffer(raw, dtype, int(n), at))
+                at += np.dtype(dtype).itemsize * int(n)
             self.open[path] = out
         return self.open[path]
 
-    def _looked_up(self, files: dict, hashes: np.ndarray, part: np.ndarray, width: int) -> list[np.ndarray]:
-        """Values of hashes that are sorted within each part; ``part`` is sorted; 0 where unknown."""
-        out = [np.zeros(len(hashes), np.int64) for _ in range(width)]
+    def _looked_up(self, files: dict, hashes: np.ndarray, part: np.ndarray, ones: tuple[int, ...]) -> list[np.ndarray]:
+        """Values of hashes that are sorted within each part; ``part`` is sorted; ``ones`` for keys of count 1, 0 where unknown."""
+        out = [np.zeros(len(hashes), np.int64) for _ in ones]
         bounds = np.searchsorted(part, np.arange(self.m.parts + 1))
         for p in np.flatnonzero(np.diff(bounds)).tolist():
             if p in files:
-                keys, *values = self._arrays(files[p])
+                single, keys, *values = self._arrays(files[p])
                 own = slice(bounds[p], bounds[p + 1])
-                at = np.minimum(np.searchsorted(keys, hashes[own]), len(keys) - 1)
-                known = keys[at] == hashes[own]
-                for o, v in zip(out, values, strict=True):
-                    o[own] = np.where(known, v[at], 0)
+                wanted = hashes[own]
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                    known = keys[at] == wanted
+                    for o, v in zip(out, values, strict=True):
+                        o[own] = np.where(known, v[at], 0)
+                if len(single):
+                    known = single[np.minimum(np.searchsorted(single, wanted), len(single) - 1)] == wanted
+                    for o, value in zip(out, ones, strict=True):
+                        o[own][known] = value
         return out
 
     def words(self, distinct: np.ndarray) -> list[np.ndarray]:
-        """Count, predecessors and successors seen once, twice, more often, of sorted distinct word hashes."""
-        return self._looked_up(self.m.words, distinct, _range_of(distinct, self.m.parts), 5)
+        """Count, predecessors, successors seen once, twice, more often, and sum of these, of sorted distinct word hashes."""
+        return self._looked_up(self.m.words, distinct, _range_of(distinct, self.m.parts), (0,) * 6)
 
-    def pairs(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """Counts of pairs."""
-        h = pair_hash(before, tokens)
+    def _of_each(self, files: dict, h: np.ndarray, part: np.ndarray, ones: tuple[int, ...]) -> list[np.ndarray]:
+        """Values of hashes in any order, each distinct one looked up once."""
         order = np.argsort(h)
         h = h[order]
         first = np.flatnonzero(np.insert(h[1:] != h[:-1], 0, True))
-        part = pair_part(before[order][first], tokens[order][first], self.m.parts)
+        part = part[order][first]
         by_part = np.argsort(part.astype(np.uint16), kind="stable")
-        found = np.empty(len(first), np.int64)
-        found[by_part] = self._looked_up(self.m.pairs, h[first][by_part], part[by_part], 1)[0]
-        out = np.empty(len(h), np.int64)
-        out[order] = np.repeat(found, np.diff(np.append(first, len(h))))
-        return out
+        lengths = np.diff(np.append(first, len(h)))
+        columns = []
+        for values in self._looked_up(files, h[first][by_part], part[by_part], ones):
+            found, out = np.empty(len(first), np.int64), np.empty(len(h), np.int64)
+            found[by_part] = values
+            out[order] = np.repeat(found, lengths)
+            columns.append(out)
+        return columns
 
-    def text_count(self) -> int:
-        """The number of training texts: each has one end."""
-        return int(self.words(np.array([END], np.uint64))[0][0])
+    def pairs(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Counts of pairs, or in order three their numbers of predecessors."""
+        return self._of_each(self.m.pairs, pair_hash(before, tokens), pair_part(before, tokens, self.m.parts), (1,))[0]
 
-    def probabilities(self, before: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each token after the one before it, and its count in training."""
+    def probabilities(self, before: np.ndarray, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each token after those before it in its text, and its count in training."""
         m = self.m
         distinct, code = np.unique(np.concatenate((tokens, before)), return_inverse=True)
-        count, distinct_before, n1, n2, n3 = self.words(distinct)
+        count, distinct_before, n1, n2, n3, total = self.words(distinct)
         own, ahead = code[: len(tokens)], code[len(tokens) :]
         unseen = m.free_mass / (m.types + 1)
-        p1 = (distinct_before - _discount(distinct_before, m.word_discounts)) / max(1, m.predecessors) + unseen
-        total = np.where(distinct == BEGIN, m.texts, count)
-        d = m.pair_discounts
-        weight = d[0] * n1 + d[1] * n2 + d[2] * n3
-        pair = self.pairs(before, tokens)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = (pair - _discount(pair, d) + weight[ahead] * p1[own]) / total[ahead]
-        return np.where(total[ahead] > 0, p, p1[own]), count[own]
+        p = ((distinct_before - _discount(distinct_before, m.word_discounts)) / max(1, m.predecessors) + unseen)[own]
+        p = _interpolated(self.pairs(before, tokens), total[ahead], [n[ahead] for n in (n1, n2, n3)], m.pair_discounts, p)
+        if m.order == 3:
+            earlier = word_before(before, offsets)
+            context, part = pair_hash(earlier, before), pair_part(earlier, before, m.parts)
+            total, *seen = self._of_each(m.contexts, context, part, (1, 1, 0, 0))
+            p = _interpolated(self._of_each(m.triples, pair_hash(context, tokens), part, (1,))[0], total, seen, m.triple_discounts, p)
+        return p, count[own]
+
+
+def _interpolated(counts: np.ndarray, total: np.ndarray, seen: list[np.ndarray], d: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+    """Discounted share of ``counts`` in ``total``, and the mass set free by ``lower``; ``lower`` where nothing was counted."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = (counts - _discount(counts, d) + (d[0] * seen[0] + d[1] * seen[1] + d[2] * seen[2]) * lower) / total
+    return np.where(total > 0, p, lower)
 
 
 def _discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -357,7 +464,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for piece in common.slices(batch, "text"):
                 before, tokens, offsets = token_stream(common.texts_of(piece.column("text")))
-                p, count = mapped.probabilities(before, tokens)
+                p, count = mapped.probabilities(before, tokens, offsets)
                 base = np.log10((count + 1) / (model.tokens + model.types + 1))
                 at = offsets[:-1]
                 columns = [pa.array(np.diff(offsets)), pa.array(np.add.reduceat((count > 0).astype(np.int64), at)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(np.log10(p), at))]

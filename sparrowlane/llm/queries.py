@@ -75,7 +75,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = common.id_remainder(F.col("doc_id"), 7) == 2
-    model = kneserney.train(docs.where(~held_out))
+    model = kneserney.train(docs.where(~held_out), order=3)
     return kneserney.score(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 

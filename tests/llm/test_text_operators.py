@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparrowlane.llm import bbit, common, kneserney, linefreq, queries, toxicity
 from sparrowlane.llm.components import connected_components
@@ -207,6 +208,65 @@ def test_kneser_ney_equals_formulas(spark):
         assert sum(p(u, w) for w in uni) + p(u, "another unseen") == pytest.approx(1)
 
 
+def third_order_by_force(train):
+    """The probability of w after (u, v) in order three, by the formulas; u is None for a first word."""
+    stream = lambda t: ["<s>", *WORD.findall((t or "").translate(LOWER)), "</s>"]
+    triples, starts, uni = Counter(), Counter(), Counter()
+    for t in train:
+        tokens = stream(t)
+        uni.update(tokens[1:])
+        starts[tokens[0], tokens[1]] += 1
+        triples.update(zip(tokens, tokens[1:], tokens[2:]))
+    pairs = Counter((v, w) for _, v, w in triples)
+    pairs.update(starts)
+    words_ = Counter(w for _, w in pairs)
+    found = [kneserney.discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for x in (words_, pairs, triples)]
+    cut = lambda c, d: 0 if not c else d[min(c, 3) - 1]
+    a = sum(words_.values())
+    p1 = lambda w: (words_[w] - cut(words_[w], found[0])) / a + sum(cut(c, found[0]) for c in words_.values()) / a / (len(uni) + 1)
+    after_pair, after_word = defaultdict(list), defaultdict(list)
+    for (u, v, _), c in triples.items():
+        after_pair[u, v].append(c)
+    for (v, _), c in pairs.items():
+        after_word[v].append(c)
+
+    def p(u, v, w):
+        low = p1(w)
+        for seen, c, d in ((after_word[v], pairs[v, w], found[1]), (after_pair[u, v], triples[u, v, w], found[2])):
+            low = (c - cut(c, d) + sum(cut(x, d) for x in seen) * low) / sum(seen) if seen else low
+        return low
+
+    return p, uni, stream
+
+
+def test_kneser_ney_of_order_three(spark):
+    rng = random.Random(12)
+    rows = edge_rows() + [(i, " ".join(words(rng, rng.randrange(1, 60), 12)).upper() if i % 2 else " ".join(words(rng, 40, 50))) for i in range(300, 400)]
+    train = [r for r in rows if r[0] is None or r[0] % 3]
+    p, uni, stream = third_order_by_force([t for _, t, *_ in train])
+    want = []
+    for i, t, *_ in rows:
+        tokens = stream(t)
+        want.append((str(i), len(tokens) - 1, sum(math.log10(p(u, v, w)) for u, v, w in zip([None, *tokens], tokens, tokens[1:]))))
+    for parts in (1, 8):
+        model = kneserney.train(documents(spark, train, extra="clash"), parts=parts, order=3)
+        got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in kneserney.score(documents(spark, rows, extra="clash"), model).collect())
+        for a, b in zip(got, sorted(want), strict=True):
+            assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
+    for u, v in ((None, "<s>"), ("<s>", "w1"), ("w1", "w2"), ("w1", "never seen")):
+        assert sum(p(u, v, w) for w in uni) + p(u, v, "another unseen") == pytest.approx(1)
+
+
+def test_kneser_ney_query_is_of_order_three(spark, tiny):
+    docs = common.read_table(spark, tiny, "documents").select("doc_id", "text")
+    held_out = common.id_remainder(F.col("doc_id"), 7) == 2
+    found = {r["doc_id"]: r["score"] for r in queries.op8_kneser_ney(spark, tiny).collect()}
+    p, _, stream = third_order_by_force([r["text"] for r in docs.where(~held_out).collect()])
+    for r in docs.limit(20).collect():
+        tokens = stream(r["text"])
+        assert found[r["doc_id"]] == pytest.approx(sum(math.log10(p(u, v, w)) for u, v, w in zip([None, *tokens], tokens, tokens[1:])))
+
+
 def test_kneser_ney_without_training(spark):
     df = documents(spark, edge_rows())
     model = kneserney.train(df.limit(0))
