@@ -3,8 +3,9 @@
 A line is normalised (A-Z lower-cased, white space squeezed) and hashed.  Its frequency is the number of distinct
 documents of a host that hold it, where documents of equal text count once: exact copies are the business of
 deduplication and must not make their own lines look like boilerplate.  A line is over the limits if it is in more than
-``most_documents`` documents of a host and in more than ``most_share`` of the host's documents.  It is removed from all
-but the first of them (smallest id), so every line stays somewhere.  A document is rejected if fewer than ``least_words``
+``most_documents`` documents of a host, however large the host is; a caller may ask besides for more than ``most_share``
+of the host's documents.  It is removed from all but the first of them (smallest id), so every line stays somewhere.  A
+document is rejected if fewer than ``least_words``
 words remain, or if more than ``most_removed`` of its words went.
 
 Counting goes by (host, line, text) first and by (host, line) then, both summed before the shuffle, so neither a hot host
@@ -41,7 +42,7 @@ class Limits:
     base_words: int = 20
     repeat_percent: int = 30
     most_documents: int = 20
-    most_share: float = 0.01
+    most_share: float = 0.0  # a share weakens the verdict as the host grows
     least_words: int = 5
     most_removed: float = 0.8
 

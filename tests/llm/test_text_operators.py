@@ -101,6 +101,14 @@ def test_copies_are_not_boilerplate(spark):
     assert all(r["kept"] for r in linefreq.judged(documents(spark, rows)).collect())
 
 
+def test_a_line_goes_from_a_large_host_as_from_a_small_one(spark):
+    held = 25  # documents of each host that hold the line
+    texts = lambda i: " ".join(f"w{i}x{k}" for k in range(30)) + ("\nshared line of five words" if i % 10_000 < held else "")
+    rows = [(i, texts(i), "large") for i in range(3000)] + [(10_000 + i, texts(10_000 + i), "small") for i in range(40)]
+    got = {r["doc_id"]: r["removed_words"] for r in linefreq.judged(documents(spark, rows)).collect()}
+    assert got == {i: 5 if 0 < i % 10_000 < held else 0 for i, *_ in rows}
+
+
 # ---------------------------------------------------------------- toxicity
 
 def test_folding():
