@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 import sys
 
 import numpy as np
@@ -143,6 +144,35 @@ def test_decomposition_depth(spark):
     assert max(r["depth"] for r in tree) == 2 and all(r["is_leaf"] for r in tree if r["depth"] == 2)
 
 
+def test_recursive_retrieval_fuses_the_leaves(spark, tiny):
+    from sparrowlane.plans import language as L
+
+    def unit(text):
+        words = set(re.split(r"\s+", text.lower().replace("-", " ")))
+        v = np.array(L._START)
+        for keys, more in L._FAMILIES:
+            v = v + np.array(more) * bool(words & set(keys))
+        return tuple(v / np.linalg.norm(v))
+
+    docs = [(r["doc_id"], unit(r["text"])) for r in spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()]
+    leaves = {}
+    for r in L._trees(spark, tiny).where("is_leaf").collect():
+        leaves.setdefault(tuple(r["root"]), []).append((r["node"], unit(r["text"])))
+    assert any(len(x) > 1 for x in leaves.values())
+    best = {q: sorted(docs, key=lambda x: (-round(float(np.dot(x[1], q)), 9), x[0]))[:10] for ls in leaves.values() for _, q in ls}
+    want = []
+    for root, ls in leaves.items():
+        score, first = {}, {}
+        for node, q in sorted(ls):
+            for rank, (doc, _) in enumerate(best[q], 1):
+                score[doc] = score.get(doc, 0) + 1 / (60 + rank)
+                first.setdefault(doc, (node, rank))
+        order = sorted(score, key=lambda x: (-round(score[x], 12), first[x]))[:10]
+        want += [(*root, i, doc, round(score[doc], 6)) for i, doc in enumerate(order, 1)]
+    got = [tuple(r) for r in registry.queries()["RUN-3-SEARCH"](spark, tiny).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_pair_counts_in_blocks(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(57, 6))
