@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import vector as V
 from ..operators import adapters as A
 from ..operators import gates as G
-from ..operators import metrics, storage
+from ..operators import metrics, sampling, storage
 from ..operators import neighborhood as N
 from ..operators.topk import cosine_top_k, ranked
 from ..registry import query
@@ -362,6 +362,13 @@ def judged_sample(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(judged, "doc_id", "left_semi")
 
 
+@query("SAMP-1-FILL")
+def filled_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Three fifths of the documents: all judged ones, and the smallest hashes of the rest."""
+    docs = B.table(spark, d, "documents").select("doc_id")
+    return sampling.judged_sample(docs, B.table(spark, d, "labels"), docs.count() * 3 // 5, 42, "doc_id")
+
+
 @query("SAMP-2", "SELECT conv_id, turn, (turn // 4)::BIGINT AS slice FROM conversations")
 def query_slices(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 4).alias("slice"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparrowlane import registry
 from sparrowlane.functions import text as T
 from sparrowlane.functions import vector as V
-from sparrowlane.operators import adapters, fusion, gates, graph, metrics, storage, topk, windows
+from sparrowlane.operators import adapters, fusion, gates, graph, metrics, sampling, storage, topk, windows
 from sparrowlane.operators import events as E
 from sparrowlane.operators import neighborhood as N
 from sparrowlane.sources import collection
@@ -173,6 +173,19 @@ def test_recursive_retrieval_fuses_the_leaves(spark, tiny):
     assert sorted(got) == sorted(want)
 
 
+def test_judged_sample_fills_up(spark, tiny):
+    corpus = spark.range(1000).withColumnRenamed("id", "doc_id")
+    judged = spark.createDataFrame([(i,) for i in (3, 3, 5, 700, 5000)], "doc_id long")
+    hashes = {r[0]: r[1] for r in corpus.select("doc_id", F.xxhash64("doc_id", F.lit(7))).collect()}
+    rest = sorted((i for i in range(1000) if i not in (3, 5, 700)), key=lambda i: (hashes[i], i))
+    for size in (0, 3, 4, 50, 999, 1000, 2000):
+        got = sorted(r[0] for r in sampling.judged_sample(corpus, judged, size, 7, "doc_id").collect())
+        assert got == sorted([3, 5, 700, *rest[: max(0, size - 3)]])
+    found = {r[0] for r in registry.queries()["SAMP-1-FILL"](spark, tiny).collect()}
+    ids, known = ({r[0] for r in spark.read.parquet(f"{tiny}/{t}.parquet").select("doc_id").collect()} for t in ("documents", "labels"))
+    assert len(found) == len(ids) * 3 // 5 > len(ids & known) and ids & known <= found
+
+
 def test_pair_counts_in_blocks(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(57, 6))
