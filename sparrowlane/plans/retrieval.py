@@ -12,6 +12,7 @@ from ..operators import fusion, metrics
 from ..operators import neighborhood as N
 from ..operators.topk import cosine_top_k, ranked, sharded_top_k
 from ..registry import query
+from ..session import written
 from . import base as B
 from .base import r6, sql
 from .base import r6_sql as R
@@ -496,16 +497,26 @@ def distractors(spark: SparkSession, d: str) -> DataFrame:
     return ranked(rest, 5, ["query_id"], "scout_rank").select("query_id", "vec_id", F.col("rank").alias("place"))
 
 
+ROUTES = 10_000  # that a task holds at a time
+
+
 @query("JOIN-9", sql(B.QUERIES, f"SELECT vec_id, label, query_id AS route, {R('score')} AS score FROM (SELECT vec_id, label, query_id, list_cosine_similarity(v, q) AS score, row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(v, q) DESC, query_id) AS r FROM corpus CROSS JOIN centroids) WHERE r = 1"))
 def nearest_route(spark: SparkSession, d: str) -> DataFrame:
-    """The best centroid of each vector; one row per label is sent, within a checked bound."""
+    """The best centroid of each vector; one row per label is sent, in blocks of about ``ROUTES`` one after another."""
     rows = B.corpus(spark, d)
     routes = B.centroids(rows)
-    packed = routes.agg(F.array_sort(F.collect_list(F.struct("query_id", "q"))).alias("routes")) if routes.count() <= 10_000 else None
-    if packed is None:
-        raise ValueError("more routes than a task should hold")
+    blocks = max(1, -(-routes.count() // ROUTES))
+    if blocks > 1:
+        routes = written(routes, "routes")
     score = F.transform("routes", lambda r: F.struct(V.cosine(F.col("v"), r["q"]).alias("score"), (-r["query_id"]).alias("low"), r["query_id"].alias("route")))
-    best = rows.crossJoin(F.broadcast(packed)).select("vec_id", "label", F.array_max(score).alias("b"))
+    best = rows
+    for block in range(blocks):
+        own = routes.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else routes
+        packed = own.agg(F.array_sort(F.collect_list(F.struct("query_id", "q"))).alias("routes"))
+        found = F.array_max(F.concat(F.array("b"), score) if block else score)
+        best = best.crossJoin(F.broadcast(packed)).select("vec_id", "label", "v", found.alias("b"))
+        if blocks > 1:  # one block's broadcast is held at a time
+            best = written(best, "routed")
     return best.select("vec_id", "label", F.col("b.route").alias("route"), r6("b.score").alias("score"))
 
 

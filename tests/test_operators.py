@@ -186,6 +186,14 @@ def test_judged_sample_fills_up(spark, tiny):
     assert len(found) == len(ids) * 3 // 5 > len(ids & known) and ids & known <= found
 
 
+def test_routes_in_blocks(spark, tiny, monkeypatch):
+    from sparrowlane.plans import retrieval
+
+    want = sorted(tuple(r) for r in registry.queries()["JOIN-9"](spark, tiny).collect())
+    monkeypatch.setattr(retrieval, "ROUTES", 3)
+    assert sorted(tuple(r) for r in registry.queries()["JOIN-9"](spark, tiny).collect()) == want
+
+
 def test_pair_counts_in_blocks(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(57, 6))
