@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-DEFAULT_ARROW_BYTES, OWN_ARROW_BYTES = 64 << 20, 16 << 20
+DEFAULT_ARROW_BYTES, OWN_ARROW_BYTES = 64 << 20, 4 << 20
 
 
 def workers_can_import(spark: SparkSession) -> None:
     """Let Python workers import this package when the driver found it by ``sys.path`` alone.
 
-    Arrow batches are also held to 16 MB where the session has Spark's default of 64 MB: rows with long texts would
+    Arrow batches are also held to 4 MB where the session has Spark's default of 64 MB: rows with long texts would
     otherwise fill a worker several times over.
     """
     if spark.conf.get(ARROW_BYTES, f"{DEFAULT_ARROW_BYTES}b").rstrip("b") == str(DEFAULT_ARROW_BYTES):
@@ -31,10 +31,15 @@ def workers_can_import(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset.
+
+    A folder of this machine stands in for it in local mode alone: executors on other machines could not read it.
+    """
     workers_can_import(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="sparrowlane-")
         found = f"file://{path}"
         spark.conf.set("spark.checkpoint.dir", found)
@@ -53,3 +58,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove everything that this package has left in the shared folder; call it when no frame read from there is in use."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    fs = folder.getFileSystem(conf)
+    for status in fs.listStatus(folder):
+        if status.getPath().getName().startswith("sparrowlane-"):
+            fs.delete(status.getPath(), True)
