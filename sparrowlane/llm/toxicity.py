@@ -6,17 +6,22 @@ stands for both.  Everything else but letters and digits becomes a space, invisi
 
 The lexicon is learned from labelled rows: words and word beginnings (which catch compounds and inflections) that toxic
 texts have far more often than others, by the likelihood ratio; a beginning stands for all longer entries under it.  A
-weight is the logarithm of the ratio of the two rates.  An entry must be in a share of the toxic texts, so that words of
-one group of copies are none.  Exception phrases are an entry with a word before or after it that only clean texts have;
-an entry inside one does not count.  A text's sum of weights, per 100 words and as it is (long texts may be toxic in a
-few places), goes through a logistic curve fitted on the same rows.
+weight is the logarithm of the ratio of the two rates.  Copies and near copies of a labelled text teach once: of texts of
+one label with the same smallest five-word shingle hash one stays, so words of one group of copies are no entries.  An
+entry must be in ``least_texts`` of the toxic texts that stay, whatever their number, so more labels bring more entries.
+Exception phrases are an entry with a word before or after it that only clean texts have; an entry inside one does not
+count.  A text's sum of weights, per 100 words and as it is (long texts may be toxic in a few places), goes through a
+logistic curve fitted on the same rows.
 
 The fit reads at most ``most_rows`` labelled rows (chosen by hash of the id: a documented bound); their texts are found by
-a broadcast of these ids, counted in Spark, and only lexicons of bounded size and three numbers per row reach the driver.
-Scoring reads every whole text once and shuffles nothing.
+a broadcast of these ids.  Entries are counted and chosen in Spark; the lexicon and two numbers for each of the bounded
+rows reach the driver.  A lexicon of more than ``most_entries`` is an error, nothing is dropped from it.  Scoring reads
+every whole text once and shuffles nothing; its time is linear in the text.
 
 Null and empty texts have no matches and get the curve's score of 0.  Rows with a null id or label teach nothing; of
-repeated label rows the larger label counts.  With no labelled row of both kinds the lexicon is empty and scores are 0.
+repeated label rows the larger label counts; a document that occurs twice teaches once and is scored in each row.  With no
+labelled row of both kinds the lexicon is empty and scores are 0.  An empty table gives no rows.  Other columns are passed
+on or left out as they are, and their names cannot clash: only the id, text and label columns are read.
 """
 
 from __future__ import annotations
@@ -35,9 +40,10 @@ from pyspark.sql import functions as F
 from . import common
 
 MOST_ROWS = 16_384
-MOST_ENTRIES = 4096
-LEAST_RATIO = 30.0  # likelihood ratio of an entry
-LEAST_SHARE = 0.02  # of toxic texts that have it
+MOST_ENTRIES = 200_000
+LEAST_RATIO = 20.0  # likelihood ratio of an entry
+LEAST_TEXTS = 6  # toxic texts that have it, copies counted once
+LEAST_RATE = 20.0  # times as frequent in toxic as in clean texts
 SAME_TEXTS = 0.95
 PREFIXES = range(4, 13)
 COUNTED_KEYS = 200_000  # that a task holds before it hands on its sums
@@ -114,7 +120,16 @@ class Lexicon:
                 spared.append((start, end))
             elif start not in best or weight > best[start][1]:
                 best[start] = (end, weight)
-        return [(s, e, w) for s, (e, w) in sorted(best.items()) if not any(a <= s and e <= b for a, b in spared)]
+        # spans by start, and the farthest end of those that begin no later than a hit: one pass over both
+        spared.sort()
+        out, at, reach = [], 0, -1
+        for s, (e, w) in sorted(best.items()):
+            while at < len(spared) and spared[at][0] <= s:
+                reach = max(reach, spared[at][1])
+                at += 1
+            if e > reach:
+                out.append((s, e, w))
+        return out
 
     def features(self, words: list[str], automaton) -> tuple[float, float]:
         """log(1 + x) of the summed weights per 100 words, and of their sum."""
@@ -139,19 +154,19 @@ def likelihood_ratio(t: np.ndarray, f: np.ndarray, toxic: int, clean: int) -> np
     return np.where(t / toxic > f / clean, out, 0.0)
 
 
-def _counted(sample: DataFrame, keys_of, kept: frozenset[str] | None = None) -> DataFrame:
+def _counted(sample: DataFrame, keys_of) -> DataFrame:
     """``key, toxic, clean``: in how many texts of either label each key is; summed in bounded tables before the shuffle."""
 
     def flushed(found: tuple[Counter, Counter]) -> pa.RecordBatch:
         keys = list(found[0].keys() | found[1].keys())
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([found[0][k] for k in keys], pa.int64()), pa.array([found[1][k] for k in keys], pa.int64())], ["key", "toxic", "clean"])
 
+    @common.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, label in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                keys = keys_of(fold(text.as_py() or ""))
-                found[1 - label].update(keys if kept is None else keys & kept)
+                found[1 - label].update(keys_of(fold(text.as_py() or "")))
                 if len(found[0]) + len(found[1]) > COUNTED_KEYS:
                     yield flushed(found)
                     found = (Counter(), Counter())
@@ -161,7 +176,15 @@ def _counted(sample: DataFrame, keys_of, kept: frozenset[str] | None = None) ->
     return out.groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _choose(rows: list, toxic: int, clean: int, most_entries: int) -> dict[str, float]:
+def _collected(rows: DataFrame, most: int) -> list:
+    """The rows, of which there may be ``most``."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"over {most} entries: ask for more texts or a higher ratio, or allow more entries")
+    return found
+
+
+def _choose(rows: list, toxic: int, clean: int, least_ratio: float = LEAST_RATIO, least_rate: float = LEAST_RATE) -> dict[str, float]:
     """Weights of the entries over the least ratio.
 
     A beginning replaces everything under it, unless one longer entry under it has nearly all of its toxic texts: then
@@ -173,7 +196,7 @@ def _choose(rows: list, toxic: int, clean: int, most_entries: int) -> dict[str,
     ratio = likelihood_ratio(t, f, toxic, clean)
     weight = np.log((t + 0.5) / (toxic + 1)) - np.log((f + 0.5) / (clean + 1))
     # an entry that clean texts have too must at least be many times as frequent in toxic ones
-    good = np.flatnonzero((ratio >= LEAST_RATIO) & (weight >= math.log(20)))
+    good = np.flatnonzero((ratio >= least_ratio) & (weight >= math.log(least_rate)))
     texts = {rows[i]["key"]: t[i] for i in good}
     beginnings = lambda key: [key[:k] + "*" for k in PREFIXES if k < len(key.rstrip("*"))]
     said_better = {p for key, n in texts.items() for p in beginnings(key) if n >= SAME_TEXTS * texts.get(p, math.inf)}
@@ -182,8 +205,7 @@ def _choose(rows: list, toxic: int, clean: int, most_entries: int) -> dict[str,
         key = rows[i]["key"]
         if key not in said_better and not any(p in chosen for p in beginnings(key)):
             chosen[key] = float(weight[i])
-    order = sorted(chosen, key=lambda k: (-chosen[k], k))[:most_entries]
-    return {k: chosen[k] for k in order}
+    return chosen
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, float]]:
@@ -201,28 +223,35 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, float]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Written ``text, toxic`` of at most ``most_rows`` labelled documents."""
+    """Written ``text, toxic`` of at most ``most_rows`` labelled documents, near copies of one label once."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most_rows)
     # at most ``most_rows`` ids and labels
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return common.written(joined.select("text", "toxic"), "labelled")
+
+    @common.lean
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                least = [int(s[0]) - (1 << 63) if len(s) else 0 for s in common.shingle_sets(common.texts_of(part.column("text")))]
+                yield pa.RecordBatch.from_arrays([part.column("text"), part.column("toxic"), pa.array(least, pa.int64())], ["text", "toxic", "kin"])
+
+    rows = joined.select("text", "toxic").mapInArrow(grouped, "text string, toxic int, kin long")
+    # the smallest text of each group, so a repeated task chooses alike
+    return common.written(rows.groupBy("toxic", "kin").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_entries: int = MOST_ENTRIES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_entries: int = MOST_ENTRIES, least_texts: int = LEAST_TEXTS, least_ratio: float = LEAST_RATIO, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """Learn entries, weights, exceptions and curve from the documents that ``labels`` names."""
     common.workers_can_import(docs.sparkSession)
     sample = training_rows(docs, labels, most_rows, id_col, text_col, label_col)
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
+        common.delete(sample.sparkSession, sample)
         return Lexicon()
-    # what enough toxic texts have, then in how many clean texts that is
-    least = max(2, math.ceil(LEAST_RATIO / (2 * math.log((toxic + clean) / toxic))), math.ceil(LEAST_SHARE * toxic))
-    common_keys = _counted(sample.where("toxic = 1"), _patterns).where(F.col("toxic") >= least)
-    candidates = frozenset(r["key"] for r in common_keys.orderBy(F.col("toxic").desc(), "key").limit(64 * most_entries).select("key").collect())
-    rows = _counted(sample, _patterns, candidates).where(F.col("clean") * 20 * toxic <= F.col("toxic") * clean).collect()
-    lexicon = Lexicon(_choose(rows, toxic, clean, most_entries))
+    counts = _counted(sample, _patterns).where((F.col("toxic") >= least_texts) & ((F.col("clean") + 0.5) * LEAST_RATE * (toxic + 1) <= (F.col("toxic") + 0.5) * (clean + 1) * (1 + 1e-9)))
+    lexicon = Lexicon(_choose(_collected(counts, most_entries), toxic, clean, least_ratio))
     automaton = lexicon.automaton()
 
     def phrases(words: list[str]) -> set[str]:
@@ -237,16 +266,18 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_ent
             out |= {" ".join(words[a:b]) for a, b in ((i - 1, i + 1), (i, i + 2)) if a >= 0 and b <= len(words)}
         return out
 
-    spared = _counted(sample, phrases).where("toxic = 0 and clean >= 3").orderBy(F.col("clean").desc(), "key").limit(most_entries).collect()
-    lexicon.exceptions = frozenset(r["key"] for r in spared)
+    spared = _counted(sample, phrases).where("toxic = 0 and clean >= 3")
+    lexicon.exceptions = frozenset(r["key"] for r in _collected(spared, most_entries))
     automaton = lexicon.automaton()
 
+    @common.lean
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [lexicon.features(fold(t.as_py() or ""), automaton) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.float64()), pa.array([b for _, b in found], pa.float64()), batch.column("toxic")], ["dense", "total", "y"])
 
     points = sample.mapInArrow(measured, "dense double, total double, y int").collect()  # three numbers for each of the bounded rows
+    common.delete(sample.sparkSession, sample)
     points.sort()
     lexicon.bias, lexicon.slopes = _fit_curve(np.array([p[:2] for p in points]), np.array([p["y"] for p in points], float))
     return lexicon
@@ -259,6 +290,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col:
     common.workers_can_import(docs.sparkSession)
     schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("score", DoubleType())])
 
+    @common.lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
@@ -273,6 +305,7 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", thr
     """The rows of ``docs`` with a score under ``threshold``; rows pass through the function, nothing is added to them."""
     common.workers_can_import(docs.sparkSession)
 
+    @common.lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
