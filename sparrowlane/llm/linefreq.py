@@ -1,19 +1,20 @@
 """Cross-document line frequency: remove lines that too many documents of a host share, reject depleted documents.
 
 A line is normalised (A-Z lower-cased, white space squeezed) and hashed.  Its frequency is the number of distinct
-documents of a host that hold it, where documents of equal text count once: exact copies are the business of
-deduplication and must not make their own lines look like boilerplate.  A line is over the limits if it is in more than
-``most_documents`` documents of a host, however large the host is; a caller may ask besides for more than ``most_share``
-of the host's documents.  It is removed from all but the first of them (smallest id), so every line stays somewhere.  A
-document is rejected if fewer than ``least_words``
-words remain, or if more than ``most_removed`` of its words went.
-
-Counting goes by (host, line, text) first and by (host, line) then, both summed before the shuffle, so neither a hot host
-nor a hot line gathers in one task.  Frequent lines are joined back by key; adaptive execution splits a hot one.  All
-statistics come from all documents.
-
-Texts that are null or have no words have no lines; they fail the base rules.  A null host is a host of its own.  Rows
-that repeat an id are judged by their own text and host.  An empty table gives no rows.
+documents (ids) of a host that hold it.  A line in more than ``most_documents`` documents of a host, however large the
+host is, is removed from all of them.  A document is rejected if fewer than ``least_words`` words remain, or if more than
+``most_removed`` of its words went.  ``most_share`` asks besides for a share of the host's documents; ``equal_texts_once``
+counts documents of equal text once, and ``keep_first`` leaves a line in the first document (smallest id) and its copies;
+all three are off.
+
+Counting goes by (host, text) first, then by (host, line), both summed before the shuffle, so neither a hot host nor a hot
+line nor a large group of copies gathers in one task.  Frequent lines are joined back by key; adaptive execution splits a
+hot one.  All statistics come from all documents.
+
+Texts that are null or have no words have no lines; they fail the base rules.  A null host is a host of its own.  Very
+long texts are read whole.  Rows that repeat id, host and text are one document; rows that repeat an id alone are judged
+by their own text and host.  An empty table gives no rows.  Other columns pass through :func:`cleaned` as they are, in a
+struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,9 +43,11 @@ class Limits:
     base_words: int = 20
     repeat_percent: int = 30
     most_documents: int = 20
-    most_share: float = 0.0  # a share weakens the verdict as the host grows
-    least_words: int = 5
+    least_words: int = 20  # as the base rule asks of a whole text
     most_removed: float = 0.8
+    most_share: float = 0.0  # a share weakens the verdict as the host grows
+    equal_texts_once: bool = False
+    keep_first: bool = False
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -117,6 +120,7 @@ def analysed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     id_type = docs.schema[id_col].dataType.simpleString()
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
+    @common.lean
     def analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -129,29 +133,42 @@ def analysed(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
                 first = np.flatnonzero(fresh)
                 summed = np.add.reduceat(words, first) if len(first) else words
                 bounds = pa.array(np.searchsorted(doc[first], np.arange(part.num_rows + 1)).astype(np.int32))
-                columns = [part.column("id"), part.column("host"), pa.array(common.hash_strings(texts).view(np.int64)), *(pa.array(found[c], pa.int64()) for c in counts)]
+                columns = [part.column("id"), part.column("host"), part.column("text_hash"), *(pa.array(found[c], pa.int64()) for c in counts)]
                 columns += [pa.ListArray.from_arrays(bounds, pa.array(lines[first])), pa.ListArray.from_arrays(bounds, pa.array(summed.astype(np.int64)))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "host", "text_hash", *counts, "lines", "line_words"])
 
     schema = f"id {id_type}, host string, text_hash long, {', '.join(c + ' long' for c in counts)}, lines array<long>, line_words array<long>"
-    # a null host must meet itself in joins, and no other host
-    host = F.when(F.col(host_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(host_col).cast("string")))
-    return common.written(docs.select(F.col(id_col).alias("id"), host.alias("host"), F.col(text_col).alias("text")).mapInArrow(analyse, schema), "lines")
+    rows = docs.select(F.col(id_col).alias("id"), _host(F.col(host_col)).alias("host"), _text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    return common.written(rows.mapInArrow(analyse, schema), "lines")
+
+
+def _host(host: Column) -> Column:
+    """A null host must meet itself in joins, and no other host."""
+    return F.when(host.isNull(), "-").otherwise(F.concat(F.lit("+"), host.cast("string")))
+
+
+def _text_hash(text: Column) -> Column:
+    """Equal texts by 64 bits; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def distinct_texts(rows: DataFrame) -> DataFrame:
-    """The distinct texts of each host with their smallest id; ``rows`` from :func:`analysed`."""
+    """The distinct texts of each host with their lines, smallest id and number of documents; ``rows`` from :func:`analysed`."""
     texts = rows.groupBy("host", "text_hash").agg(F.min("id").alias("id"), F.first("lines").alias("lines"), F.first("line_words").alias("line_words"))
-    return common.written(texts, "texts")
+    copies = rows.select("host", "text_hash", "id").distinct().groupBy("host", "text_hash").agg(F.count("*").alias("copies"))
+    return common.written(texts.join(copies, ["host", "text_hash"]), "texts")
 
 
 def frequent_lines(texts: DataFrame, limits: Limits) -> DataFrame:
     """``host, line, first_id`` of the lines over the limits; ``texts`` from :func:`distinct_texts`."""
-    totals = texts.groupBy("host").agg(F.count("*").alias("host_documents"))
-    lines = texts.select("host", "id", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("documents"), F.min("id").alias("first_id"))
+    n = F.lit(1) if limits.equal_texts_once else F.col("copies")
+    texts = texts.withColumn("n", n.cast("long"))
+    lines = texts.select("host", "id", "n", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.sum("n").alias("documents"), F.min("id").alias("first_id"))
     lines = lines.where(F.col("documents") > limits.most_documents)
-    over = F.col("documents") > limits.most_share * F.col("host_documents")
-    return lines.join(totals, "host").where(over).select("host", "line", "first_id")
+    if limits.most_share:
+        totals = texts.groupBy("host").agg(F.sum("n").alias("host_documents"))
+        lines = lines.join(totals, "host").where(F.col("documents") > limits.most_share * F.col("host_documents"))
+    return lines.select("host", "line", "first_id")
 
 
 def judged(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:  # noqa: B008
@@ -159,10 +176,12 @@ def judged(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", t
     rows = analysed(docs, id_col, text_col, host_col)
     texts = distinct_texts(rows)
     frequent = common.written(frequent_lines(texts, limits), "frequent")
-    # copies of the first document keep its lines too
     held = texts.select("host", "text_hash", "id", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "text_hash", "id", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    removed = held.join(frequent, ["host", "line"]).where(~F.col("id").eqNullSafe(F.col("first_id")))
-    removed = removed.groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed"))
+    removed = held.join(frequent, ["host", "line"])
+    if limits.keep_first:
+        removed = removed.where(~F.col("id").eqNullSafe(F.col("first_id")))
+    removed = common.written(removed.groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed")), "removed")
+    common.delete(docs.sparkSession, texts, frequent)
     out = rows.join(removed, ["host", "text_hash"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < limits.base_words) | (100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words"))
     rest = F.col("n_words") - F.col("removed_words")
@@ -181,39 +200,24 @@ def without_lines(text: str, removed: set[int]) -> str:
 
 def cleaned(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:  # noqa: B008
     """The rows of ``docs`` that are kept, with all their columns and the texts rid of the removed lines."""
-    spark = docs.sparkSession
+    common.workers_can_import(docs.sparkSession)
     verdicts = judged(docs, limits, id_col, text_col, host_col).where("kept")
-    # rows of one id are told apart by text and host; a text that changes is one with removed lines
-    host = F.when(F.col(host_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(host_col).cast("string")))
-    common.workers_can_import(spark)
-    verdicts = verdicts.groupBy("host", "text_hash").agg(F.first("removed").alias("__removed"))
-    keyed = _with_text_hash(docs.withColumn("__host", host), text_col)
-    verdicts = verdicts.withColumnsRenamed({"host": "__host", "text_hash": "__text_hash"})
-    joined = keyed.join(verdicts, ["__host", "__text_hash"]).drop("__host", "__text_hash")
-    schema = joined.schema
-    place = schema.fieldNames().index(text_col)
+    # a verdict belongs to a text of a host, so rows of one id are told apart
+    verdicts = verdicts.groupBy("host", "text_hash").agg(F.first("removed").alias("removed"))
+    keyed = docs.select(common.row_of(docs), _host(F.col(host_col)).alias("host"), _text_hash(F.col(text_col)).alias("text_hash"))
+    joined = keyed.join(verdicts, ["host", "text_hash"]).select("row", "removed")
+    place = docs.columns.index(text_col)
 
+    @common.lean
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.slices(batch, text_col):
-                texts, removed = part.column(text_col).to_pylist(), part.column("__removed").to_pylist()
-                new = [without_lines(t, set(r)) if t and r else t for t, r in zip(texts, removed, strict=True)]
-                yield part.set_column(place, part.schema.field(place), pa.array(new, part.schema.field(place).type))
-
-    out = joined.mapInArrow(clean, schema).drop("__removed")
-    return out.select(*docs.columns)
-
-
-def _with_text_hash(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``__text_hash`` as :func:`analysed` makes it."""
-    from pyspark.sql.types import LongType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("__text_hash", LongType())
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.slices(batch, text_col):
-                hashes = pa.array(common.hash_strings(common.texts_of(part.column(text_col))).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns, hashes], [*part.schema.names, "__text_hash"])
-
-    return docs.mapInArrow(add, schema)
+            row = batch.column("row")
+            names = [f.name for f in row.type]
+            flat = pa.RecordBatch.from_arrays([*row.flatten(), batch.column("removed")], [str(i) for i in range(len(names) + 1)])
+            for part in common.slices(flat, place):
+                columns, text = part.columns[:-1], part.column(place)
+                new = [without_lines(t, set(r)) if t and r else t for t, r in zip(text.to_pylist(), part.columns[-1].to_pylist(), strict=True)]
+                columns[place] = pa.array(new, text.type)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return joined.mapInArrow(clean, docs.schema)
