@@ -1,14 +1,17 @@
 """URL filter: prefix rules, then a listing behind a blocked Bloom filter.  DataFrame functions only.
 
 The listed canonical URLs fill a Bloom filter of 64-bit blocks: a URL's hash chooses one block and, in it, a few bits, so
-a probe reads one word.  The blocks are a table ``(block, word)`` made by one ``bit_or`` aggregation.  Their number is a
-power of two under a fixed bound, so the broadcast of the filter has a proven size; a longer listing only raises the rate
-of false positives.  Rows whose bits are not all set are done without any shuffle.  The others go to an exact hash join
-on the canonical URL, which removes the false positives; only they are shuffled, and a hot URL is split by adaptive
-execution, since the listing holds each URL once.
-
-Null URLs, and URLs without ``://``, have an empty host and path, no rule and no listing entry: they are allowed.
-Repeated rows are judged each; an empty table or listing gives the obvious result.
+a probe reads one word.  The blocks come from one ``bit_or`` aggregation and travel as pages of 1,024 words.  Their number
+is a power of two up to ``MOST_BLOCKS``, so the broadcast is 64 MB at most, which serves 33 million listed URLs at 16 bits
+each; a longer listing raises the rate of false positives, and with it the rows of the exact join, but never changes a
+verdict.  Rows whose bits are not all set are done without any shuffle.  The others go to an exact hash join on the
+canonical URL, which removes the false positives; only they are shuffled, and a hot URL is split by adaptive execution,
+since the listing holds each URL once.  The table is read once for each of the two ways: one outer join for all rows would
+read it once and shuffle it whole.
+
+Null URLs, and URLs without ``://``, have an empty host and path, no rule and no listing entry: they are allowed.  URLs of
+any length are read whole.  Repeated rows are judged each; an empty table gives no rows, an empty listing blocks nothing.
+Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,7 +26,8 @@ from . import common
 
 BITS_PER_URL = 16
 PROBES = 6
-MOST_BLOCKS = 1 << 18  # of 64 bits: a broadcast of 4 MB of longs at most
+PAGE_BITS = 10
+MOST_BLOCKS = 1 << 23  # of 64 bits: a broadcast of 64 MB
 
 
 @dataclass(frozen=True)
@@ -84,9 +88,13 @@ def _mask(url: Column, probes: int) -> Column:
     return mask
 
 
-def bloom_blocks(listed: DataFrame, blocks: int, probes: int = PROBES) -> DataFrame:
-    """``(block, word)`` of the filter of the canonical URLs in column ``url``; blocks without a bit are left out."""
-    return listed.where(F.col("url").isNotNull()).groupBy(_block(F.col("url"), blocks).alias("block")).agg(F.bit_or(_mask(F.col("url"), probes)).alias("word"))
+def bloom_pages(listed: DataFrame, blocks: int, probes: int = PROBES) -> DataFrame:
+    """``(page, words)`` of the filter of the canonical URLs in column ``url``: the words of 1,024 blocks in order."""
+    filled = listed.where(F.col("url").isNotNull()).select(_block(F.col("url"), blocks).alias("block"), _mask(F.col("url"), probes).alias("mask"))
+    bare = listed.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(0).cast("long").alias("mask"))
+    words = filled.union(bare).groupBy("block").agg(F.bit_or("mask").alias("word"))
+    pages = words.groupBy(F.shiftright("block", PAGE_BITS).alias("page")).agg(F.array_sort(F.collect_list(F.struct("block", "word"))).alias("w"))
+    return pages.select("page", F.transform("w", lambda x: x["word"]).alias("words"))
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -96,13 +104,15 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str =
     """
     listed = common.written(listed.where(F.col("url").isNotNull()).select("url").distinct(), "listed")
     blocks = block_count(listed.count())
-    # the number of rows is at most the number of blocks, so the broadcast has a proven bound
-    bloom = F.broadcast(bloom_blocks(listed, blocks))
+    # eight bytes for each of a bounded number of blocks
+    bloom = F.broadcast(bloom_pages(listed, blocks))
     host, path = F.col("host"), F.col("path")
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rows = rows.select("id", "host", "path", rule_of(rules, host, path, "text").alias("rule"), rule_of(rules, host, path, "verdict").alias("by_rule"), canonical(host, path).alias("url"))
     rows = rows.withColumn("block", F.when(F.col("rule").isNull(), _block(F.col("url"), blocks)))
-    probed = rows.join(bloom, "block", "left").withColumn("mask", _mask(F.col("url"), PROBES))
+    rows = rows.withColumn("page", F.shiftright("block", PAGE_BITS))
+    probed = rows.join(bloom, "page", "left").withColumn("mask", _mask(F.col("url"), PROBES))
+    probed = probed.withColumn("word", F.element_at("words", F.col("block").bitwiseAND(F.lit((1 << PAGE_BITS) - 1)) + 1))
     possible = F.coalesce(F.col("rule").isNull() & (F.col("word").bitwiseAND(F.col("mask")) == F.col("mask")), F.lit(False))
     probed = probed.withColumn("possible", possible)
     done = probed.where(~F.col("possible")).select("id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"))
