@@ -4,8 +4,8 @@ A text is its words (A-Z lower-cased) and one end; the first word follows a begi
 are known by 64-bit hashes.
 
 Counting: each task sums the pairs of its texts and packs them into one block for each of ``parts`` hash ranges, so the
-shuffle moves sorted arrays, not a row per pair.  A pair's part comes from its first word and two bits of its second:
-a frequent word is spread over parts.  A part's task merges its blocks, writes the sorted array of pair hashes with their
+shuffle moves sorted arrays, not a row per pair.  A pair's part comes from its first word and six bits of its second:
+a frequent word is spread over 64 parts.  A part's task merges its blocks, writes the sorted array of pair hashes with their
 counts, and sends each word's shares (as a pair's second word: count and number of distinct predecessors; as its first:
 numbers of successors seen once, twice, more often) to the word's part, whose task merges and writes them sorted by hash.
 Only the list of files and the counts of counts reach the driver.
@@ -14,8 +14,8 @@ Order three counts triples first, in the same way: a triple's part is that of it
 triples and, as contexts, the pairs they begin with (count and numbers of successors seen once, twice, more often), and
 sends each pair they end with (number of distinct predecessors, and count) to the pair's part, which goes on as above.
 
-The arrays lie in the shared folder and workers map them into memory, so a worker holds no copy and reads what it needs;
-a batch's distinct words and pairs are looked up in hash order.  Files have names of their own for each task attempt and
+The arrays lie in the shared folder and workers map them into memory, so a worker holds no copy and reads what it needs
+(from a store that cannot be mapped it reads files by need and holds ``READ_BYTES`` of them at most); a batch's distinct words and pairs are looked up in hash order.  Files have names of their own for each task attempt and
 only a successful attempt's are listed.
 
 Probability of word w after v: p2(w|v) = (max(c(v,w) - D(c), 0) + (D1 n1(v) + D2 n2(v) + D3 n3(v)) p1(w)) / c(v), and
@@ -26,7 +26,8 @@ then numbers of distinct predecessors, c(v) their sum.  Nothing precedes the beg
 their counts, and a first word has p2.  Discounts of each order are estimated from counts of counts; where these are too few, 0.5, 1 and 1.5 stand in.
 
 Null texts count as empty: their end follows the begin mark.  A null id counts as the empty text for the split.  Repeated
-rows count each.  Without training texts every word is unknown: N = V = 0 and a token's probability is 1 (its base too).
+rows count each.  Very long texts are counted and scored whole, in slices of rows.  An empty table gives no rows.  Other
+columns are not read, so their names cannot clash.  Without training texts every word is unknown: N = V = 0 and a token's probability is 1 (its base too).
 """
 
 from __future__ import annotations
@@ -49,7 +50,9 @@ END = common.mix(np.array([0xE17D], np.uint64))[0]
 START = common.mix(np.array([0x57A7], np.uint64))[0]  # in the place before BEGIN
 FLUSH_TOKENS = 2 << 20
 PART_BYTES = 4 << 20  # of input for each part
-SALT = 4
+SALT_BITS = 6
+MOST_PARTS = 1 << 18
+READ_BYTES = 256 << 20  # of arrays that a worker holds where the store cannot be mapped
 
 
 def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,8 +90,8 @@ def _range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 
 def pair_part(before: np.ndarray, tokens: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each pair: the first word's range, moved on by two bits of the second."""
-    salt = (tokens & np.uint64(SALT - 1)).astype(np.int64) * max(1, parts // SALT)
+    """The part of each pair: the first word's range, moved on by six bits of the second, so 64 parts share a frequent word."""
+    salt = (tokens & np.uint64((1 << SALT_BITS) - 1)).astype(np.int64) * max(1, parts >> SALT_BITS)
     return (_range_of(before, parts) + salt) % parts
 
 
@@ -126,7 +129,7 @@ def _pair_blocks(before: np.ndarray, tokens: np.ndarray, parts: int, *values: np
     # equal pairs become neighbours; the few that do not are summed later
     bits = np.uint64(24)
     order = np.argsort((before >> (np.uint64(64) - bits) << (np.uint64(64) - bits)) | (pair_hash(before, tokens) >> bits))
-    order = order[np.argsort(part[order].astype(np.uint16), kind="stable")]
+    order = order[np.argsort(part[order].astype(np.uint32), kind="stable")]
     part, before, tokens = part[order], before[order], tokens[order]
     first = np.flatnonzero(np.insert((before[1:] != before[:-1]) | (tokens[1:] != tokens[:-1]) | (part[1:] != part[:-1]), 0, True))
     sums = [np.add.reduceat(x[order], first) for x in values] or [np.diff(np.append(first, len(before)))]
@@ -151,7 +154,7 @@ def _triple_blocks(earlier: np.ndarray, before: np.ndarray, tokens: np.ndarray,
     context = pair_hash(earlier, before)
     bits = np.uint64(32)
     order = np.argsort((context >> bits << bits) | (pair_hash(context, tokens) >> bits))
-    order = order[np.argsort(part[order].astype(np.uint16), kind="stable")]
+    order = order[np.argsort(part[order].astype(np.uint32), kind="stable")]
     part, context, tokens, earlier, before = part[order], context[order], tokens[order], earlier[order], before[order]
     first = np.flatnonzero(np.insert((context[1:] != context[:-1]) | (tokens[1:] != tokens[:-1]) | (part[1:] != part[:-1]), 0, True))
     counts = np.diff(np.append(first, len(part)))
@@ -224,9 +227,9 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def default_parts(df: DataFrame) -> int:
-    """A power of two after the size of the input in Spark's plan."""
+    """A power of two after the size of the input in Spark's plan; beyond a terabyte the parts grow instead of their number."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 1 << max(4, min(15, (max(1, size // PART_BYTES) - 1).bit_length()))
+    return min(MOST_PARTS, 1 << max(4, (max(1, size // PART_BYTES) - 1).bit_length()))
 
 
 def train(texts: DataFrame, text_col: str = "text", parts: int | None = None, order: int = 2) -> Model:
@@ -240,6 +243,7 @@ def train(texts: DataFrame, text_col: str = "text", parts: int | None = None, or
     fs, inner = open_fs(folder)
     fs.create_dir(inner)
 
+    @common.lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
@@ -364,17 +368,24 @@ def train(texts: DataFrame, text_col: str = "text", parts: int | None = None, or
 class MappedModel:
     """The arrays of a model, mapped from the shared folder."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, mappable: bool | None = None):
         self.m = model
+        self.mappable = model.folder.startswith("file:") if mappable is None else mappable
         self.open: dict[str, list[np.ndarray]] = {}
+        self.held = 0
 
     def _arrays(self, entry: tuple[str, str, int]) -> list[np.ndarray]:
         path, dtypes, _ = entry
         if path not in self.open:
-            if self.m.folder.startswith("file:"):
+            if self.mappable:
                 raw = np.memmap(path, np.uint8, "r")
-            else:  # a store without mapping
-                raw = open_fs(self.m.folder)[0].open_input_file(path).read_buffer()
+            else:  # files are read by need and the oldest go, so memory is bounded
+                with open_fs(self.m.folder)[0].open_input_file(path) as source:
+                    raw = source.read_buffer()
+                self.held += len(raw)
+                while self.open and self.held > READ_BYTES:
+                    gone = self.open.pop(next(iter(self.open)))
+                    self.held -= sum(a.nbytes for a in gone)
             out, at = [], 0
             for dtype, _, n in (x.partition(":") for x in dtypes.split(",")):
                 out.append(np.frombuffer(raw, dtype, int(n), at))
@@ -412,7 +423,7 @@ class MappedModel:
         h = h[order]
         first = np.flatnonzero(np.insert(h[1:] != h[:-1], 0, True))
         part = part[order][first]
-        by_part = np.argsort(part.astype(np.uint16), kind="stable")
+        by_part = np.argsort(part.astype(np.uint32), kind="stable")
         lengths = np.diff(np.append(first, len(h)))
         columns = []
         for values in self._looked_up(files, h[first][by_part], part[by_part], ones):
@@ -459,6 +470,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     common.workers_can_import(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @common.lean
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapped = model.mapped()
         for batch in batches:
