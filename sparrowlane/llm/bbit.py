@@ -15,13 +15,16 @@ Buckets are classes with an equal band.  Their pairs are never all emitted:
    the task again and confirm enough links to join all that belong together.  Buckets larger than a block are compared
    block against block in tasks of their own; no class and no pair is dropped.
 
-The estimate from equal low bits is corrected for chance, J = (E - 2^-b) / (1 - 2^-b).  Pairs under 0.64 are dropped: four
-standard deviations below 0.75.  Confirmation counts the intersection of the sets (100 * common >= 75 * all).
+The estimate from equal low bits is corrected for chance, J = (E - 2^-b) / (1 - 2^-b).  Pairs under 0.60 are dropped: over
+five standard deviations below 0.75, which at exactly 0.75 one pair in ten million falls under.  Confirmation counts the intersection of the sets (100 * common >= 75 * all).
 Components of the confirmed links follow from alternating stars.
 
 Texts that are null or have no words have an empty set and are linked with nothing, each a component of its own.  With
-fewer than five words the whole sequence is the one shingle.  Rows that repeat an id are classified by their own texts;
-null ids never name a component unless all its ids are null.  An empty table gives no rows.  Extra columns are ignored.
+fewer than five words the whole sequence is the one shingle.  Very long texts are read whole.  Rows that repeat an id are
+classified by their own texts; null ids never name a component unless all its ids are null.  An empty table gives no rows.
+:func:`without_near_duplicates` keeps one row of each group: of the smallest id, and where that is repeated, of the text
+with the smallest hash; a row that repeats id and text stays once, also without words.  Other columns pass through it in a
+struct and are ignored elsewhere, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ SHINGLE = 5
 HASHES = 256
 BANDS, ROWS = 32, 4
 BITS = 4
-LEAST_ESTIMATE = 0.64
+LEAST_ESTIMATE = 0.60
 BLOCK = 2048
 MOST_BROADCAST_IDS = 1_000_000  # of 8 bytes
 
@@ -101,10 +104,11 @@ def _node(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Written ``id, n, node, bands, bits``: node is the fingerprint of the set, null for an empty one."""
+    """Written ``id, text_hash, n, node, bands, bits``: node is the fingerprint of the set, null for an empty one."""
     common.workers_can_import(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @common.lean
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -112,15 +116,16 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lows = [minima(s) if len(s) else None for s in sets]
                 columns = [
                     part.column("id"),
+                    part.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array([None if m is None else band_keys(m).view(np.int64) for m in lows], pa.list_(pa.int64())),
                     pa.array([None if m is None else packed_bits(m) for m in lows], pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "node", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "n", "node", "bands", "bits"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return common.written(rows.mapInArrow(sign, f"id {id_type}, n long, node long, bands array<long>, bits binary"), "signatures")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return common.written(rows.mapInArrow(sign, f"id {id_type}, text_hash long, n long, node long, bands array<long>, bits binary"), "signatures")
 
 
 # ---------------------------------------------------------------- confirmation
@@ -132,6 +137,7 @@ def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(side.select(F.col("id").alias("wanted_id")), rows["id"].eqNullSafe(F.col("wanted_id")), "left_semi")
 
+    @common.lean
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
@@ -140,7 +146,9 @@ def sets_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
 
     # a repeated id may bring other texts, and repeated rows the same
     found = rows.mapInArrow(shingled, "node long, shingles binary").join(nodes, "node", "left_semi")
-    return common.written(found.dropDuplicates(["node"]), "sets")
+    found = common.written(found.dropDuplicates(["node"]), "sets")
+    common.delete(docs.sparkSession, wanted)
+    return found
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -149,6 +157,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     rows = pairs.select("a", F.explode("partners").alias("b")).join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
+    @common.lean
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
@@ -166,6 +175,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     right = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
     near = pairs.join(left, "a").join(right, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
 
+    @common.lean
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
@@ -213,6 +223,7 @@ def _rests(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(*task, "block", "band", "node", "label", "n", "bits", "bands").repartition(parts, *task).sortWithinPartitions(*task, "node")
 
+    @common.lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_tasks(batches, task):
             keys = np.stack([table.column(c).to_numpy() for c in task], axis=1)
@@ -236,6 +247,7 @@ def _confirmed_rests(rests: DataFrame, sets: DataFrame) -> DataFrame:
     parts = int(rests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rests.join(sets, "node").select(*_TASK, "node", "partners", "shingles").repartition(parts, *_TASK).sortWithinPartitions(*_TASK, "node")
 
+    @common.lean
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_tasks(batches, _TASK):
             keys = np.stack([table.column(c).to_numpy() for c in _TASK], axis=1)
@@ -280,8 +292,9 @@ def _whole_tasks(batches: Iterator[pa.RecordBatch], task: list[str]) -> Iterator
         yield pa.Table.from_batches(held)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, n_shingles, component_id, kept of each row."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, text_hash, n, component, component_id`` of each row; component is null for empty sets."""
+    spark = docs.sparkSession
     signed = signatures(docs, id_col, text_col)
     classes = signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = common.written(classes, "classes")
@@ -292,17 +305,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = buckets.select(F.explode(F.array("low", "high")).alias("a"), F.col("node").alias("b")).where("a <> b")
     stars = common.written(_estimated(leaders.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes), "stars")
     star_nodes = stars.select(F.col("a").alias("node")).union(stars.select(F.explode("partners").alias("node"))).distinct()
-    star_links = confirmed(stars, sets_of(star_nodes, classes, docs, id_col, text_col))
-    label = common.written(connected_components(star_links).withColumnRenamed("component", "label"), "labels")
+    star_sets = sets_of(star_nodes, classes, docs, id_col, text_col)
+    label = common.written(connected_components(confirmed(stars, star_sets)).withColumnRenamed("component", "label"), "labels")
+    common.delete(spark, stars, star_sets)
     rests = common.written(_rests(buckets.select("key", "band", "node"), label, classes), "rests")
-    rest_links = _confirmed_rests(rests, sets_of(rests.select("node").distinct(), classes, docs, id_col, text_col))
-
-    joined = label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest_links)
+    rest_sets = sets_of(rests.select("node").distinct(), classes, docs, id_col, text_col)
+    joined = label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(_confirmed_rests(rests, rest_sets))
     component = common.written(connected_components(joined), "components")
+    common.delete(spark, buckets, label, rests, rest_sets)
+
     named = component.join(classes.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("component_id"))
-    of_node = component.join(named, "component").select("node", "component_id")
-    of_class = classes.select("node", "id").join(of_node, "node", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
-    out = signed.select("id", "n", "node").join(of_class, "node", "left")
+    of_node = component.join(named, "component").select("node", "component", "component_id")
+    of_class = classes.select("node", "id").join(of_node, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
+    out = signed.select("id", "text_hash", "n", "node").join(of_class, "node", "left")
     found = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"))
+    return out.select("id", "text_hash", "n", "component", found.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, n_shingles, component_id, kept of each row."""
+    out = grouped(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group, with all its columns."""
+    kept = grouped(docs, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id")))
+    # narrow rows: how often the chosen text of the smallest id occurs
+    texts = kept.groupBy("component", "id", "text_hash").agg(F.count("*").alias("rows"))
+    chosen = texts.groupBy("component", "id").agg(F.min(F.struct("text_hash", "rows")).alias("c"))
+    chosen = common.written(chosen.select(F.col("id").alias("kept_id"), F.col("c.text_hash").alias("kept_hash"), (F.col("c.rows") > 1).alias("again")), "kept")
+    rows = docs.select(common.row_of(docs), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    same = lambda c: rows["id"].eqNullSafe(c["kept_id"]) & (rows["text_hash"] == c["kept_hash"])
+    single, again = chosen.where("not again"), chosen.where("again").select("kept_id", "kept_hash").distinct()
+    out = rows.join(single, same(single), "left_semi").select("row.*")
+    if again.isEmpty():
+        return out
+    repeated = rows.join(again, same(again), "left_semi").groupBy("id", "text_hash").agg(F.first("row").alias("row")).select("row.*")
+    return out.unionByName(repeated)
