@@ -5,7 +5,9 @@ byte-to-character rule) and the merges are all splits of a token into two tokens
 whole match that is a token is taken at once, as rank-file encoders do.  Decoding goes by a table of each id's bytes, so
 tokens that end inside a character are put together before the bytes are read as UTF-8.
 
-Null texts count as empty (no ids); ids and extra columns may be null; repeated rows are encoded each.
+Null texts count as empty (no ids), null lists of ids decode to nothing; document ids may be null; repeated rows are
+encoded each.  A very long text is cut at safe places and encoded whole.  An empty table gives no rows.  Other columns are
+not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .segments import SegmentMemo
+from .segments import SegmentMemo, packed_ids
 
 
 def byte_characters() -> list[str]:
@@ -59,7 +61,7 @@ class ByteBpe:
         self.memo = SegmentMemo(self._ids)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [packed_ids(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_batch(self, texts: pa.Array) -> Iterator[list[int]]:
         """The ids of each text."""
@@ -90,6 +92,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     common.workers_can_import(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
+    @common.lean
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
         for batch in batches:
@@ -109,6 +112,7 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
     common.workers_can_import(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
+    @common.lean
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
         for batch in batches:
@@ -124,6 +128,7 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str, id_col: str = "do
     common.workers_can_import(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
+    @common.lean
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path, pattern)
         for batch in batches:

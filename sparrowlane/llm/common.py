@@ -7,7 +7,9 @@ more memory than a batch of short ones.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +18,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import new_path, workers_can_import
+from ..session import new_path, workers_can_import, written
 
-SLICE_BYTES = 8 << 20
+__all__ = ["new_path", "workers_can_import", "written"]
+
+SLICE_BYTES = 2 << 20  # kernels hold some 20 times as much for word lists, hashes and gathers
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
@@ -28,14 +32,6 @@ ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 # ---------------------------------------------------------------- shared folder
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def delete(spark: SparkSession, *frames: DataFrame) -> None:
     """Remove the files of frames from :func:`written` that no later plan reads."""
     fs_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -49,6 +45,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_of(df: DataFrame) -> Column:
+    """All columns as one struct ``row``, beside which an operator's own columns cannot clash with theirs."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("row")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased; other letters as they are."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
@@ -61,7 +62,28 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
 
 # ---------------------------------------------------------------- Arrow helpers
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Hand free memory back to the system: a worker is used again by later stages and must not keep what one needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function of Arrow batches that gives its free memory back when it ends."""
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            yield from f(*args)
+        finally:
+            give_back()
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a slice holds about ``most`` bytes of ``column``, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)

@@ -10,8 +10,9 @@ Pieces are dealt by hash to groups of about ``group_pieces``; each group is pack
 last few bins' rests, so the groups run on any number of executors.  The tokens are encoded once, into a written table of
 piece lengths; a lost executor repeats one group.
 
-Null texts count as empty: their end id is packed alone.  Ids may be null or repeated: each row is packed.  An empty
-table gives no rows.
+Null texts count as empty: their end id is packed alone.  Ids may be null or repeated: each row is packed.  A very long
+text is read whole and gives as many pieces as it needs.  Pieces of equal length are taken by hash, id and number, so a
+repeated task packs alike.  An empty table gives no rows.  Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .segments import MEMO_ENTRIES, hf_memo
+from .segments import MEMO_BYTES, hf_memo
 
 CAPACITY = 4096
 END_ID = 1
@@ -81,14 +82,15 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return number, offset
 
 
-def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", memo_entries: int = MEMO_ENTRIES) -> DataFrame:
+def pieces(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """``id_col``, piece, start, length, ids_crc32 of each piece of each row's encoded text, and ``deal`` to group by."""
     common.workers_can_import(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
+    @common.lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = hf_memo(tokenizer_path, memo_entries)
+        memo = hf_memo(tokenizer_path, memo_bytes)
         for batch in batches:
             for part in common.slices(batch, "text"):
                 texts = common.texts_of(part.column("text"))
@@ -129,10 +131,10 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
     return grouped.applyInArrow(packed, f"{id_col} {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", group_pieces: int = GROUP_PIECES, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """One row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset.
 
-    ``memo_entries`` trades a worker's memory (about 200 bytes each) for encoding time; it has no part in the result.
+    ``memo_bytes`` trades a worker's memory for encoding time; it has no part in the result.
     """
-    cut = common.written(pieces(df, tokenizer_path, capacity, end_id, id_col, text_col, memo_entries), "pieces")
+    cut = common.written(pieces(df, tokenizer_path, capacity, end_id, id_col, text_col, memo_bytes), "pieces")
     return pack(cut, capacity, group_pieces, id_col)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bbit, bytebpe, common, kneserney, linefreq, packing, tokencount, topk, toxicity, urlfilter, warc
 
-TOKENIZERS = os.environ.get("SPARROWLANE_TOKENIZERS", "/opt/tokenizers")
+OP3_MEMO_BYTES = 240 << 20
 URL_RULES = [
     urlfilter.Rule("allow", "org", "/"),
     urlfilter.Rule("block", "example.org", "/es/"),
@@ -19,20 +18,6 @@ URL_RULES = [
 ]
 
 
-def vocabulary(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
-
-
-def split_pattern() -> str:
-    """The pattern that belongs to the rank files, from the package beside them."""
-    import importlib.util
-
-    spec = importlib.util.spec_from_file_location("tokenizer_files", os.path.join(TOKENIZERS, "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return module.PATTERN
-
-
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(spark, common.read_table(spark, sf_dir, "pages"))
 
@@ -42,11 +27,11 @@ def op2_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(common.read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), memo_entries=1_200_000)
+    return packing.pack_documents(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), memo_bytes=OP3_MEMO_BYTES)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(common.read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return tokencount.token_counts(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +69,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bytebpe.round_trip_digests(common.read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), split_pattern())
+    return bytebpe.round_trip_digests(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,34 +135,25 @@ WITH d AS (
   SELECT doc_id, host, text, line, array_to_string(line_words, ' ') AS norm, len(line_words) AS words FROM lines WHERE len(line_words) > 0
 ), duplicates AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY doc_id
-), texts AS (
-  SELECT host, text, min(doc_id) AS first_doc FROM d GROUP BY host, text
-), host_size AS (
-  SELECT host, count(*) AS host_documents FROM texts GROUP BY host
-), text_lines AS (
-  SELECT w.host, w.text, t.first_doc, w.norm, sum(w.words) AS words
-  FROM worded w JOIN texts t ON w.host = t.host AND w.text = t.text AND w.doc_id = t.first_doc
-  GROUP BY w.host, w.text, t.first_doc, w.norm
+), document_lines AS (
+  SELECT doc_id, host, norm, sum(words) AS words FROM worded GROUP BY doc_id, host, norm
 ), frequent AS (
-  SELECT l.host, l.norm, min(l.first_doc) AS first_id
-  FROM text_lines l JOIN host_size h ON l.host = h.host
-  GROUP BY l.host, l.norm, h.host_documents
-  HAVING count(*) > 20 AND count(*) > 0.01::DOUBLE * h.host_documents
+  SELECT host, norm FROM document_lines GROUP BY host, norm HAVING count(DISTINCT doc_id) > 20
 ), removed AS (
-  SELECT l.host, l.text, sum(l.words) AS removed_words
-  FROM text_lines l JOIN frequent f ON l.host = f.host AND l.norm = f.norm AND l.first_doc <> f.first_id
-  GROUP BY l.host, l.text
+  SELECT l.doc_id, sum(l.words) AS removed_words
+  FROM document_lines l JOIN frequent f ON l.host = f.host AND l.norm = f.norm
+  GROUP BY l.doc_id
 ), stats AS (
   SELECT d.doc_id, len(d.words)::BIGINT AS n_words, length(array_to_string(d.words, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(d.text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          coalesce(u.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words,
          coalesce(m.removed_words, 0)::BIGINT AS removed_words
   FROM d LEFT JOIN duplicates u ON d.doc_id = u.doc_id LEFT JOIN repeats r ON d.doc_id = r.doc_id
-         LEFT JOIN removed m ON d.host = m.host AND d.text = m.text
+         LEFT JOIN removed m ON d.doc_id = m.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, removed_words,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= 5
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - removed_words >= 20
          AND removed_words <= 0.8::DOUBLE * n_words AS kept
 FROM stats
 """

@@ -11,6 +11,7 @@ bytes.  Long texts are spread over many batches by the same cuts.
 from __future__ import annotations
 
 import os
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -19,7 +20,8 @@ import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO_ENTRIES = 500_000
+MEMO_BYTES = 64 << 20
+ENTRY_BYTES = 200  # of Python objects and table for an entry, besides its bytes
 BATCH_BYTES = 1 << 18
 _SPACE, _LINE_FEED = 0x20, 0x0A
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -74,21 +76,32 @@ def byte_batches(texts: Iterable[str], most: int = BATCH_BYTES) -> Iterator[list
         yield batch
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class SegmentMemo:
     """What ``encode`` makes of segments: a bytes value for each text of a list.
 
-    Two generations hold at most about ``entries``: when the young one has half of them it becomes the old one, which is
-    dropped then; what is used again moves to the young one, so frequent segments stay.
+    Two generations hold at most about ``most`` bytes: when the young one has half of them it becomes the old one, which
+    is dropped then; what is used again moves to the young one, so frequent segments stay.  A segment that alone is more
+    than a hundredth of that is not kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = MEMO_ENTRIES):
-        self.encode, self.entries = encode, entries
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = MEMO_BYTES):
+        self.encode, self.most, self.held = encode, most, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _keep(self, text: str, value: bytes) -> None:
+        self.young[text] = value
+        self.held += ENTRY_BYTES + len(text) + len(value)
+
     def of_distinct(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > self.entries // 2:
-            self.young, self.old = {}, self.young
+        """What ``encode`` makes of distinct texts."""
+        if self.held > self.most // 2:
+            self.young, self.old, self.held = {}, self.young, 0
         out = [self.young.get(x) for x in texts]
         unknown = []
         for i, value in enumerate(out):
@@ -98,10 +111,16 @@ class SegmentMemo:
                 if value is None:
                     unknown.append(text)
                 else:
-                    self.young[text] = value
-        for batch in byte_batches(unknown):
-            self.young.update(zip(batch, self.encode(batch), strict=True))
-        return [self.young[x] if v is None else v for x, v in zip(texts, out, strict=True)] if unknown else out
+                    self._keep(text, value)
+        found = iter([x for batch in byte_batches(unknown) for x in self._encoded(batch)])
+        return [next(found) if v is None else v for v in out] if unknown else out
+
+    def _encoded(self, batch: list[str]) -> list[bytes]:
+        values = self.encode(batch)
+        for text, value in zip(batch, values, strict=True):
+            if len(text) + len(value) <= self.most // 100:
+                self._keep(text, value)
+        return values
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The 32-bit ids of all texts in order, and offsets: text i has ``offsets[i]`` up to the next."""
@@ -143,6 +162,6 @@ def hf_tokenizer(path: str):
 
 
 @lru_cache(maxsize=4)
-def hf_memo(path: str, entries: int = MEMO_ENTRIES) -> SegmentMemo:
+def hf_memo(path: str, most: int = MEMO_BYTES) -> SegmentMemo:
     tokenizer = hf_tokenizer(path)
-    return SegmentMemo(lambda texts: [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], entries)
+    return SegmentMemo(lambda texts: [packed_ids(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], most)

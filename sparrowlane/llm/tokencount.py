@@ -4,6 +4,7 @@ Texts are cut at safe places (see ``segments``), so one very long text is spread
 gets batches of about equal bytes.  No column but the id and the counts leaves the function and nothing is shuffled.
 
 Null texts count as empty (0 tokens); a null id stays null; repeated rows are counted each; an empty table gives none.
+Very long texts are counted whole.  Other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     common.workers_can_import(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
 
+    @common.lean
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):

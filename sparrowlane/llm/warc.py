@@ -11,7 +11,8 @@ for itself; only those of successful attempts are listed, so lost executors and
 
 A null payload counts as empty.  A null id is written as ``null`` and never is a response while the same payload has
 another id.  Rows that repeat both id and payload get a record each, of the same type.  Null URLs are left out of the
-header.  An empty table makes no archive and no rows.
+header.  A very long payload crosses in chunks of ``CHUNK_BYTES``.  An empty table makes no archive and no rows.  Other
+columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -138,6 +139,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         F.when(F.col("at") == 0, F.coalesce(F.col("id").cast("string"), F.lit("null"))).alias("record"), F.when(F.col("at") == 0, F.col("uri")).alias("uri"), "type", "refers_to", "digest", "length", F.substring("kept", F.col("at").cast("int") + 1, F.lit(chunk_bytes)).alias("data")
     ).withColumn("refers_to", F.col("refers_to").cast("string"))
 
+    @common.lean
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, inside = ArchiveWriter(folder), False
         for batch in batches:
@@ -239,6 +241,7 @@ def read_archives(archives: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    @common.lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column("path").to_pylist():

@@ -6,18 +6,19 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from sparrowlane.llm import bytebpe, packing, queries, segments, tokencount
+from sparrowlane.llm import bytebpe, packing, segments, tokencount
 
 from .fixtures import documents, edge_rows
 
-GPT = queries.vocabulary("byte_bpe_50k.json")
-WORDS = queries.vocabulary("word_bpe_49k.json")
-RANKS = queries.vocabulary("byte_bpe_multi_50k.tiktoken")
+GPT = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ALPHABET = [chr(c) for c in range(32, 0x3100, 7)] + list("  \n\t\r\x1c\x1d\x85\xa0　  'sSltd09aaa.,!    ") * 12 + ["🙂", "한", "<|endoftext|>", "é", "İ", "Σ"]
 
 
@@ -29,7 +30,7 @@ def random_texts(n, seed=2):
 @pytest.fixture(scope="module")
 def tik():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
-    return tiktoken.Encoding("own", pat_str=queries.split_pattern(), mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @pytest.mark.parametrize("path", [GPT, WORDS])
@@ -41,10 +42,21 @@ def test_segments_give_the_ids_of_whole_texts(path):
 
 
 def test_memo_of_bounded_size():
-    memo = segments.SegmentMemo(lambda t: [np.array([len(x)], "<u4").tobytes() for x in t], entries=3)
+    sizes = [np.array([1], "<u4").tobytes()]
+    memo = segments.SegmentMemo(lambda t: [sizes[0] for _ in t], most=2 * 6 * (segments.ENTRY_BYTES + 6) - 1)
     assert memo.counts(pa.array(["a b c d e f", "a b", ""])).tolist() == [6, 2, 0]
-    assert memo.counts(pa.array(["b", "zz yy"])).tolist() == [1, 2]
-    assert len(memo.young) == 3 and len(memo.old) == 6 and memo.counts(pa.array(["zz c"])).tolist() == [2] and " c" in memo.young
+    assert len(memo.young) == 6
+    assert memo.counts(pa.array(["b", "zz yy"])).tolist() == [1, 2] and memo.counts(pa.array(["zz c"])).tolist() == [2]
+    assert len(memo.young) + len(memo.old) <= 14 and memo.held <= memo.most
+    for i in range(200):  # more segments than it holds
+        assert memo.counts(pa.array([" ".join(f"s{i}x{k}" for k in range(5))])).tolist() == [5]
+        assert len(memo.young) + len(memo.old) <= 24
+
+
+def test_segments_too_long_to_keep():
+    memo = segments.SegmentMemo(lambda t: [b"1234" * len(x) for x in t], most=5000)
+    assert memo.counts(pa.array(["x" * 3000, "ab", "x" * 3000])).tolist() == [3000, 2, 3000]
+    assert list(memo.young) == ["ab"]
 
 
 def test_slices_of_arrays_keep_their_bytes():
@@ -67,7 +79,7 @@ def test_token_counts(spark):
 def test_sentencepiece_counts(spark):
     import sentencepiece
 
-    path = queries.vocabulary("piece_bpe_32k.model")
+    path = public_tokenizers.path("piece_bpe_32k.model")
     rows = edge_rows()
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in tokencount.token_counts(documents(spark, rows), path).collect())
@@ -76,14 +88,14 @@ def test_sentencepiece_counts(spark):
 
 def test_byte_bpe_equals_rank_encoder(tik):
     texts = random_texts(1500, 3) + [f"a{chr(c)} {chr(c)}1" for c in range(0x20, 0x3000, 5)]
-    bpe = bytebpe.byte_bpe(RANKS, queries.split_pattern())
+    bpe = bytebpe.byte_bpe(RANKS, public_tokenizers.PATTERN)
     for text, ids in zip(texts, bpe.encode_batch(pa.array(texts)), strict=True):
         assert ids == tik.encode_ordinary(text), ascii(text)
         assert bpe.decode(ids) == text.encode()
 
 
 def test_byte_bpe_offsets_and_split_characters(tik):
-    bpe = bytebpe.byte_bpe(RANKS, queries.split_pattern())
+    bpe = bytebpe.byte_bpe(RANKS, public_tokenizers.PATTERN)
     text = "é 🙂x 日́"
     ids = next(iter(bpe.encode_batch(pa.array([text]))))
     spans = bpe.offsets(text, ids)
@@ -96,7 +108,7 @@ def test_byte_bpe_offsets_and_split_characters(tik):
 def test_byte_bpe_frames(spark, tik):
     rows = edge_rows()
     df = documents(spark, rows, extra="clash")
-    pattern = queries.split_pattern()
+    pattern = public_tokenizers.PATTERN
     digests = bytebpe.round_trip_digests(df, RANKS, pattern).collect()
     of = lambda t: tik.encode_ordinary(t or "")
     want = sorted((str(i), len(of(t)), hashlib.sha256(",".join(map(str, of(t))).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t, *_ in rows)

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,16 +108,17 @@ def by_force(rows, asked, k):
 
 @pytest.mark.parametrize("shard", [8192, 40])
 def test_top_k_equals_brute_force(spark, monkeypatch, shard):
-    monkeypatch.setattr(topk, "SHARD_ROWS", shard)
     monkeypatch.setattr(topk, "BATCH_QUERIES", 7 if shard == 40 else 1024)
+    monkeypatch.setattr(topk, "SAMPLE", 4)
     monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
     rng = np.random.default_rng(12)
     rows = [(i, [float(x) for x in rng.normal(size=6).astype(np.float32)]) for i in range(200)]
     rows += [(300 + i, rows[10][1]) for i in range(30)]  # ties
     rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, rows[0][1]), (10, rows[20][1]), (404, [1.0, 2.0]), (500, [3.0, 4.0]), (405, [])]
+    rows += [(700, rows[40][1])] * 40  # a row that is repeated more than k times
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, rank string").repartition(3)
     vectors = df.select("vec_id", topk.scaled(F.col("embedding")).alias("vector"), "rank")
-    got = topk.top_k(vectors, vectors.where("vec_id % 10 = 0"), 10).collect()
+    got = topk.top_k(vectors, vectors.where("vec_id % 10 = 0"), 10, shard_bytes=shard * 6 * 8).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == by_force(rows, lambda i: i % 10 == 0, 10)
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
@@ -126,13 +128,23 @@ def test_blocks_are_pruned():
     centres = rng.normal(size=(16, 32)) * 100
     m = np.concatenate([(c + rng.normal(size=(128, 32))) for c in centres]).astype(np.int64)
     shard = topk.Shard(np.arange(len(m)), m)
-    found = list(shard.search(np.arange(0, len(m), 128), m[::128], 10))
-    assert shard.scored < len(found) * len(shard.blocks) / 2
+    asked = np.arange(0, len(m), 128)
+    number, ids, scores = shard.search(asked, m[::128], 10)
+    assert shard.scored < len(asked) * len(shard.blocks) / 2
+    whole = (m[::128] @ m.T).astype(np.int64)
+    for i, q in enumerate(asked.tolist()):
+        want = sorted((-s, j) for j, s in enumerate(whole[i].tolist()) if j != q)[:10]
+        assert list(zip((-scores[number == i]).tolist(), ids[number == i].tolist(), strict=True)) == want
+    # with the k-th scores known nothing is lost and less is scored
+    before, shard.scored = shard.scored, 0
+    kth = np.array([scores[number == i][-1] for i in range(len(asked))])
+    again = shard.search(asked, m[::128], 10, kth)
+    assert all((a == b).all() for a, b in zip(again, (number, ids, scores), strict=True)) and shard.scored <= before
 
 
 def test_large_scores_are_exact():
     m = np.array([[1 << 28, 3], [1 << 28, 5], [1, 1]], np.int64)
-    ids, scores = next(iter(topk.Shard(np.array([1, 2, 3]), m).search(np.array([9]), np.array([[1 << 28, 1]], np.int64), 2)))
+    _, ids, scores = topk.Shard(np.array([1, 2, 3]), m).search(np.array([9]), np.array([[1 << 28, 1]], np.int64), 2)
     assert ids.tolist() == [2, 1] and scores.tolist() == [(1 << 56) + 5, (1 << 56) + 3]
 
 
@@ -166,7 +178,7 @@ def test_stages_by_brute_force(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     check_packing(got, [(str(r[0]), [*tok.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in want], 4096)
 
 

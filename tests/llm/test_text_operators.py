@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -47,31 +48,36 @@ def base_statistics(text):
 def judged_by_force(rows, limits):
     """rows: (id, text, host)"""
     norm = lambda line: " ".join(WORD.findall(line.translate(LOWER)))
-    first = {}
+    first, copies = {}, defaultdict(set)
     for i, t, h in rows:
         key = (h, t or "")
         first[key] = min((x for x in (first.get(key), i) if x is not None), default=None)
+        copies[key].add(i)
+    number = {k: 1 if limits.equal_texts_once else len(v) for k, v in copies.items()}
     lines = {k: Counter() for k in first}
     for h, t in first:
         for line in t.split("\n"):
             if norm(line):
                 lines[h, t][norm(line)] += len(norm(line).split())
-    size = Counter(h for h, _ in first)
+    size = Counter()
     held = defaultdict(list)
     for (h, t), ls in lines.items():
+        size[h] += number[h, t]
         for line in ls:
-            held[h, line].append(first[h, t])
-    over = {k: min((x for x in v if x is not None), default=None) for k, v in held.items() if len(v) > limits.most_documents and len(v) > limits.most_share * size[k[0]]}
+            held[h, line].append((h, t))
+    total = {k: sum(number[x] for x in v) for k, v in held.items()}
+    over = {k: min((first[x] for x in v if first[x] is not None), default=None) for k, v in held.items() if total[k] > limits.most_documents and total[k] > limits.most_share * size[k[0]]}
     out = []
     for i, t, h in rows:
         s = base_statistics(t)
-        gone = sum(n for line, n in lines[h, t or ""].items() if (h, line) in over and over[h, line] != first[h, t or ""])
+        gone = sum(n for line, n in lines[h, t or ""].items() if (h, line) in over and not (limits.keep_first and over[h, line] == first[h, t or ""]))
         failed = s[0] < limits.base_words or 100 * s[4] > limits.repeat_percent * s[0]
         out.append((i, *s, failed, gone, not failed and s[0] - gone >= limits.least_words and gone <= limits.most_removed * s[0]))
     return sorted(out, key=repr)
 
 
-def test_line_frequency(spark):
+@pytest.mark.parametrize("options", [{}, {"most_share": 0.1, "equal_texts_once": True, "keep_first": True}])
+def test_line_frequency(spark, options):
     rng = random.Random(3)
     boiler = ["Cookie  notice: ACCEPT all", "share this page now"]
     rows = [(i, t, "s") for i, t in edge_rows()]
@@ -79,7 +85,7 @@ def test_line_frequency(spark):
         own = "\n".join(" ".join(words(rng, 8)) for _ in range(rng.randrange(1, 6)))
         rows.append((i, own + "\n" + rng.choice(boiler) + ("\n" + boiler[0].lower() if i % 3 else ""), rng.choice(["a", "b", None])))
     rows += [(200, " ".join(["again"] * 40), "a"), (201, rows[30][1], rows[30][2]), (202, "a b c d e f g h # $ a b c d e f g h " * 3, "b")]
-    limits = linefreq.Limits(most_documents=3, most_share=0.1, least_words=5)
+    limits = linefreq.Limits(most_documents=3, least_words=5, **options)
     got = linefreq.judged(documents(spark, rows, extra="clash"), limits).collect()
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept"]
     assert sorted((tuple(r[n] for n in names) for r in got), key=repr) == judged_by_force(rows, limits)
@@ -94,10 +100,18 @@ def test_line_frequency(spark):
     assert linefreq.judged(documents(spark, rows).limit(0), limits).count() == 0
 
 
-def test_copies_are_not_boilerplate(spark):
+@pytest.mark.parametrize("once", [False, True])
+def test_copies_count_as_documents(spark, once):
     rng = random.Random(4)
     text = "\n".join(" ".join(words(rng, 10)) for _ in range(5))
-    rows = [(i, text, "a") for i in range(60)]
+    rows = [(i, text, "a") for i in range(60)] + [(i, " ".join(words(rng, 30)), "a") for i in range(100, 110)]
+    got = {r["doc_id"]: r["kept"] for r in linefreq.judged(documents(spark, rows), linefreq.Limits(equal_texts_once=once)).collect()}
+    assert got == {i: once or i >= 100 for i, *_ in rows}
+
+
+def test_repeated_rows_are_one_document(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(i % 15, text, "a") for i in range(60)]
     assert all(r["kept"] for r in linefreq.judged(documents(spark, rows)).collect())
 
 
@@ -106,7 +120,7 @@ def test_a_line_goes_from_a_large_host_as_from_a_small_one(spark):
     texts = lambda i: " ".join(f"w{i}x{k}" for k in range(30)) + ("\nshared line of five words" if i % 10_000 < held else "")
     rows = [(i, texts(i), "large") for i in range(3000)] + [(10_000 + i, texts(10_000 + i), "small") for i in range(40)]
     got = {r["doc_id"]: r["removed_words"] for r in linefreq.judged(documents(spark, rows)).collect()}
-    assert got == {i: 5 if 0 < i % 10_000 < held else 0 for i, *_ in rows}
+    assert got == {i: 5 if i % 10_000 < held else 0 for i, *_ in rows}
 
 
 # ---------------------------------------------------------------- toxicity
@@ -139,6 +153,90 @@ def test_matching_equals_naive_search():
         assert lexicon.features(w, automaton) == pytest.approx((math.log1p(100 * total / max(1, len(w))), math.log1p(total)))
 
 
+def test_hits_of_a_very_long_text_take_linear_time():
+    lexicon = toxicity.Lexicon({"bad": 1.0}, frozenset({"not bad"}))
+    automaton, seconds = lexicon.automaton(), []
+    for n in (100_000, 1_000_000):
+        w = ["bad", "not", "bad", "x"] * (n // 4)
+        began = time.process_time()
+        assert len(lexicon.hits(w, automaton)) == n // 4
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 40 * max(seconds[0], 0.05)
+
+
+def fit_by_force(rows):
+    """Entries with weights, exceptions, and the curve, from (text, label) rows that are no copies of each other."""
+    toxic, clean = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    folded = [(toxicity.fold(t or ""), y) for t, y in rows]
+    have = defaultdict(lambda: [0, 0])
+    for w, y in folded:
+        for key in {*w, *(x[:k] + "*" for x in w for k in range(4, 13) if k < len(x))}:
+            have[key][1 - y] += 1
+    good = {}
+    for key, (t, f) in have.items():
+        n, share = t + f, toxic / (toxic + clean)
+        ratio = 2 * ((t * math.log(t / (n * share)) if t else 0) + (f * math.log(f / (n * (1 - share))) if f else 0))
+        weight = math.log((t + 0.5) / (toxic + 1) / ((f + 0.5) / (clean + 1)))
+        if t >= toxicity.LEAST_TEXTS and t / toxic > f / clean and ratio >= toxicity.LEAST_RATIO and weight >= math.log(toxicity.LEAST_RATE):
+            good[key] = (t, weight)
+    under = lambda a, b: a != b and a.endswith("*") and b.rstrip("*").startswith(a[:-1]) and len(b.rstrip("*")) > len(a) - 1
+    better = {a for a in good for b in good if under(a, b) and good[b][0] >= 0.95 * good[a][0]}
+    chosen = {}
+    for key in sorted(good, key=lambda k: (len(k.rstrip("*")), k)):
+        if key not in better and not any(under(a, key) for a in chosen):
+            chosen[key] = good[key][1]
+    lexicon, phrases = toxicity.Lexicon(chosen), defaultdict(lambda: [0, 0])
+    for w, y in folded:
+        at, found = 0, set()
+        for i, x in enumerate(w):
+            if any(x == e or (e.endswith("*") and x.startswith(e[:-1])) for e in chosen):
+                found |= {" ".join(w[a:b]) for a, b in ((i - 1, i + 1), (i, i + 2)) if a >= 0 and b <= len(w)}
+        for phrase in found:
+            phrases[phrase][1 - y] += 1
+    lexicon.exceptions = frozenset(p for p, (t, f) in phrases.items() if not t and f >= 3)
+    totals = [(hits_by_force(lexicon, w), len(w), y) for w, y in folded]
+    x = np.array([(1, math.log1p(100 * s / max(1, n)), math.log1p(s)) for s, n, _ in totals])
+    y = np.array([y for *_, y in totals], float)
+    theta = np.zeros(3)
+    for _ in range(200):  # damped Newton steps on the regularised loss
+        p = 1 / (1 + np.exp(-x @ theta))
+        theta -= 0.5 * np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 0.01 * np.eye(3), x.T @ (p - y) + 0.01 * theta)
+    return lexicon, theta
+
+
+def test_fit_and_scores_equal_brute_force(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(800):
+        w = words(rng, rng.randrange(25, 60), 300)
+        y = int(i % 16 == 0)
+        if y and i % 160:
+            w.insert(rng.randrange(len(w)), ["vilewords", "vilest", "nastyone", "nastyone"][i // 16 % 4])
+        if not y and i < 5:
+            w[3:3] = ["never", "nastyone"]
+        rows.append((i, " ".join(w), y))
+    docs = documents(spark, [r[:2] for r in rows] + [(1000 + i, rows[0][1]) for i in range(20)])  # copies teach once
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(1000 + i, 1) for i in range(20)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs, labels)
+    want, theta = fit_by_force([(t, y) for _, t, y in rows])
+    assert lexicon.weights == pytest.approx(want.weights) and lexicon.weights and lexicon.exceptions == want.exceptions and lexicon.exceptions
+    assert (lexicon.bias, *lexicon.slopes) == pytest.approx(tuple(theta), rel=1e-4, abs=1e-4)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, lexicon).collect()}
+    for i, t, _ in rows:
+        w = toxicity.fold(t)
+        s = hits_by_force(want, w)
+        z = theta @ (1, math.log1p(100 * s / len(w)), math.log1p(s))
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_too_many_entries_are_an_error(spark):
+    rng = random.Random(15)
+    rows = [(i, " ".join([*words(rng, 30), *(["vileone", "viletwo", "worst"] if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(80)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    with pytest.raises(ValueError, match="entries"):
+        toxicity.fit(documents(spark, [r[:2] for r in rows]), labels, most_entries=2)
+
+
 def test_held_out_accuracy(spark, small):
     got = {r["doc_id"]: r for r in queries.op5_toxicity(spark, small).collect()}
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
@@ -265,6 +363,18 @@ def test_kneser_ney_of_order_three(spark):
         assert sum(p(u, v, w) for w in uni) + p(u, v, "another unseen") == pytest.approx(1)
 
 
+def test_a_store_that_cannot_be_mapped_gives_the_same(spark, monkeypatch):
+    monkeypatch.setattr(kneserney, "READ_BYTES", 4000)
+    rng = random.Random(13)
+    texts = [" ".join(words(rng, 40, 60)) for _ in range(80)]
+    model = kneserney.train(documents(spark, list(enumerate(texts))), parts=16, order=3)
+    before, tokens, offsets = kneserney.token_stream(pa.array(texts))
+    read = kneserney.MappedModel(model, mappable=False)
+    for a, b in zip(read.probabilities(before, tokens, offsets), model.mapped().probabilities(before, tokens, offsets), strict=True):
+        assert (a == b).all()
+    assert read.held <= 4000 or len(read.open) == 1
+
+
 def test_kneser_ney_query_is_of_order_three(spark, tiny):
     docs = common.read_table(spark, tiny, "documents").select("doc_id", "text")
     held_out = common.id_remainder(F.col("doc_id"), 7) == 2
@@ -329,14 +439,29 @@ def near_rows(seed=9, group=70):
     return rows
 
 
-@pytest.mark.parametrize("block", [2048, 8])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, ids", [(2048, 1_000_000), (8, 0)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, ids):
     monkeypatch.setattr(bbit, "BLOCK", block)
+    monkeypatch.setattr(bbit, "MOST_BROADCAST_IDS", ids)  # 0: texts are found by a shuffled join
     rows = near_rows()
     got = bbit.near_duplicates(documents(spark, rows, extra="clash")).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=repr) == near_by_force(rows)
 
 
+def test_one_row_of_each_group_stays(spark):
+    rows = near_rows(group=20)
+    docs = documents(spark, rows + rows, extra="clash")
+    out = bbit.without_near_duplicates(docs)
+    assert out.columns == docs.columns
+    found = out.collect()
+    # near copies of one id are one group; rows of one id with other texts are others
+    sets = {(r["doc_id"], r["text"]) for r in found}
+    assert len(sets) == len(found)
+    kept = {v[0] for v in near_by_force(rows) if v[3]}
+    assert {r["doc_id"] for r in found} == kept
+    assert sum(r["doc_id"] == 8 for r in found) == 1 and sum(r["doc_id"] == 1 for r in found) == 1
+
+
 def test_near_duplicates_of_nothing(spark):
     assert bbit.near_duplicates(documents(spark, edge_rows()).limit(0)).count() == 0
 
@@ -355,10 +480,11 @@ def test_estimates_are_unbiased():
     assert abs(error.mean()) < 0.02 and np.abs(error).max() < 0.15
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [3, 100_000])
+def test_components(spark, hub):
     rng = random.Random(11)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), hub).collect()}
     root = {}
     for a, b in edges:
         root.setdefault(a, a), root.setdefault(b, b)
