@@ -52,11 +52,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/sparrowlane-{name}-{uuid.uuid4().hex}"
 
 
+def file_count(df: DataFrame) -> int:
+    """Files enough for the tables that ``df`` reads: one for 32 MB of them, four for each core at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, min(size >> 25, 1 << 22))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, and safe from the loss of executors."""
+    """Write ``df`` to the shared folder and read it back: computed once, and safe from the loss of executors.
+
+    Many small partitions go to fewer files, without a shuffle: a file costs a store far more than a task.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.coalesce(file_count(df)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -68,3 +78,10 @@ def clean(spark: SparkSession) -> None:
     for status in fs.listStatus(folder):
         if status.getPath().getName().startswith("sparrowlane-"):
             fs.delete(status.getPath(), True)
+
+
+def open_fs(path: str):
+    """A pyarrow file system and the path in it, for files that tasks of this package write into the shared folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
