@@ -42,8 +42,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import open_fs
 from . import common
-from .warc import open_fs
 
 BEGIN = common.mix(np.array([0xB361], np.uint64))[0]
 END = common.mix(np.array([0xE17D], np.uint64))[0]

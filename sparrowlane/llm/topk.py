@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import open_fs
 from . import common
-from .warc import open_fs
 
 SHARD_BYTES = 16 << 20  # of a shard's vectors as 64-bit numbers
 BATCH_QUERIES = 1024

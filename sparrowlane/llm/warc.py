@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import open_fs
 from . import common
 
 CHUNK_BYTES = 1 << 16
@@ -42,13 +43,6 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode("ascii")
 
 
-def open_fs(path: str):
-    """A pyarrow file system and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 # ---------------------------------------------------------------- which record refers to which
 
 def record_types(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
