@@ -1,6 +1,7 @@
 """Similarity graphs: bonds over all pairs counted in blocks, clusters, decomposition trees.
 
-No pair becomes a row: vectors are packed into blocks, a task takes two blocks and returns counts and sums.
+No pair becomes a row: vectors lie in blocks, a task holds one block, half of the others pass by it, and it returns counts
+and sums.
 """
 
 from __future__ import annotations
@@ -13,8 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import workers_can_import
+from .blocks import Blocks, packed, unit
 
-BLOCK_ROWS = 1024
+BLOCK_BYTES = 4 << 20
+CELLS = 1 << 20  # pairs that a task looks at together
 BONDS = ("none", "vdw", "hydrogen", "covalent")
 
 
@@ -26,63 +30,76 @@ def bond(similarity: Column, thresholds: tuple[float, float, float] = (0.4, 0.7,
     return F.when(similarity >= high, "covalent").when(similarity >= mid, "hydrogen").when(similarity >= low, "vdw").otherwise("none")
 
 
-def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1.0)
-    return np.clip(unit(a) @ unit(b).T, -1.0, 1.0)
+def _summed(same: np.ndarray, sim: np.ndarray, post: np.ndarray, thresholds: tuple[float, float, float]) -> list[tuple]:
+    """label (-1 for different ones), codes before and after, pairs, total, squares, low and high of flat arrays of pairs."""
+    before, after = (np.searchsorted(thresholds, s, side="right") for s in (sim, post))
+    labels, code = np.unique(same, return_inverse=True)
+    cell = (code.ravel() * 4 + before) * 4 + after
+    n = np.bincount(cell, minlength=16 * len(labels))
+    total, squares = np.bincount(cell, sim, len(n)), np.bincount(cell, sim * sim, len(n))
+    low, high = np.full(len(n), np.inf), np.full(len(n), -np.inf)
+    order = np.argsort(cell, kind="stable")
+    starts = np.flatnonzero(np.insert(cell[order][1:] != cell[order][:-1], 0, True))
+    low[cell[order][starts]], high[cell[order][starts]] = np.minimum.reduceat(sim[order], starts), np.maximum.reduceat(sim[order], starts)
+    return [(int(labels[c // 16]), int(c // 4 % 4), int(c % 4), int(n[c]), float(total[c]), float(squares[c]), float(low[c]), float(high[c])) for c in np.flatnonzero(n).tolist()]
 
 
-def pair_counts(df: DataFrame, before: str, after: str, label: str, thresholds: tuple[float, float, float] = (0.4, 0.7, 0.9), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Over unordered pairs: ``label`` (of both, null if they differ), bond, bond_after, pairs, total, squares, low, high.
+def pair_counts(df: DataFrame, before: str, after: str, label: str, thresholds: tuple[float, float, float] = (0.4, 0.7, 0.9), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Over unordered pairs of rows: ``label`` (of both, null if they differ), bond, bond_after, pairs, total, squares, low, high.
 
-    ``before`` and ``after`` are vector columns (they may be one); sums are of the similarities of ``before``.
+    ``before`` and ``after`` are vector columns (they may be one); sums are of the similarities of ``before``.  Rows are
+    dealt by their place in the table, so copies of a vector are in all blocks.  Of n blocks in a ring each meets the next
+    n / 2, so every two blocks meet once and all tasks have the same work; nothing is shuffled but the counts.
     """
-    blocks = max(1, -(-df.count() // block_rows))
-    rows = df.select(F.col(before).alias("x"), F.col(after).alias("y"), F.col(label).cast("long").alias("label"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("x", "label"), F.lit(blocks)).cast("long"))
-
-    def packed(key: tuple, t: pa.Table) -> pa.Table:
-        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).tobytes()
-        labels = np.array([-1 if v is None else v for v in t.column("label").to_pylist()], np.int64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([t.num_rows], pa.int64()), "x": [flat("x")], "y": [flat("y")], "labels": [labels.tobytes()]})
-
-    packs = rows.groupBy("block").applyInArrow(packed, "block long, n long, x binary, y binary, labels binary")
-    sides = F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))
-    left = packs.select(F.col("block").alias("a"), F.explode(sides).alias("b"), F.struct("n", "x", "y", "labels").alias("l")).where("a <= b")
-    right = packs.select(F.col("block").alias("b"), F.explode(sides).alias("a"), F.struct("n", "x", "y", "labels").alias("r")).where("a <= b")
-    pairs = left.join(right, ["a", "b"])
+    spark = df.sparkSession
+    workers_can_import(spark)
+    width = F.size(before)
+    rows = df.select(F.concat(F.array(F.coalesce(F.col(label).cast("double"), F.lit(-1.0))), before, after).alias("v"), F.monotonically_increasing_id().alias("id"))
+    blocks = packed(rows, "id", "v", block_bytes)
+    split = df.agg(F.max(width)).first()[0]
+    n = len(blocks.files)
+    if not n:
+        return spark.createDataFrame([], "label long, bond string, bond_after string, pairs long, total double, squares double, low double, high double")
+    one = lambda i: Blocks((blocks.files[i],), 0, blocks.bytes)
+
+    def sides(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return m[:, 0].astype(np.int64), unit(m[:, 1 : 1 + split]), unit(m[:, 1 + split :])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sides = []
-                for c in ("l", "r"):
-                    s = batch.column(c)[i].as_py()
-                    sides.append((np.frombuffer(s["x"]).reshape(s["n"], -1), np.frombuffer(s["y"]).reshape(s["n"], -1), np.frombuffer(s["labels"], np.int64)))
-                (x, y, lx), (u, v, lu) = sides
-                sim, post = _cosines(x, u), _cosines(y, v)
-                if batch.column("a")[i] == batch.column("b")[i]:
-                    take = np.triu_indices(len(x), 1)
-                else:
-                    take = tuple(k.ravel() for k in np.indices(sim.shape))
-                sim, post, la, lb = sim[take], post[take], lx[take[0]], lu[take[1]]
-                if not len(sim):
-                    continue
-                same = np.where((la == lb) & (la >= 0), la, -1)
-                codes = [np.searchsorted(thresholds, s, side="right") for s in (sim, post)]
-                keys, inverse = np.unique(np.stack([same, *codes], axis=1), axis=0, return_inverse=True)
-                inverse = inverse.ravel()
-                n = len(keys)
-                low, high = np.full(n, np.inf), np.full(n, -np.inf)
-                np.minimum.at(low, inverse, sim)
-                np.maximum.at(high, inverse, sim)
-                columns = [pa.array([None if k < 0 else int(k) for k in keys[:, 0]], pa.int64()), pa.array([BONDS[k] for k in keys[:, 1]]), pa.array([BONDS[k] for k in keys[:, 2]]), pa.array(np.bincount(inverse, minlength=n).astype(np.int64)), pa.array(np.bincount(inverse, sim, n)), pa.array(np.bincount(inverse, sim * sim, n)), pa.array(low), pa.array(high)]
-                yield pa.RecordBatch.from_arrays(columns, ["label", "bond", "bond_after", "pairs", "total", "squares", "low", "high"])
-
-    found = pairs.mapInArrow(count, "label long, bond string, bond_after string, pairs long, total double, squares double, low double, high double")
+        for a in (a for batch in batches for a in batch.column("id").to_pylist()):
+            found: list[tuple] = []
+            ((_, own),) = one(a)
+            labels, x, y = sides(own)
+            for b in [a, *((a + k) % n for k in range(1, n // 2 + 1) if 2 * k < n or a < (a + k) % n)]:
+                ((_, other),) = one(b)
+                others, u, v = sides(other)
+                step = max(1, CELLS // max(1, len(others)))
+                for at in range(0, len(x), step):
+                    take = slice(at, at + step)
+                    sim, post = np.clip(x[take] @ u.T, -1, 1), np.clip(y[take] @ v.T, -1, 1)
+                    same = np.where((labels[take, None] == others[None]) & (labels[take, None] >= 0), labels[take, None], -1)
+                    if a == b:
+                        keep = np.arange(at, at + len(sim))[:, None] < np.arange(len(others))[None]
+                        sim, post, same = sim[keep], post[keep], same[keep]
+                    if sim.size:
+                        found += _summed(same.ravel(), sim.ravel(), post.ravel(), thresholds)
+                if len(found) > 1000:
+                    yield _counts(found)
+                    found = []
+            if found:
+                yield _counts(found)
+
+    found = spark.range(0, n, 1, min(n, 100_000)).mapInArrow(count, "label long, bond string, bond_after string, pairs long, total double, squares double, low double, high double")
     sums = [F.sum(c).alias(c) for c in ("pairs", "total", "squares")]
     return found.groupBy("label", "bond", "bond_after").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+def _counts(found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True))
+    names = ["label", "bond", "bond_after", "pairs", "total", "squares", "low", "high"]
+    return pa.RecordBatch.from_arrays([pa.array([None if k < 0 else k for k in columns[0]], pa.int64()), *(pa.array([BONDS[k] for k in c]) for c in columns[1:3]), *(pa.array(c) for c in columns[3:])], names)
+
+
 def decomposition_tree(queries: DataFrame, id_col: str, text_col: str, max_depth: int = 3, least: int = 20) -> DataFrame:
     """``root, node, parent, depth, text, is_leaf``: one DataFrame step per depth; node is the path of halves (1 or 2)."""
     level = queries.select(F.col(id_col).alias("root"), F.lit("0").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.col(text_col).alias("text"))
