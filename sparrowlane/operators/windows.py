@@ -1,11 +1,21 @@
-"""Windows and ordered folds over series that have a key and an order; a fold is one pass over a key's ordered array."""
+"""Windows and ordered folds over series that have a key and an order.
+
+A fold passes over a key's rows in order and holds its state alone, however long the series is.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window, WindowSpec
 
+from ..session import workers_can_import
+
 
 def last_rows(n: int, key: str = "key", seq: str = "seq") -> WindowSpec:
     """The current row and the ``n - 1`` before it."""
@@ -18,21 +28,53 @@ def adaptive_threshold(value: Column, window: WindowSpec, percentile: float = 0.
     return F.when(F.count(value).over(window) >= least, clamped)
 
 
-def ordered(df: DataFrame, value: str, out: str, key: str = "key", seq: str = "seq") -> DataFrame:
-    """``key, out``: the key's values in order; for series that fit a task, as folds need them."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(seq, value))).alias("__r"))
-    return rows.select(key, F.transform("__r", lambda r: r[value]).alias(out))
+def folded(df: DataFrame, start: Callable[[], object], step: Callable[[object, float | None], object], result: Callable[[object], tuple], schema: str, value: str, key: str = "key", seq: str = "seq") -> DataFrame:
+    """``key`` and the columns of ``schema``: ``result`` of the state after ``step`` took the key's values in order.
+
+    Rows are sorted within tasks and the state is carried over batches; no key's series is ever held.
+    """
+    workers_can_import(df.sparkSession)
+    kind = df.schema[key].dataType.simpleString()
+    out = pa.schema([pa.field(f.name, {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64()}[f.dataType.simpleString()]) for f in StructType.fromDDL(schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, begun = None, None, False
+        for batch in batches:
+            keys, done = batch.column("key").to_pylist(), []
+            for k, v in zip(keys, batch.column("value").to_pylist(), strict=True):
+                if not begun or k != held:
+                    if begun:
+                        done.append((held, *result(state)))
+                    held, state, begun = k, start(), True
+                state = step(state, v)
+            if done:
+                yield rows_of(done, batch.schema.field("key").type)
+            kept = batch.schema.field("key").type
+        if begun:
+            yield rows_of([(held, *result(state))], kept)
+
+    def rows_of(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, f.type) for c, f in zip(columns[1:], out, strict=True))], ["key", *out.names])
 
+    rows = df.select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"), F.col(seq).alias("seq"))
+    rows = rows.repartition("key").sortWithinPartitions("key", "seq").select("key", "value")
+    return rows.mapInArrow(run, f"key {kind}, {schema}").withColumnRenamed("key", key)
 
-def dead_band(values: Column, start: float, band: float = 1e-6) -> Column:
-    """The last value of a fold that moves only by more than ``band``; nulls are passed over."""
-    return F.aggregate(F.filter(values, lambda x: x.isNotNull()), F.lit(start), lambda s, x: F.when(F.abs(x - s) > band, x).otherwise(s))
 
+def dead_band(df: DataFrame, value: str, start: float, band: float = 1e-6, key: str = "key", seq: str = "seq") -> DataFrame:
+    """``key, threshold``: the last value of a fold that moves only by more than ``band``; nulls are passed over."""
+    step = lambda s, x: s if x is None or abs(x - s) <= band else x
+    return folded(df, lambda: start, step, lambda s: (s,), "threshold double", value, key, seq)
 
-def margin(gaps: Column, base: float = 0.3, low: float = 0.05, high: float = 1.0, rate: float = 0.1) -> Column:
-    """Moving average towards base / (1 + gap), or ``high`` for gaps that are not positive, clamped at each step."""
-    step = lambda s, g: F.least(F.greatest((1 - rate) * s + rate * F.when(g > 0, base / (1 + g)).otherwise(high), F.lit(low)), F.lit(high))
-    return F.aggregate(gaps, F.lit(base), step)
+
+def margins(df: DataFrame, gap: str, base: float = 0.3, low: float = 0.05, high: float = 1.0, rate: float = 0.1, key: str = "key", seq: str = "seq") -> DataFrame:
+    """``key, margin``: moving average towards base / (1 + gap), or ``high`` for gaps that are not positive, clamped at each step."""
+
+    def step(s: float, g: float | None) -> float:
+        return min(max((1 - rate) * s + rate * (base / (1 + g) if g is not None and g > 0 else high), low), high)
+
+    return folded(df, lambda: base, step, lambda s: (s,), "margin double", gap, key, seq)
 
 
 def kalman_rate(loss: Column, window: WindowSpec, base: float = 0.001, noise: float = 0.01, bounds: tuple[float, float] = (1e-6, 0.1)) -> Column:
@@ -41,19 +83,44 @@ def kalman_rate(loss: Column, window: WindowSpec, base: float = 0.001, noise: fl
     return F.when(F.count(loss).over(window) < 2, F.lit(base)).otherwise(F.least(F.greatest(rate, F.lit(bounds[0])), F.lit(bounds[1])))
 
 
-def early_stop(losses: Column, patience: int = 5, relative: float = 0.01, least: int = 3) -> Column:
-    """The first epoch (from 1, finite losses only) that stops training, or null."""
-    state = F.struct(F.lit(0).alias("epoch"), F.lit(float("inf")).alias("best"), F.lit(0).alias("without"), F.lit(None).cast("int").alias("stop"))
-
-    def step(s: Column, loss: Column) -> Column:
-        epoch = s["epoch"] + 1
-        better = (epoch == 1) | ((loss < s["best"]) & ((s["best"] - loss) / (F.abs(s["best"]) + 1e-12) >= relative))
-        without = F.when(better, 0).otherwise(s["without"] + 1)
-        stop = F.coalesce(s["stop"], F.when((epoch >= least) & (without >= patience), epoch))
-        return F.struct(epoch.alias("epoch"), F.when(better, loss).otherwise(s["best"]).alias("best"), without.alias("without"), stop.alias("stop"))
-
-    finite = F.filter(losses, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.aggregate(finite, state, step)["stop"]
+def early_stops(df: DataFrame, loss: str, patience: int = 5, relative: float = 0.01, least: int = 3, key: str = "key", seq: str = "seq") -> DataFrame:
+    """``key, epochs, stopped_at``: the first epoch (from 1, finite losses only) that stops training, or null."""
+
+    def step(s: tuple, x: float | None) -> tuple:
+        epochs, epoch, best, without, stop = s
+        epochs += 1
+        if x is None or not math.isfinite(x):
+            return epochs, epoch, best, without, stop
+        epoch += 1
+        if epoch == 1 or (x < best and (best - x) / (abs(best) + 1e-12) >= relative):
+            best, without = x, 0
+        else:
+            without += 1
+        if stop is None and epoch >= least and without >= patience:
+            stop = epoch
+        return epochs, epoch, best, without, stop
+
+    return folded(df, lambda: (0, 0, math.inf, 0, None), step, lambda s: (s[0], s[4]), "epochs int, stopped_at int", loss, key, seq)
+
+
+def adaptive_weights(df: DataFrame, loss: str, initial: float = 0.5, patience: int = 5, up: float = 1.1, down: float = 0.9, least: float = 0.01, key: str = "key", seq: str = "seq") -> DataFrame:
+    """``key, weight``: a teacher's weight after a series of losses.
+
+    Each new best loss multiplies the weight by ``down``, each run of ``patience`` losses without one by ``up``; it never
+    falls under ``least``, and a missing loss changes nothing else.
+    """
+
+    def step(s: tuple, x: float | None) -> tuple:
+        weight, best, without = s
+        if x is not None and x < best:
+            weight, best, without = weight * down, x, 0
+        elif x is not None:
+            without += 1
+            if without >= patience:
+                weight, without = weight * up, 0
+        return max(weight, least), best, without
+
+    return folded(df, lambda: (initial, math.inf, 0), step, lambda s: (s[0],), "weight double", loss, key, seq)
 
 
 def schedule(step: Column, kind: str, initial: float = 1.0, final: float = 0.1, total: int = 100, warmup: int = 0, every: int = 20, gamma: float = 0.5, least: float = 0.01) -> Column:
