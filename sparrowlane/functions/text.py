@@ -13,7 +13,7 @@ CONJUNCTIONS = ["; ", " and ", " or ", " versus ", " compared to ", ", "]
 
 #: Scripts as character classes of regular expressions.
 SCRIPTS = {
-    "cjk": r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}",
+    "cjk": r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}",
     "kana": r"\x{3040}-\x{30FF}",
     "hangul": r"\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}",
     "cyrillic": r"\x{0400}-\x{04FF}",

@@ -89,47 +89,28 @@ def blend(student: Column, teacher: Column, share: float) -> Column:
     return F.when(F.size(student) != F.size(teacher), student).otherwise(V.unit(mixed, 1e-9))
 
 
-def fit_low_rank(x: np.ndarray, target: np.ndarray, rank: int, epochs: int = 50, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Gradient steps of a low-rank residual adapter on the mean squared error; factors and losses."""
-    rng = np.random.default_rng(42)
-    u, v = rng.normal(0, 0.01, (x.shape[1], rank)), rng.normal(0, 0.01, (x.shape[1], rank))
-    losses = []
-    for _ in range(epochs):
-        error = x + (x @ u) @ v.T - target
-        losses.append(float((error**2).mean()))
-        scale = 2 / error.size
-        grad_v, grad_u = scale * error.T @ (x @ u), scale * x.T @ (error @ v)
-        u, v = u - rate * len(x) * grad_u, v - rate * len(x) * grad_v
-    return u, v, losses
-
-
-def evolve(df: DataFrame, members: int, seed: int, fitness: Callable[[np.ndarray], float], dim: int) -> DataFrame:
-    """``member, fitness, shaped``: a seeded population of perturbations scored in parallel, with z-scored fitness."""
-    spark = df.sparkSession
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").to_pylist()
-            # antithetic pairs share a seed
-            noise = [(1 if i % 2 == 0 else -1) * np.random.default_rng(seed + i // 2).normal(size=dim) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([fitness(n) for n in noise], pa.float64())], ["member", "fitness"])
+def fit_standardised(rows: DataFrame, features: list[str], target: str, rate: float = 0.08, epochs: int = 300, l2: float = 0.01, most_rows: int = 100_000) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Weights of standardised features, bias, and the means and deviations: class-balanced, L2, plain gradient steps.
 
-    found = spark.range(members).mapInArrow(score, "member long, fitness double")
-    stats = found.agg(F.avg("fitness").alias("mean"), F.stddev_pop("fitness").alias("std"))
-    return found.join(F.broadcast(stats)).select("member", "fitness", F.when(F.col("std") > 0, (F.col("fitness") - F.col("mean")) / F.col("std")).otherwise(0.0).alias("shaped"))
-
-
-def fit_logistic(rows: DataFrame, features: list[str], target: str, rate: float = 0.08, epochs: int = 300, l2: float = 0.01, most_rows: int = 100_000) -> tuple[np.ndarray, float]:
-    """Weights of standardised features and bias: class-balanced, L2, plain gradient steps; refuses more than ``most_rows``."""
+    The rows are aggregates, one for each combination of a few keys; more than ``most_rows`` are refused.
+    """
     if rows.count() > most_rows:
         raise ValueError("aggregate the rows first")
-    data = np.array([tuple(r) for r in rows.select(*features, target).collect()], float)
+    data = np.array([tuple(r) for r in rows.select(*features, target).collect()], float).reshape(-1, len(features) + 1)
     x, y = data[:, :-1], data[:, -1]
-    x = (x - x.mean(axis=0)) / np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    if not len(x):
+        return np.zeros(len(features)), 0.0, np.zeros(len(features)), np.ones(len(features))
+    centre, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    x = (x - centre) / scale
     share = np.where(y > 0, len(y) / max(1.0, 2 * y.sum()), len(y) / max(1.0, 2 * (1 - y).sum()))
     w, b = np.zeros(x.shape[1]), 0.0
     for _ in range(epochs):
         error = share * (1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y)
         w -= rate * (x.T @ error / len(y) + l2 * w)
         b -= rate * error.mean()
-    return w, float(b)
+    return w, float(b), centre, scale
+
+
+def fit_logistic(rows: DataFrame, features: list[str], target: str, **options) -> tuple[np.ndarray, float]:
+    """The weights and bias of :func:`fit_standardised`."""
+    return fit_standardised(rows, features, target, **options)[:2]

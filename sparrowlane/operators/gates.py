@@ -40,6 +40,14 @@ def health(collapse: Column, isomer: Column, topology: Column, weights: tuple[fl
     return sum((w / sum(weights) * (1.0 - bounded(x)) for w, x in zip(weights, (collapse, isomer, topology), strict=True)), F.lit(0.0))
 
 
+def health_class(collapse: Column, oscillation: Column, covalent_change: Column, isomer: Column) -> Column:
+    """critical, degrading or healthy: the worst of the signals that are there."""
+    over = lambda c, x: F.coalesce(c > x, F.lit(False))
+    critical = over(collapse, 0.5) | over(covalent_change, 0.1) | over(isomer, 0.6)
+    degrading = over(collapse, 0.2) | over(oscillation, 0.005) | over(covalent_change, 0.05) | over(isomer, 0.3)
+    return F.when(critical, "critical").when(degrading, "degrading").otherwise("healthy")
+
+
 def penalty(score: Column, weight: float = 0.5) -> Column:
     """Multiplier max(0, 1 - weight * (1 - score))."""
     return F.greatest(F.lit(0.0), 1.0 - weight * (1.0 - score))
