@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 from ..functions import vector as V
 from ..operators import events as E
-from ..operators import gates, graph
+from ..operators import gates, graph, storage
 from ..operators import neighborhood as N
 from ..operators import windows as W
-from ..operators.topk import ranked
+from ..operators.ordering import consecutive
+from ..operators.topk import ranked, similar_pairs
 from ..registry import query
 from . import base as B
 from .base import r6, sql
@@ -32,25 +33,43 @@ def event_filter(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(has).alias("with_key"))
 
 
-@query("SRC-11", f"SELECT event_id, {_K} AS k FROM events")
-def parsed_props(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+_SUMMARY = """p AS (SELECT event_id, event_type, user_id, value, epoch_us(ts) AS us, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, (SELECT min(event_type) FROM events) AS first FROM events),
+l AS (SELECT value, row_number() OVER (ORDER BY value, us) - 1 AS pl, count(*) OVER () AS n, us FROM p WHERE value IS NOT NULL)"""
 
 
-@query("AGG-8", f"""SELECT count(*) AS total, count(*) FILTER (event_type = (SELECT min(event_type) FROM events)) AS first_type, count(DISTINCT user_id) AS users,
-  {R('avg(value)')} AS mean, {R('quantile_cont(value, 0.5)')} AS p50, {R('quantile_cont(value, 0.95)')} AS p95, epoch_us(min(ts)) AS earliest, epoch_us(max(ts)) AS latest FROM events""")
+@query("AGG-8", sql(_SUMMARY, f"""SELECT 'count' AS section, 'total' AS name, count(*)::DOUBLE AS value FROM p
+ UNION ALL SELECT 'count', 'queries', count(*)::DOUBLE FROM p WHERE k IS NOT NULL HAVING count(*) > 0
+ UNION ALL SELECT 'count', 'errors', count(*)::DOUBLE FROM p WHERE event_type = first HAVING count(*) > 0
+ UNION ALL SELECT 'action', event_type, count(*)::DOUBLE FROM p GROUP BY event_type
+ UNION ALL SELECT 'gate_action', a, count(*)::DOUBLE FROM (SELECT unnest(list_concat(CASE WHEN event_type = first THEN ['watch', 'step' || (user_id % 3)] ELSE []::VARCHAR[] END, CASE WHEN k IS NOT NULL THEN ['gate' || (k % 2)] ELSE []::VARCHAR[] END)) AS a FROM p) GROUP BY a
+ UNION ALL SELECT 'route', r, count(*)::DOUBLE FROM (SELECT unnest(list_concat(['user' || (user_id % 4)], CASE WHEN k IS NOT NULL THEN ['key' || (k % 5)] ELSE []::VARCHAR[] END)) AS r FROM p) GROUP BY r
+ UNION ALL SELECT 'latency', 'mean', {R('avg(value)')} FROM l
+ UNION ALL SELECT 'latency', 'p50', {R('max(value) FILTER (pl = round_even((n - 1) * 0.5::DOUBLE, 0))')} FROM l
+ UNION ALL SELECT 'latency', 'p95', {R('max(value) FILTER (pl = round_even((n - 1) * 0.95::DOUBLE, 0))')} FROM l
+ UNION ALL SELECT 'time', 'earliest', min(us)::DOUBLE FROM l UNION ALL SELECT 'time', 'latest', max(us)::DOUBLE FROM l"""))
 def event_summary(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d)
-    first = F.broadcast(e.agg(F.min("event_type").alias("first")))
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    quantile = lambda p: r6(F.percentile("value", F.lit(p)))
-    return e.crossJoin(first).agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == F.col("first")).alias("first_type"), F.countDistinct("user_id").alias("users"), r6(F.avg("value")).alias("mean"), quantile(0.5).alias("p50"), quantile(0.95).alias("p95"), micros(F.min("ts")).alias("earliest"), micros(F.max("ts")).alias("latest"))
+    """Gate actions come from two places (an event of the first type, and the key in props), and so do routes."""
+    e = _events(spark, d).withColumn("k", F.from_json("props", "k long")["k"])
+    e = e.crossJoin(F.broadcast(e.agg(F.min("event_type").alias("first"))))
+    text = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    k, none = F.col("k"), F.array().cast("array<string>")
+    names = {
+        "action": F.array("event_type"),
+        "gate_action": F.concat(F.when(F.col("event_type") == F.col("first"), F.array(F.lit("watch"), text("step", F.col("user_id") % 3))).otherwise(none), F.when(k.isNotNull(), F.array(text("gate", k % 2))).otherwise(none)),
+        "route": F.concat(F.array(text("user", F.col("user_id") % 4)), F.when(k.isNotNull(), F.array(text("key", k % 5))).otherwise(none)),
+    }
+    counts = {"queries": k.isNotNull(), "errors": F.col("event_type") == F.col("first")}
+    return E.summary(e, counts, names, F.col("value"), F.unix_micros(F.col("ts").cast("timestamp"))).select("section", "name", r6("value").alias("value"))
 
 
 @query("AGG-9", f"SELECT user_id, {R('p50')} AS p50, {R('p95')} AS p95 FROM (SELECT user_id, list(value ORDER BY value)[(round_even((count(*) - 1) * 0.5::DOUBLE, 0) + 1)::BIGINT] AS p50, list(value ORDER BY value)[(round_even((count(*) - 1) * 0.95::DOUBLE, 0) + 1)::BIGINT] AS p95 FROM events GROUP BY user_id)")
 def nearest_rank_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    values = _events(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    return values.select("user_id", r6(E.nearest_rank(F.col("v"), 0.5)).alias("p50"), r6(E.nearest_rank(F.col("v"), 0.95)).alias("p95"))
+    """By place in the sorted values, not by arrays of them."""
+    e = _events(spark, d)
+    sizes = e.groupBy("user_id").agg(F.count("value").alias("n"))
+    rows = e.where("value is not null").withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("value"))).join(sizes, "user_id")
+    at = lambda p: F.max(F.when(F.col("place") == E.nearest_place(F.col("n"), p), F.col("value")))
+    return rows.groupBy("user_id").agg(r6(at(0.5)).alias("p50"), r6(at(0.95)).alias("p95"))
 
 
 @query("MAP-1", "SELECT event_type, (user_id % 4)::BIGINT AS task, count(*) AS n FROM events GROUP BY ALL")
@@ -101,7 +120,7 @@ def adaptive_thresholds(spark: SparkSession, d: str) -> DataFrame:
 def settled_threshold(spark: SparkSession, d: str) -> DataFrame:
     """The threshold of each key after all its events; it moves only by more than the dead band."""
     rows = B.series(spark, d).withColumn("t", W.adaptive_threshold(F.col("v"), W.last_rows(100)))
-    return W.ordered(rows, "t", "all").select("key", r6(W.dead_band(F.col("all"), 0.0004), 9).alias("threshold"))
+    return W.dead_band(rows, "t", 0.0004).select("key", r6("threshold", 9).alias("threshold"))
 
 
 @query("WIN-2", sql(B.SERIES, f"SELECT key, seq, count(v) {_FRAME} AS n, {R(f'min(v) {_FRAME}', 9)} AS low, {R(f'max(v) {_FRAME}', 9)} AS high, {R(f'avg(v) {_FRAME}', 8)} AS mean, {R(f'median(v) {_FRAME}', 9)} AS median FROM series"))
@@ -111,33 +130,35 @@ def threshold_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _masks(spark: SparkSession, d: str) -> DataFrame:
-    return N.variance_mask(N.dimension_stats(B.scout(spark, d))).withColumn("all", F.lit(1))
+    return N.variance_mask(N.dimension_stats(B.scout(spark, d)))
 
 
 @query("WIN-3", sql(B.TO_STATS, f"""SELECT a.query_id, {R('CASE WHEN u = 0 THEN 1 ELSE i / u END')} AS jaccard FROM (SELECT b.query_id,
   list_sum(list_transform(list_zip(a.mask, b.mask), lambda z: least(z[1], z[2]))) AS i, list_sum(list_transform(list_zip(a.mask, b.mask), lambda z: greatest(z[1], z[2]))) AS u
   FROM (SELECT *, row_number() OVER (ORDER BY query_id) AS n FROM masks) a JOIN (SELECT *, row_number() OVER (ORDER BY query_id) AS n FROM masks) b ON b.n = a.n + 1) a"""))
 def mask_stability(spark: SparkSession, d: str) -> DataFrame:
-    before = F.lag("mask").over(Window.partitionBy("all").orderBy("query_id"))
-    rows = _masks(spark, d).withColumn("before", before).where("before is not null")
-    both = V.total(F.zip_with("before", "mask", lambda x, y: F.least(x, y)))
-    either = V.total(F.zip_with("before", "mask", lambda x, y: F.greatest(x, y)))
+    rows = consecutive(_masks(spark, d), "query_id", "mask")
+    both = V.total(F.zip_with("before_mask", "mask", lambda x, y: F.least(x, y)))
+    either = V.total(F.zip_with("before_mask", "mask", lambda x, y: F.greatest(x, y)))
     return rows.select("query_id", r6(F.when(either == 0, 1.0).otherwise(both / either)).alias("jaccard"))
 
 
 @query("WIN-4", sql(f"{B.TO_STATS}, numbered AS (SELECT query_id, pos, var, dense_rank() OVER (ORDER BY query_id) AS n FROM stats)", f"SELECT b.query_id, {R('corr(a.var, b.var)')} AS correlation FROM numbered a JOIN numbered b ON b.n = a.n + 1 AND a.pos = b.pos GROUP BY b.query_id"))
 def variance_convergence(spark: SparkSession, d: str) -> DataFrame:
-    rows = N.dimension_stats(B.scout(spark, d)).withColumn("before", F.lag("var").over(Window.partitionBy("pos").orderBy("query_id"))).where("before is not null")
+    spread = V.assembled(N.dimension_stats(B.scout(spark, d)), "var", "vars", "query_id")
+    pairs = consecutive(spread, "query_id", "vars").select("query_id", F.inline(F.arrays_zip("before_vars", "vars")))
+    rows = pairs.toDF("query_id", "before", "var")
     flat = (F.stddev_pop("before") < 1e-12) | (F.stddev_pop("var") < 1e-12)
     close = F.when(F.max(F.abs(F.col("before") - F.col("var"))) < 1e-8, 1.0).otherwise(0.0)
     return rows.groupBy("query_id").agg(r6(F.when(flat, close).otherwise(F.corr("before", "var"))).alias("correlation"))
 
 
-@query("WIN-5", sql(B.QUERIES, f"SELECT query_id, {R('list_distance(q, before)')} AS drift FROM (SELECT query_id, q, lag(q) OVER (ORDER BY query_id) AS before FROM centroids) WHERE before IS NOT NULL"))
+@query("WIN-5", sql(f"{B.QUERIES}, steps AS (SELECT query_id, list_distance(q, before) AS drift FROM (SELECT query_id, q, lag(q) OVER (ORDER BY query_id) AS before FROM queries) WHERE before IS NOT NULL)", f"SELECT query_id, {R('drift')} AS drift, {R('(SELECT avg(drift) FROM steps)')} AS mean_drift, {R('(SELECT sum(drift) FROM steps)')} AS total_drift FROM steps"))
 def snapshot_drift(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.centroids(B.corpus(spark, d)).withColumn("all", F.lit(1))
-    rows = rows.withColumn("before", F.lag("q").over(Window.partitionBy("all").orderBy("query_id"))).where("before is not null")
-    return rows.select("query_id", r6(V.norm(V.subtract(F.col("q"), F.col("before")))).alias("drift"))
+    """The queries' vectors as snapshots in order: distance of each to the one before, with the mean and the total of all."""
+    steps = consecutive(B.queries(B.corpus(spark, d)), "query_id", "q").select("query_id", V.norm(V.subtract(F.col("q"), F.col("before_q"))).alias("drift"))
+    whole = F.broadcast(steps.agg(F.avg("drift").alias("mean"), F.sum("drift").alias("sum")))
+    return steps.crossJoin(whole).select("query_id", r6("drift").alias("drift"), r6("mean").alias("mean_drift"), r6("sum").alias("total_drift"))
 
 
 @query("WIN-6", sql(B.SERIES, f"SELECT key, {R('CASE WHEN count(v) >= 2 THEN arg_max(v, seq) - arg_min(v, seq) END', 9)} AS delta, {R('arg_max(v, seq)', 9)} AS latest, {R('avg(v)', 8)} AS mean FROM series GROUP BY key"))
@@ -167,7 +188,7 @@ _GAP = f"{B.SERIES}, g AS (SELECT key, seq, avg(v * 100 - 0.2) OVER (PARTITION B
 @query("WIN-10", sql(_GAP, f"SELECT key, {R('list_reduce(list_concat([0.3::DOUBLE], list(gap ORDER BY seq)), lambda s, g: least(greatest(0.9::DOUBLE * s + 0.1::DOUBLE * CASE WHEN g > 0 THEN 0.3::DOUBLE / (1 + g) ELSE 1.0::DOUBLE END, 0.05::DOUBLE), 1.0::DOUBLE))')} AS margin FROM g GROUP BY key"))
 def rolling_margin(spark: SparkSession, d: str) -> DataFrame:
     rows = B.series(spark, d).withColumn("gap", F.avg(F.col("v") * 100 - 0.2).over(W.last_rows(50)))
-    return W.ordered(rows, "gap", "gaps").select("key", r6(W.margin(F.col("gaps"))).alias("margin"))
+    return W.margins(rows, "gap").select("key", r6("margin").alias("margin"))
 
 
 _TEN = "OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"
@@ -195,14 +216,21 @@ def weight_schedules(spark: SparkSession, d: str) -> DataFrame:
 @query("WIN-14")
 def early_stopping(spark: SparkSession, d: str) -> DataFrame:
     """No SQL: a fold with several states; the test compares with a plain loop."""
-    rows = W.ordered(B.series(spark, d), "v", "losses")
-    return rows.select("key", F.size("losses").alias("epochs"), W.early_stop(F.col("losses")).alias("stopped_at"))
+    return W.early_stops(B.series(spark, d), "v")
+
 
+@query("WIN-13-ADAPTIVE")
+def adaptive_weight(spark: SparkSession, d: str) -> DataFrame:
+    """No SQL: a fold; the teacher's weight after each key's values as losses, compared with a plain loop in the test."""
+    return W.adaptive_weights(B.series(spark, d), "v").select("key", r6("weight", 9).alias("weight"))
 
-@query("WIN-15", f"WITH daily AS (SELECT event_type, ts::DATE::VARCHAR AS day, avg(value) AS mean FROM events GROUP BY 1, 2) SELECT event_type, day, {R('mean - lag(mean) OVER (PARTITION BY event_type ORDER BY day)')} AS change FROM daily")
+
+@query("WIN-15", f"WITH daily AS (SELECT event_type, ts::DATE::VARCHAR AS day, avg(value) AS mean FROM events GROUP BY 1, 2) SELECT event_type, day, {R('mean - lag(mean) OVER (PARTITION BY event_type ORDER BY day)')} AS change, {R('avg(mean) OVER (PARTITION BY event_type)')} AS history_mean, count(*) OVER (PARTITION BY event_type) AS snapshots, day = max(day) OVER (PARTITION BY event_type) AS latest FROM daily")
 def snapshot_history(spark: SparkSession, d: str) -> DataFrame:
+    """Each day's snapshot: change to the one before, mean of the history, and whether it is the latest."""
     daily = _events(spark, d).groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(F.avg("value").alias("mean"))
-    return daily.select("event_type", "day", r6(F.col("mean") - F.lag("mean").over(Window.partitionBy("event_type").orderBy("day"))).alias("change"))
+    by = Window.partitionBy("event_type")
+    return daily.select("event_type", "day", r6(F.col("mean") - F.lag("mean").over(by.orderBy("day"))).alias("change"), r6(F.avg("mean").over(by)).alias("history_mean"), F.count("*").over(by).alias("snapshots"), (F.col("day") == F.max("day").over(by)).alias("latest"))
 
 
 @query("WIN-16", sql(B.SERIES, "SELECT s.key, c.cycle, count(*) AS n FROM series s JOIN (SELECT key, count(*) AS total FROM series GROUP BY key) t ON s.key = t.key JOIN (SELECT unnest(range(0, 5)) AS cycle) c ON s.seq - 1 >= (c.cycle * 10) % total AND s.seq - 1 < (c.cycle * 10) % total + 10 GROUP BY s.key, c.cycle"))
@@ -249,19 +277,23 @@ def gate_subsets(spark: SparkSession, d: str) -> DataFrame:
     return B.experiments(spark, d).groupBy("profile", "task").agg(*_outcomes(), ship.alias("shippable"))
 
 
-_CUBE = f"""{B.EXPERIMENTS}, cut AS (SELECT profile, median(n) AS mid FROM experiments GROUP BY profile),
-keyed AS (SELECT e.profile, e.delta, unnest(['all', 'task=' || task, CASE WHEN n <= mid THEN 'n_low' ELSE 'n_high' END]) AS gate FROM experiments e JOIN cut c ON e.profile = c.profile),
-cells AS (SELECT profile, gate, count(*) AS windows, avg(delta) AS mean FROM keyed GROUP BY profile, gate)"""
+_CUTS = {"n": 3, "ndcg": 0.5, "base": 0.5}
+_KEYS = ", ".join(["'all'", "'task:' || task", *(f"CASE WHEN {c} < {x} THEN '{c}<{x}' ELSE '{c}>={x}' END" for c, x in _CUTS.items()), "CASE WHEN n % 2 = 0 THEN 'unchanged' ELSE 'changed' END"])
+_CUBE = f"""{B.EXPERIMENTS}, keyed AS (SELECT profile, delta, unnest([{_KEYS}]) AS gate FROM experiments WHERE profile <> baseline_name),
+cells AS (SELECT profile, gate, count(*) AS windows, round(avg(delta), 9) AS mean, count(*) FILTER (delta < -0.001) AS regressed, bool_and(delta >= -0.001) AND avg(delta) > 0.001 AS shippable FROM keyed GROUP BY profile, gate),
+placed AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY NOT shippable, mean DESC, gate) AS place FROM cells)"""
 
 
-@query("AGG-12", sql(_CUBE, f"SELECT profile, gate, windows, {R('mean')} AS mean, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY round(mean, 9) DESC, windows DESC, gate) AS rank FROM cells)"))
+@query("AGG-12", sql(_CUBE, f"SELECT profile, gate, windows, {R('mean')} AS mean, regressed, shippable, place::INTEGER AS place, place = 1 AS best FROM placed"))
 def gate_cube(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.experiments(spark, d)
-    cut = rows.groupBy("profile").agg(F.median("n").alias("mid"))
-    side = F.when(F.col("n") <= F.col("mid"), "n_low").otherwise("n_high")
-    keyed = rows.join(cut, "profile").select("profile", "delta", F.explode(F.array(F.lit("all"), F.concat(F.lit("task="), F.col("task").cast("string")), side)).alias("gate"))
-    cells = keyed.groupBy("profile", "gate").agg(F.count("*").alias("windows"), F.avg("delta").alias("mean"))
-    return ranked(cells, None, ["profile"], F.round("mean", 9).desc(), F.col("windows").desc(), "gate").select("profile", "gate", "windows", r6("mean").alias("mean"), "rank")
+    """Each row goes to its gates (all, task, either side of three features, changed or not); one aggregation serves them all."""
+    rows = B.experiments(spark, d).where("profile <> baseline_name")
+    sides = [F.when(F.col(c) < x, f"{c}<{x}").otherwise(f"{c}>={x}") for c, x in _CUTS.items()]
+    gates_ = F.array(F.lit("all"), F.concat(F.lit("task:"), F.col("task").cast("string")), *sides, F.when(F.col("n") % 2 == 0, "unchanged").otherwise("changed"))
+    x = F.col("delta")
+    cells = rows.select("profile", "delta", F.explode(gates_).alias("gate")).groupBy("profile", "gate").agg(F.count("*").alias("windows"), F.round(F.avg(x), 9).alias("mean"), F.count_if(x < -0.001).alias("regressed"), (F.bool_and(x >= -0.001) & (F.avg(x) > 0.001)).alias("shippable"))
+    out = ranked(cells, None, ["profile"], ~F.col("shippable"), F.col("mean").desc(), "gate")
+    return out.select("profile", "gate", "windows", r6("mean").alias("mean"), "regressed", "shippable", F.col("rank").alias("place"), (F.col("rank") == 1).alias("best"))
 
 
 @query("AGG-14", sql(B.EXPERIMENTS, f"SELECT task, profile, count(*) AS runs, {R('avg(ndcg)')} AS mean, {R('avg(delta)')} AS mean_delta FROM experiments GROUP BY task, profile"))
@@ -312,10 +344,16 @@ def norm_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("query_id").agg(r6(F.avg("n")).alias("mean"), r6(F.stddev_pop("n")).alias("std"), F.count("*").alias("n"), r6(F.any_value("qn")).alias("query_norm"))
 
 
-@query("AGG-23", sql(B.EXPERIMENTS, f"SELECT {R('avg(ndcg)')} AS mean, {R('stddev_pop(ndcg)')} AS std, {R('min(ndcg)')} AS low, {R('max(ndcg)')} AS high, count(*) FILTER (delta > 0) AS gains, count(*) FILTER (delta < 0) AS losses FROM experiments WHERE n >= 2"))
+@query("AGG-23", sql(f"{B.EXPERIMENTS}, results AS (SELECT *, CASE WHEN greatest(ndcg, base) = 0 THEN 1.0::DOUBLE ELSE least(ndcg, base) / greatest(ndcg, base) END AS stability, CASE WHEN base = 0 THEN 0.0::DOUBLE ELSE delta / base * 100 END AS percent FROM experiments)", f"""SELECT count(*) AS tasks, count(*) FILTER (n >= 2) AS successful, count(*) FILTER (n < 2) AS failed,
+ {', '.join(f'{R(f"{f}({c}) FILTER (n >= 2)")} AS {c}_{k}' for c in ('ndcg', 'stability') for k, f in (('mean', 'avg'), ('std', 'stddev_pop'), ('low', 'min'), ('high', 'max')))},
+ {R('avg(delta) FILTER (n >= 2)')} AS gain_mean, {R('stddev_pop(delta) FILTER (n >= 2)')} AS gain_std, {R('avg(percent) FILTER (n >= 2)', 4)} AS gain_percent, count(*) FILTER (n >= 2 AND delta > 0) AS gains, count(*) FILTER (n >= 2 AND delta < 0) AS losses FROM results"""))
 def multitask_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.experiments(spark, d).where("n >= 2")
-    return rows.agg(r6(F.avg("ndcg")).alias("mean"), r6(F.stddev_pop("ndcg")).alias("std"), r6(F.min("ndcg")).alias("low"), r6(F.max("ndcg")).alias("high"), F.count_if(F.col("delta") > 0).alias("gains"), F.count_if(F.col("delta") < 0).alias("losses"))
+    """Runs of fewer than two measurements count as failed and enter no mean; stability is the ratio of the two scores."""
+    high = F.greatest("ndcg", "base")
+    rows = B.experiments(spark, d).withColumns({"stability": F.when(high == 0, 1.0).otherwise(F.least("ndcg", "base") / high), "percent": F.when(F.col("base") == 0, 0.0).otherwise(F.col("delta") / F.col("base") * 100), "ok": F.col("n") >= 2})
+    on = lambda c: F.when(F.col("ok"), F.col(c))
+    stats = [r6(f(on(c))).alias(f"{c}_{k}") for c in ("ndcg", "stability") for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("low", F.min), ("high", F.max))]
+    return rows.agg(F.count("*").alias("tasks"), F.count_if("ok").alias("successful"), F.count_if(~F.col("ok")).alias("failed"), *stats, r6(F.avg(on("delta"))).alias("gain_mean"), r6(F.stddev_pop(on("delta"))).alias("gain_std"), r6(F.avg(on("percent")), 4).alias("gain_percent"), F.count_if(on("delta") > 0).alias("gains"), F.count_if(on("delta") < 0).alias("losses"))
 
 
 @query("AGG-24", sql(B.EXPERIMENTS, f"SELECT profile, {R('avg(ndcg)')} AS mean, {R('max(ndcg) - min(ndcg)')} AS spread, max(ndcg) - min(ndcg) <= 0.9 AS passed FROM experiments GROUP BY profile"))
@@ -331,9 +369,29 @@ def transfer_gate(spark: SparkSession, d: str) -> DataFrame:
     return tasks.groupBy("profile").agg((F.bool_and(F.col("gain") >= 0) & (F.avg("gain") >= 0.001)).alias("passed"), r6(F.avg("gain")).alias("mean_gain"), failures.alias("failures"))
 
 
-@query("AGG-26", sql(B.EXPERIMENTS, f"SELECT profile, bool_and(ndcg BETWEEN 0.0 AND 2.0) AS in_band, {R('avg(abs(ndcg - 0.5))')} AS distance FROM experiments GROUP BY profile"))
+_SEEDS = f"""{B.EXPERIMENTS}, best AS (SELECT task, win, max(ndcg) AS hybrid FROM experiments WHERE profile <> baseline_name GROUP BY task, win),
+seeds AS (SELECT b.task, b.win, ndcg AS baseline, hybrid, hybrid - ndcg AS gain, CASE WHEN ndcg = 0 THEN 0.0::DOUBLE ELSE (hybrid - ndcg) / ndcg * 100 END AS percent, hybrid - 0.5 AS to_reference, abs(ndcg - 0.5) <= 0.3 AS in_band, abs(ndcg - 0.5) <= 0.3 AND hybrid > ndcg AS passes
+ FROM experiments e JOIN best b ON e.task = b.task AND e.win = b.win WHERE profile = baseline_name),
+every AS (SELECT task, '*' AS win, avg(baseline) AS baseline, avg(hybrid) AS hybrid, avg(gain) AS gain, max(hybrid) - min(hybrid) AS spread, bool_and(in_band) AS in_band, bool_and(passes) AND max(hybrid) - min(hybrid) <= 0.9 AS passes FROM seeds GROUP BY task)"""
+_NEXT = "CASE WHEN passes THEN 'run-multitask-gate' ELSE 'stop-and-review' END AS next_step"
+
+
+@query("AGG-26", sql(_SEEDS, f"SELECT task, win, {R('baseline')} AS baseline, {R('hybrid')} AS hybrid, {R('gain')} AS gain, {R('percent', 3)} AS percent, {R('to_reference')} AS to_reference, in_band, passes, {_NEXT} FROM seeds UNION ALL SELECT task, win, {R('baseline')}, {R('hybrid')}, {R('gain')}, NULL, {R('spread')}, in_band, passes, {_NEXT} FROM every"))
 def repeatability(spark: SparkSession, d: str) -> DataFrame:
-    return B.experiments(spark, d).groupBy("profile").agg(F.bool_and(F.col("ndcg").between(0.0, 2.0)).alias("in_band"), r6(F.avg(F.abs(F.col("ndcg") - 0.5))).alias("distance"))
+    """Each day is a seed: its baseline against the reference band, the best other profile against it; and all seeds of a task.
+
+    In the rows of all seeds (``win`` is ``*``) to_reference is the spread of the seeds, which must stay within 0.9.
+    """
+    rows = B.experiments(spark, d)
+    best = rows.where("profile <> baseline_name").groupBy("task", "win").agg(F.max("ndcg").alias("hybrid"))
+    seeds = rows.where("profile = baseline_name").select("task", "win", F.col("ndcg").alias("baseline")).join(best, ["task", "win"])
+    b, gain = F.col("baseline"), F.col("hybrid") - F.col("baseline")
+    seeds = seeds.withColumns({"gain": gain, "percent": F.when(b == 0, 0.0).otherwise(gain / b * 100), "to_reference": F.col("hybrid") - 0.5, "in_band": F.abs(b - 0.5) <= 0.3}).withColumn("passes", F.col("in_band") & (gain > 0))
+    spread = F.max("hybrid") - F.min("hybrid")
+    every = seeds.groupBy("task").agg(F.lit("*").alias("win"), F.avg("baseline").alias("baseline"), F.avg("hybrid").alias("hybrid"), F.avg("gain").alias("gain"), F.lit(None).cast("double").alias("percent"), spread.alias("to_reference"), F.bool_and("in_band").alias("in_band"), (F.bool_and("passes") & (spread <= 0.9)).alias("passes"))
+    out = seeds.unionByName(every)
+    step = F.when(F.col("passes"), "run-multitask-gate").otherwise("stop-and-review")
+    return out.select("task", "win", *(r6(c).alias(c) for c in ("baseline", "hybrid", "gain")), r6("percent", 3).alias("percent"), r6("to_reference").alias("to_reference"), "in_band", "passes", step.alias("next_step"))
 
 
 @query("AGG-28", sql(B.EXPERIMENTS, "SELECT task, n > 2 AS decomposed, count(*) FILTER (delta > 1e-9) AS improved, count(*) FILTER (delta < -1e-9) AS degraded, count(*) FILTER (abs(delta) <= 1e-9) AS unchanged FROM experiments GROUP BY ALL"))
@@ -342,11 +400,14 @@ def recursive_comparison(spark: SparkSession, d: str) -> DataFrame:
     return B.experiments(spark, d).groupBy("task", (F.col("n") > 2).alias("decomposed")).agg(F.count_if(x > 1e-9).alias("improved"), F.count_if(x < -1e-9).alias("degraded"), F.count_if(F.abs(x) <= 1e-9).alias("unchanged"))
 
 
-@query("AGG-29", sql(B.SERIES, "SELECT key, ((seq - 1) % 4)::BIGINT AS drive, count(*) AS evaluations, arg_min(event_id, (-v, seq)) AS best FROM series GROUP BY 1, 2"))
+@query("AGG-29", sql(f"{B.SERIES}, drives AS (SELECT key, ((seq - 1) % 4)::BIGINT AS drive, count(*) AS depth FROM series GROUP BY 1, 2), tops AS (SELECT key, arg_min(event_id, (-v, seq)) AS best, max(v) AS fitness FROM series GROUP BY key), slow AS (SELECT key, max(depth) AS slowest FROM drives GROUP BY key)", f"SELECT d.key, drive, depth, slowest, best, {R('fitness')} AS fitness, {R('(1 + least(slowest, 16) * 100 + greatest(slowest - 16, 0) * 200) / 1000.0::DOUBLE')} AS latency_ms FROM drives d JOIN tops t ON d.key = t.key JOIN slow s ON d.key = s.key"))
 def sharded_population(spark: SparkSession, d: str) -> DataFrame:
-    """Round robin by dispatch order; the first of the best on each drive."""
+    """Round robin by dispatch order to four drives; the first of the best; latency by the slowest queue."""
     rows = B.series(spark, d)
-    return rows.groupBy("key", F.pmod(F.col("seq") - 1, F.lit(4)).cast("long").alias("drive")).agg(F.count("*").alias("evaluations"), F.min_by("event_id", F.struct(-F.col("v"), "seq")).alias("best"))
+    drives = rows.groupBy("key", F.pmod(F.col("seq") - 1, F.lit(4)).cast("long").alias("drive")).agg(F.count("*").alias("depth"), F.min(F.struct((-F.col("v")).alias("low"), "seq", "event_id")).alias("top"))
+    whole = drives.groupBy("key").agg(F.max("depth").alias("slowest"), F.min("top").alias("top"))
+    latency = storage.latency_us(F.lit(100.0), F.lit(1.0), F.lit(16), F.col("slowest")) / 1000
+    return drives.drop("top").join(whole, "key").select("key", "drive", "depth", "slowest", F.col("top.event_id").alias("best"), r6(-F.col("top.low")).alias("fitness"), r6(latency).alias("latency_ms"))
 
 
 @query("AGG-30", "WITH s(severity) AS (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW'), ('6-NONE')) SELECT severity, count(o_orderkey) AS n, count(*) FILTER (o_orderstatus = 'F') AS closed FROM s LEFT JOIN orders ON o_orderpriority = severity GROUP BY severity")
@@ -356,11 +417,17 @@ def closure_counts(spark: SparkSession, d: str) -> DataFrame:
     return names.join(counts, "severity", "left").select("severity", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("closed", F.lit(0)).alias("closed"))
 
 
-@query("AGG-31", sql(f"{B.CORPUS}, {B.DIMS}", f"SELECT (pos - 1)::INTEGER AS pos, {R('avg(x)', 8)} AS mean, {R('sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0))')} AS std, count(*) AS n FROM dims GROUP BY pos"))
+@query("AGG-31", sql(f"{B.CORPUS}, {B.DIMS}, norms AS (SELECT sqrt(list_inner_product(v, v)) AS n FROM corpus), health AS (SELECT avg(n) AS mean_norm, max(n) AS max_norm, min(n) AS min_norm, CASE WHEN count(*) > 1 THEN stddev_pop(n) ELSE 0 END AS std_norm FROM norms)", f"SELECT (pos - 1)::INTEGER AS pos, {R('avg(x)', 8)} AS mean, {R('sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0))')} AS std, count(*) AS n, {', '.join(R(f'any_value({c})') + f' AS {c}' for c in ('mean_norm', 'max_norm', 'min_norm', 'std_norm'))}, any_value(mean_norm) < 1e-7 AS vanishing, any_value(mean_norm) > 100 AS exploding FROM dims CROSS JOIN health GROUP BY pos"))
 def gradient_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and deviation of each dimension from running sums, and the health of the norms: vanishing or exploding."""
     x = F.col("x")
+    rows = B.corpus(spark, d)
     std = F.sqrt(F.greatest(F.avg(x * x) - F.avg(x) * F.avg(x), F.lit(0.0)))
-    return V.exploded(B.corpus(spark, d), "v").groupBy("pos").agg(r6(F.avg(x), 8).alias("mean"), r6(std).alias("std"), F.count("*").alias("n"))
+    n = V.norm(F.col("v"))
+    health = rows.select(n.alias("n")).agg(F.avg("n").alias("mean_norm"), F.max("n").alias("max_norm"), F.min("n").alias("min_norm"), F.when(F.count("*") > 1, F.stddev_pop("n")).otherwise(0.0).alias("std_norm"))
+    dims = V.exploded(rows, "v").groupBy("pos").agg(r6(F.avg(x), 8).alias("mean"), r6(std).alias("std"), F.count("*").alias("n"))
+    flags = [(F.col("mean_norm") < 1e-7).alias("vanishing"), (F.col("mean_norm") > 100).alias("exploding")]
+    return dims.crossJoin(F.broadcast(health)).select("pos", "mean", "std", "n", *(r6(c).alias(c) for c in ("mean_norm", "max_norm", "min_norm", "std_norm")), *flags)
 
 
 @query("AGG-32", sql(f"{B.SERIES}, t AS (SELECT *, count(*) OVER (PARTITION BY key) AS total FROM series)", f"SELECT key, {R('regr_slope(v, seq)', 8)} AS slope, {R('avg(v) FILTER (seq > total - 10)', 8)} AS recent FROM t GROUP BY key"))
@@ -377,32 +444,12 @@ def round_summary(spark: SparkSession, d: str) -> DataFrame:
     return B.experiments(spark, d).select("task", "win", "profile", place.alias("place"), r6("delta").alias("delta"), worse.alias("regressions"))
 
 
-@query("AGG-34", "SELECT event_type AS profile, json_extract_string(props, '$.k') AS action, count(*) AS n FROM events GROUP BY ALL")
-def action_mix(spark: SparkSession, d: str) -> DataFrame:
-    rows = _events(spark, d).select(F.col("event_type").alias("profile"), F.get_json_object("props", "$.k").alias("action"))
-    return rows.groupBy("profile", "action").agg(F.count("*").alias("n"))
-
-
-@query("AGG-35", sql(B.EXPERIMENTS, "SELECT lpad(profile, 12, ' ') || ' ' || lpad(format('{:.4f}', round(avg(ndcg), 4)), 8, ' ') AS line FROM experiments GROUP BY profile"))
-def comparative_table(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat(F.lpad("profile", 12, " "), F.lit(" "), F.lpad(F.format_string("%.4f", F.round("m", 4)), 8, " "))
-    return B.experiments(spark, d).groupBy("profile").agg(F.avg("ndcg").alias("m")).select(line.alias("line"))
-
-
-@query("AGG-36", f"SELECT {R('avg(CASE WHEN event_type LIKE (SELECT min(event_type) FROM events) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS rate, count(*) AS n FROM events")
-def rerank_rate(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d)
-    first = F.broadcast(e.agg(F.min("event_type").alias("first")))
-    return e.crossJoin(first).agg(r6(F.avg(F.when(F.col("event_type") == F.col("first"), 1.0).otherwise(0.0))).alias("rate"), F.count("*").alias("n"))
-
-
 # ---------------------------------------------------------------- joins
 
-@query("JOIN-6", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+@query("JOIN-6", sql(B.QUERIES, f"SELECT a.query_id AS a, b.query_id AS b, {R('list_cosine_similarity(a.q, b.q)')} AS similarity FROM queries a JOIN queries b ON a.query_id < b.query_id WHERE list_cosine_similarity(a.q, b.q) >= 0.15"))
 def unordered_pairs(spark: SparkSession, d: str) -> DataFrame:
-    n = B.table(spark, d, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("a"), "n_regionkey"), n.select(F.col("n_nationkey").alias("b"), "n_regionkey")
-    return a.join(b, "n_regionkey").where("a < b").select("a", "b")
+    """Pairs of queries of similar vectors, each pair once; blocks of queries pass by the rows and only links leave a task."""
+    return similar_pairs(B.queries(B.corpus(spark, d)), 0.15, "query_id", "q").select("a", "b", r6("similarity").alias("similarity"))
 
 
 @query("JOIN-8", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
@@ -506,7 +553,20 @@ def median_partition(spark: SparkSession, d: str) -> DataFrame:
     return graph.variance_median_partition(B.corpus(spark, d), 8, "vec_id", "v").withColumnRenamed("id", "vec_id")
 
 
-@query("GRAPH-8", sql(B.EXPERIMENTS, f"SELECT profile, {R('0.4 * (1 - least(greatest(avg(CASE WHEN delta < -0.001 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0), 1)) + 0.3 * (1 - least(greatest(stddev_pop(ndcg), 0), 1)) + 0.3 * (1 - least(greatest(abs(avg(delta)), 0), 1))')} AS health FROM experiments GROUP BY profile"))
+_SIGNALS = f"""{B.EXPERIMENTS}, means AS (SELECT profile, win, avg(ndcg) AS m FROM experiments GROUP BY profile, win),
+steps AS (SELECT profile, m - lag(m) OVER (PARTITION BY profile ORDER BY win) AS step, row_number() OVER (PARTITION BY profile ORDER BY win DESC) AS r FROM means),
+last AS (SELECT profile, step FROM steps WHERE r = 1),
+signals AS (SELECT e.profile, avg(CASE WHEN delta < -0.001 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS collapse, stddev_pop(ndcg) AS oscillation, avg(abs(delta)) AS isomer, any_value(coalesce(step, 0.0::DOUBLE)) AS step FROM experiments e LEFT JOIN last ON e.profile = last.profile GROUP BY e.profile)"""
+
+
+@query("GRAPH-8", sql(_SIGNALS, f"SELECT profile, {R('collapse')} AS collapse, {R('oscillation')} AS oscillation, {R('step')} AS covalent_change, {R('isomer')} AS isomer, {R('0.4 * (1 - least(greatest(collapse, 0), 1)) + 0.3 * (1 - least(greatest(isomer, 0), 1)) + 0.3 * (1 - least(greatest(abs(step), 0), 1))')} AS score, CASE WHEN collapse > 0.5 OR step > 0.1 OR isomer > 0.6 THEN 'critical' WHEN collapse > 0.2 OR oscillation > 0.005 OR step > 0.05 OR isomer > 0.3 THEN 'degrading' ELSE 'healthy' END AS class FROM signals"))
 def structural_health(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.experiments(spark, d).groupBy("profile").agg(F.avg(F.when(F.col("delta") < -0.001, 1.0).otherwise(0.0)).alias("c"), F.stddev_pop("ndcg").alias("i"), F.abs(F.avg("delta")).alias("t"))
-    return rows.select("profile", r6(gates.health(F.col("c"), F.col("i"), F.col("t"))).alias("health"))
+    """Per profile: persistent collapse, oscillation, change between the last two snapshots and isomer strength; score and class."""
+    rows = B.experiments(spark, d)
+    means = rows.groupBy("profile", "win").agg(F.avg("ndcg").alias("m"))
+    step = F.col("m") - F.lag("m").over(Window.partitionBy("profile").orderBy("win"))
+    last = ranked(means.withColumn("step", step), 1, ["profile"], F.col("win").desc()).select("profile", "step")
+    found = rows.groupBy("profile").agg(F.avg(F.when(F.col("delta") < -0.001, 1.0).otherwise(0.0)).alias("collapse"), F.stddev_pop("ndcg").alias("oscillation"), F.avg(F.abs("delta")).alias("isomer")).join(last, "profile", "left").withColumn("step", F.coalesce("step", F.lit(0.0)))
+    kind = gates.health_class(F.col("collapse"), F.col("oscillation"), F.col("step"), F.col("isomer"))
+    score = gates.health(F.col("collapse"), F.col("isomer"), F.abs("step"))
+    return found.select("profile", r6("collapse").alias("collapse"), r6("oscillation").alias("oscillation"), r6("step").alias("covalent_change"), r6("isomer").alias("isomer"), r6(score).alias("score"), kind.alias("class"))

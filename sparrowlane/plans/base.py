@@ -1,7 +1,8 @@
 """Shared inputs of the queries, in Spark and in SQL.
 
-corpus: all embeddings as doubles.  queries: the centroid of each label, so the query set covers the whole table and
-grows with the labels only; a document is relevant to a query of its own label.  scout: the 50 best rows of each query.
+corpus: all embeddings as doubles.  queries: the rows whose id is divisible by 50, so the query set grows with the table;
+a query's own row is not among its results.  centroids: the mean of each label, for operators that route.  scout: the 50
+best rows of each query; a scouted row is relevant to a query of its label (judgements are pooled from what was scouted).
 series: all events by user in time order, with a small value.  experiments: one score per profile (event type), task
 (user modulo 4) and window (day), over all events.
 """
@@ -37,16 +38,26 @@ def centroids(rows: DataFrame) -> DataFrame:
     return V.mean_vector(rows, "v", "q", "label").withColumnRenamed("label", "query_id")
 
 
+def queries(rows: DataFrame) -> DataFrame:
+    """query_id, query_label, q."""
+    return rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("v").alias("q"))
+
+
+def search(rows: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the best ``k`` other rows of each query."""
+    return cosine_top_k(rows, queries(rows), k, own=False)
+
+
 def scout(spark: SparkSession, sf_dir: str, k: int = SCOUT_K) -> DataFrame:
-    """query_id, rank, vec_id, score, label, v, q; written once, since spread, masks and re-ranking all read it.
+    """query_id, query_label, rank, vec_id, score, label, v, q; written once, since spread, masks and re-ranking all read it.
 
-    The hits are few (``k`` for each query), so their vectors are fetched by a broadcast of them where that is checked.
+    Vectors are fetched by a broadcast of the hits where these are checked to be few, else by a join on the id.
     """
     rows = corpus(spark, sf_dir)
-    queries = written(centroids(rows), "centroids")
-    top = written(cosine_top_k(rows, queries, k), "hits")
-    side = F.broadcast(top) if top.count() <= BROADCAST_HITS else top
-    return written(rows.join(side, "vec_id").join(queries, "query_id"), "scout")
+    top = written(search(rows, k), "hits")
+    few = top.count() <= BROADCAST_HITS
+    asked = queries(rows)
+    return written(rows.join(F.broadcast(top) if few else top, "vec_id").join(F.broadcast(asked) if few else asked, "query_id"), "scout")
 
 
 def reranked(hits: DataFrame, percentile: float = 0.85) -> DataFrame:
@@ -64,8 +75,9 @@ def rankings(hits: DataFrame) -> DataFrame:
     return out.select("p.profile", "query_id", "p.rank", "vec_id").where(F.col("rank") <= RESULT_K)
 
 
-def qrels(rows: DataFrame) -> DataFrame:
-    return rows.where("label is not null").select(F.col("label").alias("query_id"), "vec_id", F.lit(1.0).alias("grade"))
+def qrels(hits: DataFrame) -> DataFrame:
+    """query_id, vec_id, grade of the scouted rows of the query's label."""
+    return hits.where("label = query_label").select("query_id", "vec_id", F.lit(1.0).alias("grade"))
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +91,9 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """profile, task, win, ndcg, n, and delta to the baseline profile of the same task and window (0 without one)."""
     e = table(spark, sf_dir, "events")
     scores = e.groupBy(F.col("event_type").alias("profile"), F.pmod("user_id", F.lit(4)).cast("long").alias("task"), F.to_date("ts").cast("string").alias("win")).agg((F.avg("value") / 100.0).alias("ndcg"), F.count("*").alias("n"))
-    base = scores.join(F.broadcast(e.agg(F.min("event_type").alias("profile"))), "profile").select("task", "win", F.col("ndcg").alias("base"), F.col("profile").alias("baseline"))
-    first = F.broadcast(e.agg(F.min("event_type").alias("baseline_name")))
-    out = scores.join(base.drop("baseline"), ["task", "win"], "left").crossJoin(first)
+    named = scores.crossJoin(F.broadcast(scores.agg(F.min("profile").alias("baseline_name"))))
+    base = named.where("profile = baseline_name").select("task", "win", F.col("ndcg").alias("base"))
+    out = named.join(base, ["task", "win"], "left")
     return out.withColumn("base", F.coalesce("base", F.lit(0.0))).withColumn("delta", F.col("ndcg") - F.col("base"))
 
 
@@ -90,7 +102,8 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORPUS = "corpus AS (SELECT vec_id, label::BIGINT AS label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 DIMS = "dims AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM corpus)"
 CENTROIDS = "centroids AS (SELECT label AS query_id, list(m ORDER BY pos) AS q FROM (SELECT label, pos, avg(x) AS m FROM dims GROUP BY label, pos) GROUP BY label)"
-SCOUT = """scored AS (SELECT c.query_id, d.vec_id, d.label, d.v, c.q, list_cosine_similarity(d.v, c.q) AS score FROM corpus d CROSS JOIN centroids c),
+QUERY_SET = "queries AS (SELECT vec_id AS query_id, label AS query_label, v AS q FROM corpus WHERE vec_id % 50 = 0)"
+SCOUT = """scored AS (SELECT c.query_id, c.query_label, d.vec_id, d.label, d.v, c.q, list_cosine_similarity(d.v, c.q) AS score FROM corpus d CROSS JOIN queries c WHERE d.vec_id <> c.query_id),
 scout AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored QUALIFY rank <= 50)"""
 STATS = """sdims AS (SELECT query_id, rank, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM scout),
 stats AS (SELECT query_id, pos, avg(x) AS mean, var_pop(x) AS var FROM sdims GROUP BY query_id, pos),
@@ -119,8 +132,8 @@ RANKINGS = f"""{RERANKED}, {rerank_sql("centered", False)},
 rankings AS (SELECT 'baseline' AS profile, query_id, rank, vec_id FROM scout WHERE rank <= 10
   UNION ALL SELECT 'masked', query_id, new_rank, vec_id FROM masked WHERE new_rank <= 10
   UNION ALL SELECT 'centered', query_id, new_rank, vec_id FROM centered WHERE new_rank <= 10),
-qrels AS (SELECT label AS query_id, vec_id, 1.0::DOUBLE AS grade FROM corpus WHERE label IS NOT NULL)"""
-QUERIES = f"{CORPUS}, {DIMS}, {CENTROIDS}"
+qrels AS (SELECT query_id, vec_id, 1.0::DOUBLE AS grade FROM scout WHERE label = query_label)"""
+QUERIES = f"{CORPUS}, {DIMS}, {CENTROIDS}, {QUERY_SET}"
 TO_SCOUT = f"{QUERIES}, {SCOUT}"
 TO_STATS = f"{TO_SCOUT}, {STATS}"
 TO_RANKINGS = f"{TO_STATS}, {RANKINGS}"

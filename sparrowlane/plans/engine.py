@@ -12,8 +12,9 @@ from ..operators import adapters as A
 from ..operators import gates as G
 from ..operators import metrics, sampling, storage
 from ..operators import neighborhood as N
-from ..operators.topk import cosine_top_k, ranked
+from ..operators.topk import cosine_top_k, ranked, route_scores
 from ..registry import query
+from ..session import written
 from ..sources import collection as C
 from . import base as B
 from .base import r6, sql
@@ -61,22 +62,10 @@ def upserted(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SRC-6", f"WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS point_id, {_VALID} AS good FROM embeddings) SELECT vec_id, point_id, (point_id // 100)::BIGINT AS batch, bool_and(good) OVER (PARTITION BY point_id // 100) AS accepted FROM o")
 def ingested(spark: SparkSession, d: str) -> DataFrame:
-    rows = C.ingested(B.table(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("v")), 64, 100, F.col("vec_id"), "v")
+    rows = C.ingested(B.table(spark, d, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("v")), 64, 100, "vec_id", "v")
     return rows.select("vec_id", F.col("point_id").cast("long").alias("point_id"), "batch", "accepted")
 
 
-@query("SRC-7", "SELECT count(*) AS total, ceil(count(*) / 100.0)::BIGINT AS batches, (count(*) - 1)::BIGINT AS end_id FROM documents")
-def streaming_totals(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(spark, d, "documents").agg(F.count("*").alias("total"), F.ceil(F.count("*") / 100).alias("batches"), (F.count("*") - 1).alias("end_id"))
-
-
-@query("SRC-8", sql(B.CORPUS, f"SELECT vec_id, {R('list_sum(list_transform(v, lambda x: abs(x)))')} AS total FROM corpus"))
-def refreshed(spark: SparkSession, d: str) -> DataFrame:
-    """The whole collection through the adapter in use (here the identity)."""
-    rows = A.applied(B.corpus(spark, d), lambda x: x, "v", "y", "vec_id")
-    return rows.select("vec_id", r6(V.total(F.transform("y", lambda x: F.abs(x)))).alias("total"))
-
-
 @query("SRC-9", "SELECT 'corpus' AS part, count(*) AS n, sum(length(text) + 1)::BIGINT AS chars FROM documents UNION ALL SELECT 'queries', count(*), sum(length(text))::BIGINT FROM benchmark UNION ALL SELECT 'qrels', count(*), sum(quality)::BIGINT FROM labels")
 def dataset(spark: SparkSession, d: str) -> DataFrame:
     judged = B.table(spark, d, "labels").select(F.lit(0).alias("query_id"), "doc_id", F.col("quality").alias("score"))
@@ -148,16 +137,6 @@ def clamped(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "events").select("event_id", r6(F.least(F.greatest("value", F.lit(10.0)), F.lit(90.0))).alias("clamped"))
 
 
-PRESETS = [("fast", 1, 80.0), ("balanced", 2, 85.0), ("thorough", 3, 95.0), ("default", 0, 90.0)]
-
-
-@query("PRJ-16", "WITH p(preset, number, percentile) AS (VALUES ('fast', 1, 80.0::DOUBLE), ('balanced', 2, 85.0::DOUBLE), ('thorough', 3, 95.0::DOUBLE), ('default', 0, 90.0::DOUBLE)) SELECT user_id, preset, percentile, count(*) AS n FROM events JOIN p ON user_id % 4 = number GROUP BY ALL")
-def presets(spark: SparkSession, d: str) -> DataFrame:
-    table = F.broadcast(spark.createDataFrame(PRESETS, "preset string, number int, percentile double"))
-    rows = B.table(spark, d, "events").withColumn("number", (F.col("user_id") % 4).cast("int")).join(table, "number")
-    return rows.groupBy("user_id", "preset", "percentile").agg(F.count("*").alias("n"))
-
-
 # ---------------------------------------------------------------- gates
 
 _RATIO = "CASE WHEN delta <= 0 THEN CASE WHEN 0.9 * ndcg - base >= delta THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE (0.9 * ndcg - base) / delta END"
@@ -218,29 +197,6 @@ def trained_gates(spark: SparkSession, d: str) -> DataFrame:
     return rules.select("profile", "gate", "train", "held", r6("train_mean").alias("train_mean"), r6("held_mean").alias("held_mean"), passed.alias("accepted"))
 
 
-_COND = f"""{B.EXPERIMENTS}, q AS (SELECT profile, unnest([quantile_cont(base, 0.25), quantile_cont(base, 0.5), quantile_cont(base, 0.75)]) AS cut, unnest([25, 50, 75]) AS quartile FROM experiments GROUP BY profile),
-cells AS (SELECT e.profile, quartile, op, count(*) AS support, avg(delta) AS mean, count(*) FILTER (delta < 0) AS negative FROM experiments e JOIN q ON e.profile = q.profile CROSS JOIN (VALUES ('<='), ('>=')) o(op) WHERE CASE op WHEN '<=' THEN base <= cut ELSE base >= cut END GROUP BY ALL)"""
-
-
-@query("GATE-6", sql(_COND, f"SELECT profile, quartile, op, support, {R('mean')} AS mean, negative FROM cells"))
-def conditional_gates(spark: SparkSession, d: str) -> DataFrame:
-    """One-feature gates at the quartiles with both operators."""
-    rows = B.experiments(spark, d)
-    cuts = rows.groupBy("profile").agg(F.percentile("base", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("c"))
-    cuts = cuts.select("profile", F.posexplode("c").alias("i", "cut")).select("profile", "cut", ((F.col("i") + 1) * 25).alias("quartile"))
-    matched = rows.join(cuts, "profile").withColumn("op", F.explode(F.array(F.lit("<="), F.lit(">=")))).where(G.holds(F.col("base"), F.col("op"), F.col("cut")))
-    return matched.groupBy("profile", "quartile", "op").agg(F.count("*").alias("support"), r6(F.avg("delta")).alias("mean"), F.count_if(F.col("delta") < 0).alias("negative"))
-
-
-@query("GATE-7", sql(f"{B.TO_METRICS}, margins AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END) AS margin FROM scout GROUP BY query_id)", f"SELECT b.query_id, {R('m.ndcg - b.ndcg')} AS delta, {R('margin')} AS margin FROM metrics b JOIN metrics m ON b.query_id = m.query_id AND m.profile = 'masked' JOIN margins g ON g.query_id = b.query_id WHERE b.profile = 'baseline'"))
-def conditional_examples(spark: SparkSession, d: str) -> DataFrame:
-    hits = B.scout(spark, d)
-    found = metrics.per_query(B.rankings(hits), B.qrels(B.corpus(spark, d)), keys=("profile", "query_id"))
-    side = lambda p, name: found.where(F.col("profile") == p).select("query_id", F.col("ndcg").alias(name))
-    margin = hits.groupBy("query_id").agg((F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.max(F.when(F.col("rank") == 2, F.col("score")))).alias("margin"))
-    return side("baseline", "b").join(side("masked", "m"), "query_id").join(margin, "query_id").select("query_id", r6(F.col("m") - F.col("b")).alias("delta"), r6("margin").alias("margin"))
-
-
 @query("GATE-8", sql(B.EXPERIMENTS, f"SELECT profile, {R('avg(delta)')} AS mean, CASE WHEN avg(delta) > 0.001 THEN 'widen' WHEN avg(delta) < -0.001 THEN 'retreat' ELSE 'hold' END AS proposal FROM experiments GROUP BY profile"))
 def proposals(spark: SparkSession, d: str) -> DataFrame:
     m = F.avg("delta")
@@ -263,22 +219,6 @@ def integrated_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_type", F.to_json(F.struct("events", "users", F.lit(None).cast("long").alias("norm_drift"))).alias("report"))
 
 
-@query("GATE-11", sql(B.EXPERIMENTS, "SELECT profile, task, win, concat_ws(',', CASE WHEN delta < -0.05 THEN 'rollback' END, CASE WHEN n < 2 THEN 'collect' END, CASE WHEN delta > 0.05 THEN 'promote' END) AS directives, coalesce(delta > 0.05 AND n >= 2, false) AS applied FROM experiments"))
-def directives(spark: SparkSession, d: str) -> DataFrame:
-    x, n = F.col("delta"), F.col("n")
-    found = G.listed((x < -0.05, "rollback"), (n < 2, "collect"), (x > 0.05, "promote"))
-    return B.experiments(spark, d).select("profile", "task", "win", F.array_join(found, ",").alias("directives"), ((x > 0.05) & (n >= 2)).alias("applied"))
-
-
-@query("GATE-12", "WITH f AS (SELECT o_orderkey, o_orderpriority, o_custkey, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS r FROM orders), k AS (SELECT * FROM f WHERE r = 1) SELECT k.o_orderkey, substr(o_orderpriority, 1, 1) AS tier, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, k.o_orderkey))::INTEGER AS place, coalesce(b.blocked, false) AS blocked FROM k LEFT JOIN (SELECT l_orderkey, bool_or(l_linestatus <> 'F') AS blocked FROM lineitem GROUP BY l_orderkey) b ON b.l_orderkey = k.o_orderkey")
-def findings_workflow(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as findings: one per customer and day, ranked by tier, blocked while a line is open."""
-    kept = ranked(B.table(spark, d, "orders"), 1, ["o_custkey", "o_orderdate"], "o_orderkey").drop("rank")
-    blocked = B.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_or(F.col("l_linestatus") != "F").alias("blocked"))
-    rows = ranked(kept.join(blocked, "o_orderkey", "left"), None, ["o_custkey"], "o_orderpriority", "o_orderkey")
-    return rows.select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("tier"), F.col("rank").alias("place"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
-
-
 @query("GATE-13", "SELECT r_name, '| ' || r_name || ' | ' || string_agg(n_name, ', ' ORDER BY n_name) || ' |' AS line FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def markdown_table(spark: SparkSession, d: str) -> DataFrame:
     rows = B.table(spark, d, "nation").join(B.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -304,91 +244,14 @@ def attribution_rows(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- learning
 
-@query("LEARN-1", sql(f"{B.QUERIES}, targets AS (SELECT c.vec_id, list_transform(list_zip(c.v, q.q), lambda z: z[1] + (z[1] - z[2]) / list_distance(c.v, q.q) * 0.1::DOUBLE) AS t FROM corpus c JOIN centroids q ON c.label = q.query_id)", f"SELECT vec_id, {R('t[1] / sqrt(list_inner_product(t, t))')} AS first_value FROM targets"))
-def training_targets(spark: SparkSession, d: str) -> DataFrame:
-    """What a cycle trains on: each vector pushed from its cluster's centre; the fit itself is tested apart."""
-    rows = B.corpus(spark, d)
-    pairs = rows.join(B.centroids(rows).withColumnRenamed("query_id", "label"), "label")
-    return pairs.select("vec_id", r6(F.element_at(A.homeostatic_target(F.col("v"), F.col("q")), 1)).alias("first_value"))
-
-
-_LOSS = f"{B.QUERIES}, pairs AS (SELECT c.vec_id, c.label, q.query_id, list_cosine_similarity(c.v, q.q) AS s FROM corpus c CROSS JOIN centroids q)"
-
-
-@query("LEARN-5", sql(_LOSS, f"SELECT label, {R('avg(loss)')} AS info_nce FROM (SELECT vec_id, any_value(label) AS label, ln(sum(exp(s / 0.07))) - max(CASE WHEN label = query_id THEN s / 0.07 END) AS loss FROM pairs GROUP BY vec_id) GROUP BY label"))
-def contrastive_loss(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.corpus(spark, d)
-    packed = F.broadcast(B.centroids(rows).agg(F.collect_list(F.struct("query_id", "q")).alias("routes")))
-    pairs = rows.crossJoin(packed).select("vec_id", "label", "v", F.explode("routes").alias("r")).select("vec_id", "label", F.col("r.query_id").alias("other"), V.cosine(F.col("v"), F.col("r.q")).alias("s"))
-    loss = F.ln(F.sum(F.exp(F.col("s") / 0.07))) - F.max(F.when(F.col("label") == F.col("other"), F.col("s") / 0.07))
-    return pairs.groupBy("vec_id").agg(F.any_value("label").alias("label"), loss.alias("loss")).groupBy("label").agg(r6(F.avg("loss")).alias("info_nce"))
-
-
-@query("LEARN-6", sql(_LOSS, f"SELECT label, {R('avg(greatest(0, 0.3 - good + bad))')} AS triplet, {R('avg(1 - good)')} AS cosine_loss FROM (SELECT vec_id, any_value(label) AS label, max(CASE WHEN label = query_id THEN s END) AS good, max(CASE WHEN label <> query_id THEN s END) AS bad FROM pairs GROUP BY vec_id) GROUP BY label"))
-def online_losses(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.corpus(spark, d)
-    packed = F.broadcast(B.centroids(rows).agg(F.collect_list(F.struct("query_id", "q")).alias("routes")))
-    scores = F.transform("routes", lambda r: F.struct(r["query_id"].alias("other"), V.cosine(F.col("v"), r["q"]).alias("s")))
-    scored = rows.crossJoin(packed).select("label", scores.alias("scores"))
-    of = lambda same: F.array_max(F.transform(F.filter("scores", lambda x: (x["other"] == F.col("label")) if same else (x["other"] != F.col("label"))), lambda x: x["s"]))
-    pairs = scored.select("label", of(True).alias("good"), of(False).alias("bad"))
-    return pairs.groupBy("label").agg(r6(F.avg(F.greatest(F.lit(0.0), 0.3 - F.col("good") + F.col("bad")))).alias("triplet"), r6(F.avg(1 - F.col("good"))).alias("cosine_loss"))
-
-
-@query("STREAM-6", sql(B.TO_SCOUT, "SELECT query_id, vec_id, CASE WHEN rank - 1 < 25 THEN 'positive' ELSE 'negative' END AS side FROM scout"))
-def online_halves(spark: SparkSession, d: str) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy("query_id"))
-    return B.scout(spark, d).withColumn("n", n).where("n >= 4").select("query_id", "vec_id", F.when(F.col("rank") - 1 < F.floor(F.col("n") / 2), "positive").otherwise("negative").alias("side"))
-
-
-@query("LEARN-8")
-def evolution(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL: seeded noise; the test checks shaping and repeatability."""
-    return A.evolve(spark.range(1), 64, 42, lambda noise: float(-np.square(noise - 0.1).sum()), 8)
-
-
-@query("LEARN-10", sql(B.TO_STATS, "SELECT query_id, (pos - 1)::INTEGER AS pos, var < cut AS target FROM stats JOIN cuts USING (query_id)"))
-def mask_examples(spark: SparkSession, d: str) -> DataFrame:
-    masks = N.variance_mask(N.dimension_stats(B.scout(spark, d)))
-    return masks.select("query_id", F.posexplode("mask").alias("pos", "m")).select("query_id", "pos", (F.col("m") > 0).alias("target"))
-
-
 # ---------------------------------------------------------------- sampling and grids
 
-@query("SAMP-1", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
-def judged_sample(spark: SparkSession, d: str) -> DataFrame:
-    """All judged documents; a sample adds the smallest hashes of the rest up to its size (here: nothing to add)."""
-    docs, judged = B.table(spark, d, "documents").select("doc_id"), B.table(spark, d, "labels").select("doc_id").distinct()
-    return docs.join(judged, "doc_id", "left_semi")
-
-
-@query("SAMP-1-FILL")
-def filled_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Three fifths of the documents: all judged ones, and the smallest hashes of the rest."""
-    docs = B.table(spark, d, "documents").select("doc_id")
-    return sampling.judged_sample(docs, B.table(spark, d, "labels"), docs.count() * 3 // 5, 42, "doc_id")
-
-
-@query("SAMP-2", "SELECT conv_id, turn, (turn // 4)::BIGINT AS slice FROM conversations")
-def query_slices(spark: SparkSession, d: str) -> DataFrame:
-    return B.table(spark, d, "conversations").select("conv_id", "turn", F.floor(F.col("turn") / 4).alias("slice"))
-
-
 @query("SAMP-3", "WITH t(name, tier) AS (VALUES ('tiny', 1), ('small', 2), ('medium', 3), ('large', 4)) SELECT a.tier, b.name FROM t a JOIN t b ON b.tier <= a.tier")
 def tiers(spark: SparkSession, d: str) -> DataFrame:
     t = spark.createDataFrame([("tiny", 1), ("small", 2), ("medium", 3), ("large", 4)], "name string, tier int")
     return t.select("tier").alias("a").join(t.select("name", F.col("tier").alias("own")), F.col("own") <= F.col("tier")).select("tier", "name")
 
 
-@query("SAMP-4", "SELECT rate, threshold, noise, epochs FROM (SELECT unnest([0.001::DOUBLE, 0.01, 0.1]) AS rate), (SELECT unnest([1, 3, 5]) AS threshold), (SELECT unnest([0.0::DOUBLE, 0.1, 0.2]) AS noise), (SELECT unnest([5, 10, 20]) AS epochs)")
-def parameter_grid(spark: SparkSession, d: str) -> DataFrame:
-    values = {"rate": [0.001, 0.01, 0.1], "threshold": [1, 3, 5], "noise": [0.0, 0.1, 0.2], "epochs": [5, 10, 20]}
-    out = spark.range(1)
-    for name, options in values.items():
-        out = out.withColumn(name, F.explode(F.array(*(F.lit(x) for x in options))))
-    return out.drop("id")
-
-
 @query("SAMP-5", "SELECT i AS run, 42 + i * 1009 AS seed, i % 7 AS template FROM (SELECT unnest(range(0, 21)) AS i)")
 def seed_matrix(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("id")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import fusion
 from ..operators import graph as G
 from ..operators.topk import ranked
 from ..registry import query
@@ -224,27 +223,11 @@ def decomposition(spark: SparkSession, d: str) -> DataFrame:
     return _trees(spark, d).select("root.conv_id", "root.turn", "node", "depth", "text")
 
 
-@query("RUN-3", _TREE + f", leaves AS (SELECT *, depth = 3 OR {_atomic_sql('text')} OR len({_split_sql('text')}) < 2 AS leaf FROM tree) SELECT conv_id, turn, count(*) AS nodes, count(*) FILTER (leaf) AS leaves, max(depth)::INTEGER AS deepest FROM leaves GROUP BY conv_id, turn")
+@query("RUN-3-TREE", _TREE + f", leaves AS (SELECT *, depth = 3 OR {_atomic_sql('text')} OR len({_split_sql('text')}) < 2 AS leaf FROM tree) SELECT conv_id, turn, count(*) AS nodes, count(*) FILTER (leaf) AS leaves, max(depth)::INTEGER AS deepest FROM leaves GROUP BY conv_id, turn")
 def decomposition_summary(spark: SparkSession, d: str) -> DataFrame:
     return _trees(spark, d).groupBy("root.conv_id", "root.turn").agg(F.count("*").alias("nodes"), F.count_if("is_leaf").alias("leaves"), F.max("depth").alias("deepest"))
 
 
-@query("RUN-3-SEARCH")
-def recursive_retrieval(spark: SparkSession, d: str) -> DataFrame:
-    """Each leaf of a decomposition searches the documents by keyword vector; a root's leaves are fused by reciprocal ranks.
-
-    There are two to the number of families different vectors at most, so each is searched once for all its leaves.
-    """
-    vector = V.unit(T.keyword_embedding(F.col("text"), _FAMILIES, _START))
-    leaves = _trees(spark, d).where(F.coalesce("is_leaf", F.lit(True))).select("root", "node", vector.alias("q"))
-    docs = _docs(spark, d).select("doc_id", vector.alias("v"))
-    scored = docs.crossJoin(F.broadcast(leaves.select("q").distinct())).select("q", "doc_id", F.round(V.cosine(F.col("v"), F.col("q")), 9).alias("score"))
-    hits = ranked(scored, B.RESULT_K, ["q"], F.col("score").desc(), "doc_id").select("q", "doc_id", "rank")
-    rankings = leaves.join(F.broadcast(hits), "q").select(F.col("root").alias("query_id"), F.col("node").alias("variant"), "rank", "doc_id")
-    fused = fusion.reciprocal_rank_fusion(rankings, doc="doc_id")
-    return fused.select("query_id.conv_id", "query_id.turn", "rank", "doc_id", r6("score").alias("score"))
-
-
 @query("SET-8", "SELECT item_id, text FROM (SELECT *, row_number() OVER (PARTITION BY lower(text) ORDER BY item_id) AS r FROM benchmark) WHERE r = 1")
 def ordered_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return ranked(B.table(spark, d, "benchmark").withColumn("low", F.lower("text")), 1, ["low"], "item_id").select("item_id", "text")

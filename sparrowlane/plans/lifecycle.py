@@ -18,6 +18,7 @@ from ..sources.checkpoints import Checkpoints
 from . import base as B
 from .base import r6, sql
 from .base import r6_sql as R
+from .retrieval import metrics_of
 
 # ---------------------------------------------------------------- sinks and read APIs
 
@@ -48,16 +49,9 @@ def csv_sink(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("event_type string, user_id long, n long").option("header", True).csv(path)
 
 
-@query("SRC-15", "SELECT doc_id, length(substr(text, 1, 6000))::INTEGER AS sent, length(text) > 6000 AS truncated FROM documents")
-def embedding_requests(spark: SparkSession, d: str) -> DataFrame:
-    """What an embedding server is sent: 6,000 characters at most (the cap is the operator)."""
-    return B.table(spark, d, "documents").select("doc_id", F.length(F.substring("text", 1, 6000)).alias("sent"), (F.length("text") > 6000).alias("truncated"))
-
-
-@query("SRC-17", sql(B.QUERIES, f"SELECT query_id, vec_id, {R('score')} AS score FROM (SELECT query_id, vec_id, list_cosine_similarity(v, q) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(v, q) DESC, vec_id) AS r FROM corpus CROSS JOIN centroids) WHERE r <= 3"))
+@query("SRC-17", sql(B.QUERIES, f"SELECT query_id, vec_id, {R('score')} AS score FROM (SELECT query_id, vec_id, list_cosine_similarity(v, q) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(v, q) DESC, vec_id) AS r FROM corpus CROSS JOIN queries WHERE vec_id <> query_id) WHERE r <= 3"))
 def memory_store(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.corpus(spark, d)
-    return cosine_top_k(rows, B.centroids(rows), 3).select("query_id", "vec_id", r6("score").alias("score"))
+    return B.search(B.corpus(spark, d), 3).select("query_id", "vec_id", r6("score").alias("score"))
 
 
 @query("SRC-18", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O'")
@@ -71,111 +65,11 @@ def restored_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     return store.restore(store.names()[0])
 
 
-@query("SRC-19", "SELECT '{\"event_type\":\"' || event_type || '\",\"n\":' || count(*) || '}' AS json FROM events GROUP BY event_type")
-def read_api(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.as_json(B.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")))
-
-
-@query("SRC-20", "SELECT n_nationkey AS block, 40 AS bytes, CASE WHEN n_nationkey = (SELECT max(n_nationkey) FROM nation) THEN 0 ELSE (n_nationkey + 1) * 40 END::BIGINT AS following FROM nation")
-def block_writer(spark: SparkSession, d: str) -> DataFrame:
-    """A chain of 4 x 4 blocks, one per nation, written and read as bytes."""
-    import struct
-
-    import pyarrow as pa
-
-    last = F.broadcast(B.table(spark, d, "nation").agg(F.max("n_nationkey").alias("last")))
-    rows = B.table(spark, d, "nation").crossJoin(last)
-    following = F.when(F.col("n_nationkey") == F.col("last"), 0).otherwise((F.col("n_nationkey") + 1) * 40).cast("long")
-
-    def pack(batches):
-        for batch in batches:
-            blocks = [storage.pack_block(np.eye(4), f) for f in batch.column("f").to_pylist()]
-            back = [struct.unpack_from("<Q", b, 32)[0] for b in blocks]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([len(b) for b in blocks], pa.int32()), pa.array(back, pa.int64())], ["block", "bytes", "following"])
-
-    kind = rows.schema["n_nationkey"].dataType.simpleString()
-    return rows.select(F.col("n_nationkey").alias("block"), following.alias("f")).mapInArrow(pack, f"block {kind}, bytes int, following long")
-
-
 # ---------------------------------------------------------------- stateful forms in batch
 
 
-@query("STREAM-1", "SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS point_id FROM events")
-def running_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids that run on by key over micro-batches."""
-    return B.series(spark, d).select("event_id", (F.col("seq") - 1).alias("point_id"))
-
-
-@query("STREAM-2", "SELECT user_id, count(*) AS kept, min(event_id) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 1000 GROUP BY user_id")
-def capped_log(spark: SparkSession, d: str) -> DataFrame:
-    last = ranked(B.table(spark, d, "events"), 1000, ["user_id"], F.col("ts").desc(), F.col("event_id").desc())
-    return last.groupBy("user_id").agg(F.count("*").alias("kept"), F.min("event_id").alias("oldest"))
-
-
-@query("STREAM-5", f"SELECT event_type, count(*) AS n, {R('avg(value)')} AS mean FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 256 GROUP BY event_type")
-def bounded_history(spark: SparkSession, d: str) -> DataFrame:
-    last = ranked(B.table(spark, d, "events"), 256, ["event_type"], F.col("ts").desc(), F.col("event_id").desc())
-    return last.groupBy("event_type").agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"))
-
-
-@query("STREAM-7", "SELECT count(DISTINCT text) AS texts, count(*) AS requests FROM conversations")
-def detection_cache(spark: SparkSession, d: str) -> DataFrame:
-    """What a cache of detections would hold: the distinct texts of the requests."""
-    return B.table(spark, d, "conversations").agg(F.countDistinct("text").alias("texts"), F.count("*").alias("requests"))
-
-
-@query("STREAM-8", "SELECT event_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
-def live_tail(spark: SparkSession, d: str) -> DataFrame:
-    e = B.table(spark, d, "events")
-    last = F.broadcast(e.agg(F.max("ts").alias("last")))
-    return e.crossJoin(last).where(F.col("ts") >= F.col("last") - F.expr("INTERVAL 1 DAY")).select("event_id", "event_type")
-
-
 # ---------------------------------------------------------------- training
 
-_T = f"{B.QUERIES}, targets AS (SELECT c.vec_id, c.label, c.v, list_transform(list_zip(c.v, q.q), lambda z: z[1] + (z[1] - z[2]) / list_distance(c.v, q.q) * 0.1::DOUBLE) AS t FROM corpus c JOIN centroids q ON c.label = q.query_id), units AS (SELECT vec_id, label, v, list_transform(t, lambda x: x / sqrt(list_inner_product(t, t))) AS t FROM targets)"
-
-
-def _targets(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.corpus(spark, d)
-    return rows.join(B.centroids(rows).withColumnRenamed("query_id", "label"), "label").withColumn("t", A.homeostatic_target(F.col("v"), F.col("q")))
-
-
-@query("LEARN-2", sql(f"{B.QUERIES}, mixed AS (SELECT c.vec_id, list_transform(list_zip(c.v, q.q), lambda z: 0.5::DOUBLE * z[1] + 0.5::DOUBLE * z[2]) AS t FROM corpus c JOIN centroids q ON c.label = q.query_id)", f"SELECT vec_id, {R('sqrt(list_inner_product(t, t))')} AS length, {R('t[1] / greatest(sqrt(list_inner_product(t, t)), 1e-9)')} AS first_value FROM mixed"))
-def offline_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Distillation targets of the whole corpus: half student, half teacher (the cluster's centre)."""
-    rows = B.corpus(spark, d)
-    pairs = rows.join(B.centroids(rows).withColumnRenamed("query_id", "label"), "label")
-    mixed = F.zip_with("v", "q", lambda s, t: 0.5 * s + 0.5 * t)
-    return pairs.select("vec_id", r6(V.norm(mixed)).alias("length"), r6(F.element_at(A.blend(F.col("v"), F.col("q"), 0.5), 1)).alias("first_value"))
-
-
-@query("LEARN-3", sql(_T, f"SELECT label, count(*) AS n, {R('avg(list_inner_product(list_transform(list_zip(v, t), lambda z: z[1] - z[2]), list_transform(list_zip(v, t), lambda z: z[1] - z[2])) / 64)', 9)} AS loss FROM units GROUP BY label"))
-def cluster_losses(spark: SparkSession, d: str) -> DataFrame:
-    """The mean squared error that each cluster's pass starts from."""
-    error = V.subtract(F.col("v"), F.col("t"))
-    return _targets(spark, d).groupBy("label").agg(F.count("*").alias("n"), r6(F.avg(V.dot(error, error) / 64), 9).alias("loss"))
-
-
-@query("LEARN-4", sql(_T, "SELECT label, count(*) FILTER (len(t) = 64) AS updated, count(*) FILTER (len(t) <> 64) AS failed FROM units GROUP BY label"))
-def write_back(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors written back in one table; those of a wrong size fail."""
-    good = V.valid(F.col("t"), 64)
-    return _targets(spark, d).groupBy("label").agg(F.count_if(good).alias("updated"), F.count_if(~good).alias("failed"))
-
-
-@query("LEARN-7", sql(B.TO_SCOUT, "SELECT query_id, vec_id AS negative, n::INTEGER AS place FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM scout WHERE label <> query_id) WHERE n <= 3"))
-def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.scout(spark, d).where("label <> query_id").withColumnRenamed("rank", "scout_rank")
-    return ranked(rows, 3, ["query_id"], "scout_rank").select("query_id", F.col("vec_id").alias("negative"), F.col("rank").alias("place"))
-
-
-@query("LEARN-9", sql(B.TO_SCOUT, f"SELECT query_id, {R('avg(score) FILTER (rank <= 25) - avg(score) FILTER (rank > 25)')} AS fitness FROM scout GROUP BY query_id"))
-def online_fitness(spark: SparkSession, d: str) -> DataFrame:
-    half = lambda c: F.avg(F.when(c, F.col("score")))
-    return B.scout(spark, d).groupBy("query_id").agg(r6(half(F.col("rank") <= 25) - half(F.col("rank") > 25)).alias("fitness"))
-
-
 @query("LEARN-11")
 def gate_classifier(spark: SparkSession, d: str) -> DataFrame:
     """No SQL: gradient steps; fitted on one row per profile, task and day, compared with plain numpy in the test."""
@@ -184,53 +78,9 @@ def gate_classifier(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(f, float(w)) for f, w in zip(["base", "n", "bias"], [*weights, bias], strict=True)], "feature string, weight double")
 
 
-@query("LEARN-12", sql(B.SERIES, f"SELECT ((seq - 1) % 4)::BIGINT AS drive, count(*) AS members, {R('max(v)')} AS best, {R('1 + least(count(*), 16) * 100 + greatest(count(*) - 16, 0) * 200')} AS latency_us FROM series GROUP BY 1"))
-def population_evaluator(spark: SparkSession, d: str) -> DataFrame:
-    """A population dealt to four drives, with the queue's latency on each."""
-    rows = B.series(spark, d).groupBy(F.pmod(F.col("seq") - 1, F.lit(4)).cast("long").alias("drive")).agg(F.count("*").alias("members"), F.max("v").alias("best"))
-    latency = storage.latency_us(F.lit(100.0), F.lit(1.0), F.lit(16), F.col("members"))
-    return rows.select("drive", "members", r6("best").alias("best"), r6(latency).alias("latency_us"))
-
-
-@query("LEARN-13", sql(B.EXPERIMENTS, f"SELECT win, {R('max(ndcg)')} AS fitness, {R('max(max(ndcg)) OVER (ORDER BY win)')} AS best_so_far FROM experiments GROUP BY win"))
-def fitness_cycles(spark: SparkSession, d: str) -> DataFrame:
-    """Each day as a cycle: its best fitness, and the best so far (one row per day)."""
-    from pyspark.sql.window import Window
-
-    days = B.experiments(spark, d).groupBy("win").agg(F.max("ndcg").alias("f")).withColumn("run", F.lit(1))
-    best = F.max("f").over(Window.partitionBy("run").orderBy("win"))
-    return days.select("win", r6("f").alias("fitness"), r6(best).alias("best_so_far"))
-
-
 # ---------------------------------------------------------------- runs
 
 
-def _percentile_sql(p: float, name: str) -> str:
-    return f"""{name}_cut AS (SELECT query_id, quantile_cont(var, {p}) AS cut FROM stats GROUP BY query_id),
-{name}_mask AS (SELECT s.query_id, list(mean ORDER BY pos) AS mean, list(CASE WHEN var < cut THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY pos) AS mask FROM stats s JOIN {name}_cut c ON s.query_id = c.query_id GROUP BY s.query_id),
-{name}_rows AS (SELECT s.query_id, s.rank, s.label, list_transform(list_zip(s.v, m.mean, m.mask), lambda z: (z[1] - z[2]) * z[3]) AS cv, list_transform(list_zip(s.q, m.mean, m.mask), lambda z: (z[1] - z[2]) * z[3]) AS cq FROM scout s JOIN {name}_mask m ON s.query_id = m.query_id),
-{name} AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(list_inner_product(cv, cq) / nullif(sqrt(list_inner_product(cv, cv)) * sqrt(list_inner_product(cq, cq)), 0), 0) DESC, rank) AS r FROM {name}_rows)"""
-
-
-_GRID = {"p80": 0.8, "p85": 0.85, "p95": 0.95}
-_GRID_SQL = ", ".join(_percentile_sql(p, n) for n, p in _GRID.items())
-_GRID_ROWS = " UNION ALL ".join(f"SELECT '{n}' AS profile, query_id, label, r FROM {n} WHERE r <= 10" for n in _GRID)
-
-
-@query("RUN-1", sql(f"{B.TO_STATS}, {_GRID_SQL}, grid AS ({_GRID_ROWS}), found AS (SELECT profile, query_id, avg(CASE WHEN label = query_id THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS precision, coalesce(1.0::DOUBLE / min(CASE WHEN label = query_id THEN r END), 0) AS rr FROM grid GROUP BY profile, query_id)", f"SELECT profile, {R('avg(precision)')} AS precision, {R('avg(rr)')} AS mrr, count(*) AS queries FROM found GROUP BY profile"))
-def campaign(spark: SparkSession, d: str) -> DataFrame:
-    """A grid of mask percentiles over one scout: the profile is a key, not a loop over runs."""
-    hits = B.scout(spark, d)
-    stats = N.dimension_stats(hits)
-    out = None
-    for name, p in _GRID.items():
-        top = N.rerank(hits, N.variance_mask(stats, p)).where("new_rank <= 10").select(F.lit(name).alias("profile"), "query_id", "label", F.col("new_rank").alias("r"))
-        out = top if out is None else out.union(top.repartition("query_id", "r"))
-    good = F.col("label") == F.col("query_id")
-    found = out.groupBy("profile", "query_id").agg(F.avg(F.when(good, 1.0).otherwise(0.0)).alias("precision"), F.coalesce(1.0 / F.min(F.when(good, F.col("r"))), F.lit(0.0)).alias("rr"))
-    return found.groupBy("profile").agg(r6(F.avg("precision")).alias("precision"), r6(F.avg("rr")).alias("mrr"), F.count("*").alias("queries"))
-
-
 @query("RUN-4", "SELECT * FROM (VALUES ('baseline', 1.0::DOUBLE, 3::BIGINT), ('masked', 1.0::DOUBLE, 3::BIGINT)) AS t(profile, mrr, queries)")
 def closed_course(spark: SparkSession, d: str) -> DataFrame:
     """A fixture of keyword vectors: every query finds its text under both profiles."""
@@ -250,30 +100,18 @@ def closed_course(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("RUN-5", "SELECT CASE lang WHEN 'en' THEN 'minilm' WHEN 'de' THEN 'gbert' WHEN 'fr' THEN 'camembert' ELSE 'multilingual' END AS teacher, count(*) AS texts, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
-def routed_teachers(spark: SparkSession, d: str) -> DataFrame:
-    """Texts grouped by the teacher of their language, as each teacher would get them."""
-    teachers = spark.createDataFrame([("en", "minilm"), ("de", "gbert"), ("fr", "camembert")], "lang string, teacher string")
-    rows = B.table(spark, d, "documents").join(F.broadcast(teachers), "lang", "left")
-    return rows.groupBy(F.coalesce("teacher", F.lit("multilingual")).alias("teacher")).agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("chars"))
-
-
 _AT_3 = B.PER_QUERY.replace("FROM rankings r LEFT JOIN", "FROM (SELECT * FROM rankings WHERE rank <= 3) r LEFT JOIN").replace("least(relevant, 10)", "least(relevant, 3)")
 
 
 @query("METRIC-11", sql(f"{B.TO_RANKINGS}, {_AT_3}", f"SELECT profile, query_id, {R('ndcg')} AS ndcg, {R('rr')} AS rr, {R('recall')} AS recall FROM metrics"))
 def metrics_at_three(spark: SparkSession, d: str) -> DataFrame:
-    found = metrics.per_query(B.rankings(B.scout(spark, d)), B.qrels(B.corpus(spark, d)), k=3, keys=("profile", "query_id"))
+    found = metrics_of(B.scout(spark, d), k=3)
     return found.select("profile", "query_id", *(r6(c).alias(c) for c in ("ndcg", "rr", "recall")))
 
 
 @query("MASK-8", sql(B.TO_SCOUT, "SELECT 'random_mask' AS profile, query_id, rank::INTEGER AS rank, vec_id FROM scout WHERE rank <= 10"))
 def random_mask(spark: SparkSession, d: str) -> DataFrame:
     """The option is declared but read nowhere, so the profile equals the baseline."""
-    rows = B.corpus(spark, d)
-    return cosine_top_k(rows, B.centroids(rows), B.RESULT_K).select(F.lit("random_mask").alias("profile"), "query_id", "rank", "vec_id")
+    return B.search(B.corpus(spark, d), B.RESULT_K).select(F.lit("random_mask").alias("profile"), "query_id", "rank", "vec_id")
 
 
-@query("VEC-12", "SELECT * FROM (VALUES ('low_rank'), ('mlp'), ('orthogonal'), ('projection')) AS t(adapter)")
-def adapter_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in sorted(A.KINDS)], "adapter string")

@@ -8,11 +8,10 @@ from pyspark.sql.window import Window
 
 from ..functions import vector as V
 from ..operators import adapters as A
-from ..operators import fusion, metrics
+from ..operators import fusion, metrics, storage
 from ..operators import neighborhood as N
-from ..operators.topk import cosine_top_k, ranked, sharded_top_k
+from ..operators.topk import cosine_top_k, ranked, route_scores, score_statistics, sharded_top_k
 from ..registry import query
-from ..session import written
 from . import base as B
 from .base import r6, sql
 from .base import r6_sql as R
@@ -179,25 +178,23 @@ def learned_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @query("TOPK-1", sql(B.TO_SCOUT, f"SELECT query_id, rank::INTEGER AS rank, vec_id, {R('score')} AS score FROM scout"))
 def scout_top_k(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.corpus(spark, d)
-    return cosine_top_k(rows, B.centroids(rows), B.SCOUT_K).select("query_id", "rank", "vec_id", r6("score").alias("score"))
+    return B.search(B.corpus(spark, d), B.SCOUT_K).select("query_id", "rank", "vec_id", r6("score").alias("score"))
 
 
 _MASK = "list_transform({0}, lambda x, i: x * CASE WHEN i % 3 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END)"
 
 
-@query("TOPK-2", sql(B.QUERIES, f"SELECT query_id, vec_id, {R('score')} AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, list_cosine_similarity({_MASK.format('v')}, {_MASK.format('q')}) AS score FROM corpus CROSS JOIN centroids)) WHERE rank <= 10"))
+@query("TOPK-2", sql(B.QUERIES, f"SELECT query_id, vec_id, {R('score')} AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, list_cosine_similarity({_MASK.format('v')}, {_MASK.format('q')}) AS score FROM corpus CROSS JOIN queries WHERE vec_id <> query_id)) WHERE rank <= 10"))
 def masked_top_k(spark: SparkSession, d: str) -> DataFrame:
     on = lambda c: F.transform(c, lambda x, i: x * F.when((i + 1) % 3 == 0, 0.0).otherwise(1.0))
     rows = B.corpus(spark, d)
-    found = cosine_top_k(rows.withColumn("v", on("v")), B.centroids(rows).withColumn("q", on("q")), B.RESULT_K)
+    found = cosine_top_k(rows.withColumn("v", on("v")), B.queries(rows).withColumn("q", on("q")), B.RESULT_K, own=False)
     return found.select("query_id", "vec_id", r6("score").alias("score"), "rank")
 
 
 @query("TOPK-3", sql(B.TO_SCOUT, f"SELECT query_id, {R('max(CASE WHEN rank = 1 THEN score END)')} AS top, {R('max(CASE WHEN rank = 2 THEN score END)')} AS second, {R('coalesce(max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END), 0)')} AS margin FROM scout GROUP BY query_id"))
 def score_details(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.corpus(spark, d)
-    top = cosine_top_k(rows, B.centroids(rows), 2)
+    top = B.search(B.corpus(spark, d), 2)
     first, second = (F.max(F.when(F.col("rank") == k, F.col("score"))) for k in (1, 2))
     return top.groupBy("query_id").agg(r6(first).alias("top"), r6(second).alias("second"), r6(F.coalesce(first - second, F.lit(0.0))).alias("margin"))
 
@@ -220,11 +217,15 @@ def tie_aware_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranked(B.series(spark, d), 10, ["key"], F.round("v", 3).desc(), "event_id").select("key", "event_id", "rank")
 
 
-@query("TOPK-7", sql(B.TO_SCOUT, f"SELECT query_id, rank::INTEGER AS rank, vec_id, (vec_id % 4)::BIGINT AS shard, {R('score')} AS score FROM scout WHERE rank <= 10"))
+@query("TOPK-7", sql(f"{B.TO_SCOUT}, loads AS (SELECT vec_id % 4 AS shard, count(*) AS depth FROM corpus GROUP BY 1)", f"SELECT query_id, rank::INTEGER AS rank, vec_id, s.shard, {R('score')} AS score, depth, {R('(1 + least((SELECT max(depth) FROM loads), 16) * 100 + greatest((SELECT max(depth) FROM loads) - 16, 0) * 200) / 1000.0::DOUBLE')} AS latency_ms FROM (SELECT *, (vec_id % 4)::BIGINT AS shard FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.query_id, c.vec_id, list_cosine_similarity(c.v, q.q) AS score FROM corpus c CROSS JOIN queries q)) WHERE rank <= 10) s JOIN loads l ON s.shard = l.shard"))
 def sharded(spark: SparkSession, d: str) -> DataFrame:
-    rows = B.corpus(spark, d)
-    scored = cosine_top_k(rows, B.centroids(rows), B.SCOUT_K).drop("rank").withColumn("shard", F.pmod("vec_id", F.lit(4)).cast("long"))
-    return sharded_top_k(scored, B.RESULT_K, "shard", "vec_id").select("query_id", "rank", "vec_id", "shard", r6("score").alias("score"))
+    """Four drives scan their own vectors for their best ten, the host merges; load of each drive, latency of the slowest."""
+    rows = B.corpus(spark, d).withColumn("shard", F.pmod("vec_id", F.lit(4)).cast("long"))
+    loads = rows.groupBy("shard").agg(F.count("*").alias("depth"))
+    slowest = F.broadcast(loads.agg(F.max("depth").alias("slowest")))
+    latency = storage.latency_us(F.lit(100.0), F.lit(1.0), F.lit(16), F.col("slowest")) / 1000
+    found = sharded_top_k(rows, B.queries(rows), B.RESULT_K, "shard").join(F.broadcast(loads), "shard").crossJoin(slowest)
+    return found.select("query_id", "rank", "vec_id", "shard", r6("score").alias("score"), "depth", r6(latency).alias("latency_ms"))
 
 
 @query("TOPK-8", "SELECT event_type, rank::INTEGER AS rank, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, ts, event_id) AS rank FROM events) WHERE rank <= 16")
@@ -280,10 +281,10 @@ def inverted_masks(spark: SparkSession, d: str) -> DataFrame:
     return m.select("query_id", V.total(F.col("mask")).cast("long").alias("kept"))
 
 
-@query("MASK-3", sql(B.TO_STATS, f"SELECT c.query_id, {R('sqrt(list_sum(list_transform(list_zip(c.q, m.mask), lambda z: z[1] * z[2] * z[1] * z[2])))')} AS norm FROM centroids c JOIN masks m ON c.query_id = m.query_id"))
+@query("MASK-3", sql(B.TO_STATS, f"SELECT c.query_id, {R('sqrt(list_sum(list_transform(list_zip(c.q, m.mask), lambda z: z[1] * z[2] * z[1] * z[2])))')} AS norm FROM queries c JOIN masks m ON c.query_id = m.query_id"))
 def masked_queries(spark: SparkSession, d: str) -> DataFrame:
     masks = N.variance_mask(N.dimension_stats(B.scout(spark, d)))
-    q = B.centroids(B.corpus(spark, d)).join(masks, "query_id", "left")
+    q = B.queries(B.corpus(spark, d)).join(masks, "query_id", "left")
     return q.select("query_id", r6(V.norm(F.coalesce(V.masked(F.col("q"), F.col("mask")), F.col("q")))).alias("norm"))
 
 
@@ -333,35 +334,30 @@ def result_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return sets.select("query_id", r6(N.jaccard(F.col("a"), F.col("b"))).alias("jaccard"))
 
 
-_HARM = f"""{B.TO_RANKINGS}, top AS (SELECT s.query_id, s.vec_id, s.label, s.v, s.q, s.rank FROM scout s),
-rel AS (SELECT query_id, pos, avg(x) AS m FROM (SELECT label AS query_id, x, pos FROM dims) GROUP BY query_id, pos),
-noise AS (SELECT query_id, vec_id, v FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM top WHERE label <> query_id) WHERE n <= 5),
+_HARM = f"""{B.TO_RANKINGS}, rel AS (SELECT label, pos, avg(x) AS m FROM dims GROUP BY label, pos),
+noise AS (SELECT query_id, vec_id, v FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM scout WHERE label <> query_label) WHERE n <= 5),
 bad AS (SELECT query_id, pos, avg(x) AS m FROM (SELECT query_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM noise) GROUP BY query_id, pos),
-qd AS (SELECT query_id, unnest(q) AS x, generate_subscripts(q, 1) AS pos FROM centroids),
-harm AS (SELECT qd.pos, sum(greatest(0.0::DOUBLE, qd.x * bad.m - qd.x * rel.m)) AS harm FROM qd JOIN bad ON qd.query_id = bad.query_id AND qd.pos = bad.pos JOIN rel ON qd.query_id = rel.query_id AND qd.pos = rel.pos GROUP BY qd.pos)"""
+qd AS (SELECT query_id, query_label, unnest(q) AS x, generate_subscripts(q, 1) AS pos FROM queries),
+harm AS (SELECT qd.pos, sum(greatest(0.0::DOUBLE, qd.x * bad.m - qd.x * rel.m)) AS harm FROM qd JOIN bad ON qd.query_id = bad.query_id AND qd.pos = bad.pos JOIN rel ON qd.query_label = rel.label AND qd.pos = rel.pos GROUP BY qd.pos)"""
 
 
-def harmful_dimensions(spark: SparkSession, d: str) -> DataFrame:
+def harmful_dimensions(hits: DataFrame, centroids: DataFrame, queries: DataFrame) -> DataFrame:
     """pos (from 0) and harm: how much more a dimension speaks for the first distractors than for the relevant."""
-    rows = B.corpus(spark, d)
-    hits = B.scout(spark, d)
-    relevant = V.exploded(rows, "v", "label").groupBy(F.col("label").alias("query_id"), "pos").agg(F.avg("x").alias("good"))
-    noise = ranked(hits.where("label <> query_id").withColumnRenamed("rank", "scout_rank"), 5, ["query_id"], "scout_rank")
+    relevant = V.exploded(centroids, "q", "query_id").select(F.col("query_id").alias("query_label"), "pos", F.col("x").alias("good"))
+    noise = ranked(hits.where("label <> query_label").withColumnRenamed("rank", "scout_rank"), 5, ["query_id"], "scout_rank")
     bad = V.exploded(noise, "v", "query_id").groupBy("query_id", "pos").agg(F.avg("x").alias("bad"))
-    q = V.exploded(B.centroids(rows), "q", "query_id").join(bad, ["query_id", "pos"]).join(relevant, ["query_id", "pos"])
+    q = V.exploded(queries, "q", "query_id", "query_label").join(bad, ["query_id", "pos"]).join(relevant, ["query_label", "pos"])
     return q.groupBy("pos").agg(F.sum(F.greatest(F.lit(0.0), F.col("x") * F.col("bad") - F.col("x") * F.col("good"))).alias("harm"))
 
 
-@query("AGG-20", sql(_HARM, f"SELECT (pos - 1)::INTEGER AS pos, {R('harm', 9)} AS harm FROM harm"))
-def harm_by_dimension(spark: SparkSession, d: str) -> DataFrame:
-    return harmful_dimensions(spark, d).select("pos", r6("harm", 9).alias("harm"))
+def _harm(spark: SparkSession, d: str) -> DataFrame:
+    rows = B.corpus(spark, d)
+    return harmful_dimensions(B.scout(spark, d), B.centroids(rows), B.queries(rows))
 
 
-@query("MASK-6", sql(_HARM, "SELECT (pos - 1)::INTEGER AS pos FROM (SELECT *, row_number() OVER (ORDER BY harm DESC, pos) AS n FROM harm WHERE harm > 0) WHERE n <= greatest(1, round_even(64 * 0.1, 0))"))
-def static_mask(spark: SparkSession, d: str) -> DataFrame:
-    """The most harmful tenth of the dimensions."""
-    harm = harmful_dimensions(spark, d).where("harm > 0").withColumn("all", F.lit(1))
-    return ranked(harm, max(1, round(64 * 0.1)), ["all"], F.col("harm").desc(), "pos").select("pos")
+@query("AGG-20", sql(_HARM, f"SELECT (pos - 1)::INTEGER AS pos, {R('harm', 9)} AS harm FROM harm"))
+def harm_by_dimension(spark: SparkSession, d: str) -> DataFrame:
+    return _harm(spark, d).select("pos", r6("harm", 9).alias("harm"))
 
 
 @query("AGG-21", sql(f"{B.QUERIES}", f"""SELECT (qd.pos - 1)::INTEGER AS pos, {R('sum(greatest(0.0::DOUBLE, qd.x * (o.m - r.m)))', 9)} AS harm
@@ -369,19 +365,30 @@ def static_mask(spark: SparkSession, d: str) -> DataFrame:
  JOIN (SELECT label, pos, avg(x) AS m FROM dims GROUP BY label, pos) r ON r.label = qd.query_id AND r.pos = qd.pos
  JOIN (SELECT label, pos, avg(x) AS m FROM dims GROUP BY label, pos) o ON o.label <> qd.query_id AND o.pos = qd.pos GROUP BY qd.pos"""))
 def pairwise_harm(spark: SparkSession, d: str) -> DataFrame:
-    """Every other cluster's mean against the query's own, per dimension."""
-    rows = B.corpus(spark, d)
-    means = V.exploded(rows, "v", "label").groupBy("label", "pos").agg(F.avg("x").alias("m"))
-    q = V.exploded(B.centroids(rows), "q", "query_id")
-    own = q.join(means.select(F.col("label").alias("query_id"), "pos", F.col("m").alias("good")), ["query_id", "pos"])
-    pairs = own.join(means, "pos").where("label <> query_id")
-    return pairs.groupBy("pos").agg(r6(F.sum(F.greatest(F.lit(0.0), F.col("x") * (F.col("m") - F.col("good")))), 9).alias("harm"))
+    """Every other cluster's mean against the query's own, per dimension.
+
+    In the order of the means at a position, those over a cluster's own follow it and those under it come before, so sums
+    over the pairs are running sums: nothing is joined with itself.
+    """
+    means = V.exploded(B.centroids(B.corpus(spark, d)), "q", "query_id")
+    at = Window.partitionBy("pos")
+    below = at.orderBy("x").rangeBetween(Window.unboundedPreceding, 0)
+    x = F.col("x")
+    rows = means.withColumns({"n": F.count("*").over(at), "all": F.sum(x).over(at), "n_low": F.count("*").over(below), "low": F.sum(x).over(below)})
+    over = (F.col("all") - F.col("low")) - (F.col("n") - F.col("n_low")) * x
+    under = F.col("n_low") * x - F.col("low")
+    return rows.groupBy("pos").agg(r6(F.sum(F.when(x > 0, x * over).otherwise(-x * under)), 9).alias("harm"))
 
 
 # ---------------------------------------------------------------- metrics
 
+def metrics_of(hits: DataFrame, rankings: DataFrame | None = None, k: int = B.RESULT_K) -> DataFrame:
+    """The metrics of each profile and query of scouted rows."""
+    return metrics.per_query(B.rankings(hits) if rankings is None else rankings, B.qrels(hits), k, keys=("profile", "query_id"))
+
+
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.per_query(B.rankings(B.scout(spark, d)), B.qrels(B.corpus(spark, d)), keys=("profile", "query_id"))
+    return metrics_of(B.scout(spark, d))
 
 
 def _metric(name: str, column: str) -> None:
@@ -396,8 +403,10 @@ for _name, _column in (("METRIC-1", "dcg"), ("METRIC-2", "ndcg"), ("METRIC-3", "
 
 @query("METRIC-6", sql(B.TO_METRICS, f"SELECT m.profile, m.query_id, {R('ndcg')} AS ndcg, {R('ap')} AS ap, {R('rr')} AS rr, {R('recall')} AS recall, first_rank::INTEGER AS first_relevant_rank, hits, relevant, r.vec_id AS top_doc FROM metrics m JOIN rankings r ON m.profile = r.profile AND m.query_id = r.query_id AND r.rank = 1"))
 def query_rows(spark: SparkSession, d: str) -> DataFrame:
-    top = B.rankings(B.scout(spark, d)).where("rank = 1").select("profile", "query_id", F.col("vec_id").alias("top_doc"))
-    rows = _metrics(spark, d).join(top, ["profile", "query_id"])
+    hits = B.scout(spark, d)
+    rankings = B.rankings(hits)
+    top = rankings.where("rank = 1").select("profile", "query_id", F.col("vec_id").alias("top_doc"))
+    rows = metrics_of(hits, rankings).join(top, ["profile", "query_id"])
     return rows.select("profile", "query_id", *(r6(c).alias(c) for c in ("ndcg", "ap", "rr", "recall")), "first_relevant_rank", "hits", "relevant", "top_doc")
 
 
@@ -421,12 +430,6 @@ def baseline_join(spark: SparkSession, d: str) -> DataFrame:
     return _attributed(spark, d).select("profile", "query_id", r6("delta").alias("delta"))
 
 
-@query("AGG-13", sql(_DELTAS, f"SELECT profile, count(*) FILTER (delta > 0.001) AS improved, count(*) FILTER (delta < -0.001) AS regressed, count(*) FILTER (abs(delta) <= 0.001) AS tied, {R('avg(delta)')} AS mean_delta FROM attributed WHERE profile <> 'baseline' GROUP BY profile"))
-def attribution_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = _attributed(spark, d).where("profile <> 'baseline'")
-    return rows.groupBy("profile").agg(F.count_if(F.col("delta") > 0.001).alias("improved"), F.count_if(F.col("delta") < -0.001).alias("regressed"), F.count_if(F.abs("delta") <= 0.001).alias("tied"), r6(F.avg("delta")).alias("mean_delta"))
-
-
 @query("METRIC-9", sql(B.TO_RANKINGS, f"""SELECT query_id, {R('avg(c / (20.0 - c))')} AS stability FROM (SELECT a.query_id, a.profile AS pa, b.profile AS pb,
   (SELECT count(*) FROM rankings x JOIN rankings y ON x.query_id = y.query_id AND x.vec_id = y.vec_id WHERE x.profile = a.profile AND y.profile = b.profile AND x.query_id = a.query_id)::DOUBLE AS c
   FROM (SELECT DISTINCT profile, query_id FROM rankings) a JOIN (SELECT DISTINCT profile, query_id FROM rankings) b ON a.query_id = b.query_id AND a.profile < b.profile) GROUP BY query_id"""))
@@ -470,7 +473,8 @@ def payload_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("JOIN-2", sql(B.TO_RANKINGS, "SELECT profile, r.query_id, r.vec_id, coalesce(q.grade, 0.0::DOUBLE) AS grade FROM rankings r LEFT JOIN qrels q ON r.query_id = q.query_id AND r.vec_id = q.vec_id"))
 def judgement_join(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.judged(B.rankings(B.scout(spark, d)), B.qrels(B.corpus(spark, d))).select("profile", "query_id", "vec_id", "grade")
+    hits = B.scout(spark, d)
+    return metrics.judged(B.rankings(hits), B.qrels(hits)).select("profile", "query_id", "vec_id", "grade")
 
 
 @query("JOIN-3", sql(B.TO_RANKINGS, "SELECT a.query_id, count(*) AS common_docs FROM rankings a JOIN rankings b ON a.query_id = b.query_id AND a.vec_id = b.vec_id WHERE a.profile = 'baseline' AND b.profile = 'masked' GROUP BY a.query_id"))
@@ -480,44 +484,25 @@ def common_results(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["query_id", "vec_id"]).groupBy("query_id").agg(F.count("*").alias("common_docs"))
 
 
-@query("JOIN-5", sql(B.QUERIES, f"SELECT query_id, count(*) AS docs, {R('avg(list_cosine_similarity(v, q))')} AS mean_score, {R('max(list_cosine_similarity(v, q))')} AS best FROM corpus CROSS JOIN centroids GROUP BY query_id"))
+@query("JOIN-5", sql(B.QUERIES, f"SELECT query_id, count(*) AS docs, {R('avg(list_cosine_similarity(v, q))')} AS mean_score, {R('max(list_cosine_similarity(v, q))')} AS best FROM corpus CROSS JOIN queries GROUP BY query_id"))
 def all_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Every query against every row, aggregated; the queries are one row per label and are checked before they are sent."""
+    """Every query against every row, aggregated where the rows are."""
     rows = B.corpus(spark, d)
-    queries = B.centroids(rows)
-    side = F.broadcast(queries) if queries.count() <= 10_000 else queries
-    scored = rows.crossJoin(side).withColumn("s", V.cosine(F.col("v"), F.col("q")))
-    return scored.groupBy("query_id").agg(F.count("*").alias("docs"), r6(F.avg("s")).alias("mean_score"), r6(F.max("s")).alias("best"))
+    return score_statistics(rows, B.queries(rows)).select("query_id", "docs", r6("mean").alias("mean_score"), r6("best").alias("best"))
 
 
-@query("JOIN-7", sql(B.TO_SCOUT, "SELECT query_id, vec_id, place::INTEGER AS place FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM scout WHERE label <> query_id) WHERE place <= 5"))
+@query("JOIN-7", sql(B.TO_SCOUT, "SELECT query_id, vec_id, place::INTEGER AS place FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM scout WHERE label <> query_label) WHERE place <= 5"))
 def distractors(spark: SparkSession, d: str) -> DataFrame:
-    hits = B.scout(spark, d).select("query_id", "vec_id", F.col("rank").alias("scout_rank"))
-    rest = hits.join(B.qrels(B.corpus(spark, d)), ["query_id", "vec_id"], "left_anti")
+    hits = B.scout(spark, d)
+    rest = hits.select("query_id", "vec_id", F.col("rank").alias("scout_rank")).join(B.qrels(hits), ["query_id", "vec_id"], "left_anti")
     return ranked(rest, 5, ["query_id"], "scout_rank").select("query_id", "vec_id", F.col("rank").alias("place"))
 
 
-ROUTES = 10_000  # that a task holds at a time
-
-
 @query("JOIN-9", sql(B.QUERIES, f"SELECT vec_id, label, query_id AS route, {R('score')} AS score FROM (SELECT vec_id, label, query_id, list_cosine_similarity(v, q) AS score, row_number() OVER (PARTITION BY vec_id ORDER BY list_cosine_similarity(v, q) DESC, query_id) AS r FROM corpus CROSS JOIN centroids) WHERE r = 1"))
 def nearest_route(spark: SparkSession, d: str) -> DataFrame:
-    """The best centroid of each vector; one row per label is sent, in blocks of about ``ROUTES`` one after another."""
+    """The best centroid of each vector; blocks of centroids pass by the vectors, however many there are."""
     rows = B.corpus(spark, d)
-    routes = B.centroids(rows)
-    blocks = max(1, -(-routes.count() // ROUTES))
-    if blocks > 1:
-        routes = written(routes, "routes")
-    score = F.transform("routes", lambda r: F.struct(V.cosine(F.col("v"), r["q"]).alias("score"), (-r["query_id"]).alias("low"), r["query_id"].alias("route")))
-    best = rows
-    for block in range(blocks):
-        own = routes.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else routes
-        packed = own.agg(F.array_sort(F.collect_list(F.struct("query_id", "q"))).alias("routes"))
-        found = F.array_max(F.concat(F.array("b"), score) if block else score)
-        best = best.crossJoin(F.broadcast(packed)).select("vec_id", "label", "v", found.alias("b"))
-        if blocks > 1:  # one block's broadcast is held at a time
-            best = written(best, "routed")
-    return best.select("vec_id", "label", F.col("b.route").alias("route"), r6("b.score").alias("score"))
+    return route_scores(rows, B.centroids(rows)).select(F.col("id").alias("vec_id"), "label", "route", r6("score").alias("score"))
 
 
 # ---------------------------------------------------------------- fusion and sets
