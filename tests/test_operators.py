@@ -1,5 +1,7 @@
 """Operators on literal rows: golden fixtures, edge cases, and what SQL cannot express."""
 
+import functools
+import hashlib
 import math
 import os
 import re
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from sparrowlane import registry
 from sparrowlane.functions import text as T
 from sparrowlane.functions import vector as V
-from sparrowlane.operators import adapters, fusion, gates, graph, metrics, sampling, storage, topk, windows
+from sparrowlane.operators import adapters, blocks, campaigns, fusion, gates, graph, metrics, ordering, sampling, storage, topk, windows
 from sparrowlane.operators import events as E
 from sparrowlane.operators import neighborhood as N
 from sparrowlane.sources import collection
@@ -66,14 +68,50 @@ def test_top_k_ties_and_zero_vectors(spark):
     assert topk.cosine_top_k(corpus, queries.where("query_id > 99"), 3).count() == 0
 
 
-def test_top_k_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SCAN_QUERIES", 2)
+def test_top_k_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "packed", functools.partial(blocks.packed, most=200))
+    monkeypatch.setattr(topk, "SHARD_BYTES", 600)
+    monkeypatch.setattr(topk, "CELLS", 20)
     rng = np.random.default_rng(1)
     m = rng.normal(size=(40, 8))
-    corpus = spark.createDataFrame([(i, m[i].tolist()) for i in range(40)], "vec_id long, v array<double>")
-    got = topk.cosine_top_k(corpus, corpus.where("vec_id < 5").toDF("query_id", "q"), 4).orderBy("query_id", "rank").collect()
+    corpus = spark.createDataFrame([(i, m[i].tolist()) for i in range(40)], "vec_id long, v array<double>").repartition(3)
+    asked = corpus.where("vec_id < 15").toDF("query_id", "q")
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-    assert [r["vec_id"] for r in got] == [int(x) for i in range(5) for x in np.argsort(-(unit[i] @ unit.T))[:4]]
+    got = topk.cosine_top_k(corpus, asked, 4).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in got] == [int(x) for i in range(15) for x in np.argsort(-(unit[i] @ unit.T))[:4]]
+    others = topk.cosine_top_k(corpus, asked, 4, own=False).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in others] == [int(x) for i in range(15) for x in np.argsort(-(unit[i] @ unit.T))[1:5]]
+    stats = {r["query_id"]: (r["docs"], r["mean"], r["best"]) for r in topk.score_statistics(corpus, asked).collect()}
+    assert all(stats[i] == pytest.approx((40, (unit[i] @ unit.T).mean(), 1.0)) for i in range(15))
+    pairs = {(r["a"], r["b"]) for r in topk.similar_pairs(corpus, 0.3, "vec_id", "v").collect()}
+    assert pairs == {(i, j) for i in range(40) for j in range(i + 1, 40) if unit[i] @ unit[j] >= 0.3}
+    shards = topk.sharded_top_k(corpus.withColumn("drive", F.pmod("vec_id", F.lit(3))), asked, 4, "drive").orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in shards] == [r["vec_id"] for r in got]
+
+
+def test_top_k_of_a_vector_that_is_repeated(spark):
+    rows = spark.range(10_000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0), F.lit(-1.0)).alias("v")).repartition(5)
+    rows = rows.unionByName(spark.createDataFrame([(20_000 + i, [1.0, float(i), 0.0]) for i in range(50)], "vec_id long, v array<double>"))
+    asked = rows.where("vec_id % 100 = 0").toDF("query_id", "q")
+    got = topk.cosine_top_k(rows, asked, 3, own=False).where("query_id < 10000").groupBy("query_id").agg(F.collect_set("vec_id").alias("s")).collect()
+    assert len(got) == 100 and all(sorted(r["s"]) == [x for x in range(4) if x != r["query_id"]][:3] for r in got)
+
+
+def test_rows_are_numbered_over_uneven_partitions(spark):
+    big = spark.range(20_000).select((F.col("id") * 7919 % 100_003).alias("vec_id"), F.array_repeat(F.col("id").cast("double"), 64).alias("v"))
+    rows = big.repartition(13).unionByName(big.limit(0)).unionByName(spark.range(200_000, 200_050).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(0.0), 64).alias("v")).coalesce(1))
+    placed = collection.ingested(rows, 64, 100, "vec_id", "v")
+    ids = sorted(r[0] for r in rows.select("vec_id").collect())
+    got = sorted((r["vec_id"], r["point_id"], r["batch"]) for r in placed.select("vec_id", "point_id", "batch").collect())
+    assert got == [(i, k, k // 100) for k, i in enumerate(ids)]
+    assert placed.count() == len(ids) and placed.where("accepted").select(F.sum("point_id")).first()[0] == len(ids) * (len(ids) - 1) // 2
+
+
+def test_consecutive_rows(spark):
+    rows = spark.createDataFrame([(i * 3 % 17, float(i)) for i in range(17)], "k long, x double").repartition(4)
+    got = {r["k"]: (r["x"], r["before_x"]) for r in ordering.consecutive(rows, "k", "x").collect()}
+    value = {i * 3 % 17: float(i) for i in range(17)}
+    assert got == {k: (value[k], value[k - 1]) for k in range(1, 17)}
 
 
 def test_masks_at_the_edges(spark):
@@ -165,48 +203,64 @@ def test_recursive_retrieval_fuses_the_leaves(spark, tiny):
         score, first = {}, {}
         for node, q in sorted(ls):
             for rank, (doc, _) in enumerate(best[q], 1):
-                score[doc] = score.get(doc, 0) + 1 / (60 + rank)
+                score[doc] = score.get(doc, 0) + 1 / (59 + rank)
                 first.setdefault(doc, (node, rank))
         order = sorted(score, key=lambda x: (-round(score[x], 12), first[x]))[:10]
         want += [(*root, i, doc, round(score[doc], 6)) for i, doc in enumerate(order, 1)]
-    got = [tuple(r) for r in registry.queries()["RUN-3-SEARCH"](spark, tiny).collect()]
+    got = [tuple(r) for r in registry.queries()["RUN-3"](spark, tiny).collect()]
     assert sorted(got) == sorted(want)
 
 
 def test_judged_sample_fills_up(spark, tiny):
     corpus = spark.range(1000).withColumnRenamed("id", "doc_id")
     judged = spark.createDataFrame([(i,) for i in (3, 3, 5, 700, 5000)], "doc_id long")
-    hashes = {r[0]: r[1] for r in corpus.select("doc_id", F.xxhash64("doc_id", F.lit(7))).collect()}
+    hashes = {i: int(hashlib.md5(f"{i}:7".encode()).hexdigest()[:15], 16) for i in range(1000)}
     rest = sorted((i for i in range(1000) if i not in (3, 5, 700)), key=lambda i: (hashes[i], i))
     for size in (0, 3, 4, 50, 999, 1000, 2000):
         got = sorted(r[0] for r in sampling.judged_sample(corpus, judged, size, 7, "doc_id").collect())
         assert got == sorted([3, 5, 700, *rest[: max(0, size - 3)]])
-    found = {r[0] for r in registry.queries()["SAMP-1-FILL"](spark, tiny).collect()}
+    found = {r[0] for r in registry.queries()["SAMP-1"](spark, tiny).collect()}
     ids, known = ({r[0] for r in spark.read.parquet(f"{tiny}/{t}.parquet").select("doc_id").collect()} for t in ("documents", "labels"))
     assert len(found) == len(ids) * 3 // 5 > len(ids & known) and ids & known <= found
 
 
-def test_routes_in_blocks(spark, tiny, monkeypatch):
-    from sparrowlane.plans import retrieval
-
-    want = sorted(tuple(r) for r in registry.queries()["JOIN-9"](spark, tiny).collect())
-    monkeypatch.setattr(retrieval, "ROUTES", 3)
-    assert sorted(tuple(r) for r in registry.queries()["JOIN-9"](spark, tiny).collect()) == want
-
-
-def test_pair_counts_in_blocks(spark):
+def test_routes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "packed", functools.partial(blocks.packed, most=100))
+    monkeypatch.setattr(topk, "CELLS", 16)
+    rng = np.random.default_rng(2)
+    m, c = rng.normal(size=(30, 4)), rng.normal(size=(9, 4))
+    c[7] = c[2]  # a tie goes to the smaller route
+    rows = spark.createDataFrame([(i, i % 10 if i % 11 else None, m[i].tolist()) for i in range(30)], "vec_id long, label long, v array<double>")
+    routes = spark.createDataFrame([(k, c[k].tolist()) for k in range(9)], "query_id long, q array<double>").repartition(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(unit(m) @ unit(c).T, 12)
+    for r in topk.route_scores(rows, routes).collect():
+        i, label = r["id"], r["label"]
+        assert r["route"] == int(s[i].argmax()) and r["score"] == s[i].max()
+        assert r["log_sum"] == pytest.approx(math.log(np.exp(s[i] / 0.07).sum()))
+        known = label is not None and label < 9
+        assert r["own"] == (s[i, label] if known else None)
+        assert r["other"] == max(x for k, x in enumerate(s[i]) if not known or k != label)
+    assert topk.route_scores(rows, routes.limit(0)).where("route is not null").count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 500, 120])
+def test_pair_counts_in_blocks(spark, block_bytes):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(57, 6))
+    m[20:40] = m[5]  # copies of a vector
     labels = rng.integers(0, 3, 57)
-    df = spark.createDataFrame([(m[i].tolist(), int(labels[i])) for i in range(57)], "v array<double>, label long")
-    got = graph.pair_counts(df, "v", "v", "label", (0.1, 0.4, 0.8), block_rows=10)
+    df = spark.createDataFrame([(m[i].tolist(), int(labels[i])) for i in range(57)], "v array<double>, label long").repartition(3)
+    got = graph.pair_counts(df, "v", "v", "label", (0.1, 0.4, 0.8), block_bytes)
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     i, j = np.triu_indices(57, 1)
     sims = np.clip((unit @ unit.T)[i, j], -1, 1)
-    total = one(got.agg(F.sum("pairs").alias("n"), F.sum("total").alias("t"), F.max("high").alias("h")))
-    assert total["n"] == len(sims) and total["t"] == pytest.approx(sims.sum()) and total["h"] == pytest.approx(sims.max())
+    total = one(got.agg(F.sum("pairs").alias("n"), F.sum("total").alias("t"), F.max("high").alias("h"), F.min("low").alias("l"), F.sum("squares").alias("q")))
+    assert total["n"] == len(sims) and total["t"] == pytest.approx(sims.sum()) and total["h"] == pytest.approx(sims.max()) and total["l"] == pytest.approx(sims.min()) and total["q"] == pytest.approx((sims**2).sum())
     same = one(got.where("label is not null").agg(F.sum("pairs").alias("n")))["n"]
     assert same == int((labels[i] == labels[j]).sum())
+    bonds = {r["bond"]: r["n"] for r in got.groupBy("bond").agg(F.sum("pairs").alias("n")).collect()}
+    assert bonds == {b: int(n) for b, n in zip(graph.BONDS, np.bincount(np.searchsorted((0.1, 0.4, 0.8), np.round(sims, 12), side="right"), minlength=4), strict=True) if n}
 
 
 def test_median_partition_equals_recursion(spark):
@@ -248,12 +302,38 @@ def test_early_stop(spark, tiny):
     assert {r["key"]: r["stopped_at"] for r in rows} == want
 
 
-def test_schedules_and_folds(spark):
-    df = spark.createDataFrame([([0.0004, 0.00040005, None, 0.002],)], "v array<double>")
-    assert one(df.select(windows.dead_band(F.col("v"), 0.0004).alias("x")))["x"] == 0.002
-    margins = spark.createDataFrame([([0.5, -1.0],)], "g array<double>")
+def test_folds(spark):
+    rows = spark.createDataFrame([(k, i, x) for k in (1, 2) for i, x in enumerate([0.0004, 0.00040005, None, 0.002])], "key long, seq long, v double").repartition(3)
+    assert {r["key"]: r["threshold"] for r in windows.dead_band(rows, "v", 0.0004).collect()} == {1: 0.002, 2: 0.002}
+    gaps = spark.createDataFrame([(7, 0, 0.5), (7, 1, -1.0), (None, 0, 0.5)], "key long, seq long, g double")
     first = 0.9 * 0.3 + 0.1 * 0.3 / 1.5
-    assert one(margins.select(windows.margin(F.col("g")).alias("x")))["x"] == pytest.approx(0.9 * first + 0.1)
+    assert {r["key"]: r["margin"] for r in windows.margins(gaps, "g").collect()} == {7: pytest.approx(0.9 * first + 0.1), None: pytest.approx(first)}
+    assert windows.dead_band(rows.limit(0), "v", 0.0004).count() == 0
+
+
+def test_fold_of_a_long_series(spark):
+    rows = spark.range(300_000).select(F.lit("k").alias("key"), F.col("id").alias("seq"), (F.col("id") % 7).cast("double").alias("v")).repartition(6)
+    got = windows.folded(rows, lambda: (0, 0.0), lambda s, x: (s[0] + 1, s[1] * 0.5 + x), lambda s: s, "n long, mean double", "v").collect()
+    want = 0.0
+    for i in range(300_000):
+        want = want * 0.5 + i % 7
+    assert [tuple(r) for r in got] == [("k", 300_000, want)]
+
+
+def test_adaptive_weight_equals_a_loop(spark, tiny):
+    rows = {r["key"]: r["weight"] for r in registry.queries()["WIN-13-ADAPTIVE"](spark, tiny).collect()}
+    events = spark.read.parquet(f"{tiny}/events.parquet").toPandas().sort_values(["user_id", "ts", "event_id"])
+    for user, g in events.groupby("user_id"):
+        weight, best, without = 0.5, math.inf, 0
+        for x in (g["value"] / 10000).tolist():
+            if x < best:
+                weight, best, without = weight * 0.9, x, 0
+            else:
+                without += 1
+                if without >= 5:
+                    weight, without = weight * 1.1, 0
+            weight = max(weight, 0.01)
+        assert rows[user] == pytest.approx(weight, abs=1e-8)
 
 
 def test_orthogonal_adapter_keeps_angles(spark):
@@ -269,19 +349,6 @@ def test_targets_at_zero(spark):
     assert got[0] == pytest.approx([0.6, 0.8]) and got[1] == [1.0, 0.0] and got[2] == pytest.approx([1.0, 0.0])
 
 
-def test_low_rank_fit_lowers_the_loss():
-    x = np.random.default_rng(6).normal(size=(40, 8))
-    _, _, losses = adapters.fit_low_rank(x, x + 0.1 * x[:, ::-1], 4)
-    assert losses[-1] < losses[0]
-
-
-def test_evolution_repeats(spark):
-    f = lambda: adapters.evolve(spark.range(1), 16, 7, lambda n: float(n.sum()), 4).orderBy("member").collect()
-    a, b = f(), f()
-    assert a == b and sum(r["shaped"] for r in a) == pytest.approx(0, abs=1e-9)
-    assert a[0]["fitness"] == pytest.approx(-a[1]["fitness"])
-
-
 def test_block_graph_by_hand():
     w1 = np.array([[1, 0, 0.5], [0, 1, 0.5], [1, 0, 1], [1, 0, 1]], float)
     square = lambda m: np.pad(m, ((0, 4 - m.shape[0]), (0, 4 - m.shape[1])))
@@ -293,18 +360,22 @@ def test_block_graph_by_hand():
         storage.run_blocks(image[:10], np.ones((1, 4), np.float32), 4)
 
 
-def test_nearest_rank(spark):
-    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],), ([],)], "v array<double>")
-    assert [r[0] for r in df.select(E.nearest_rank(F.col("v"), 0.5)).collect()] == [3.0, None]
+def test_nearest_place(spark):
+    df = spark.createDataFrame([(4,), (1,), (10,)], "n long")
+    assert [r[0] for r in df.select(E.nearest_place(F.col("n"), 0.5)).collect()] == [3, 1, 5]
 
 
 def test_event_lines(spark, tmp_path):
     path = tmp_path / "log.jsonl"
     path.write_text('{"timestamp": 1234567890.0, "action": "FAST"}\n\n{"timestamp": 1.0, "action": "ADAPT"}\n')
     assert [r["action"] for r in E.read_jsonl(spark, str(path), "timestamp double, action string").collect()] == ["FAST", "ADAPT"]
-    path.write_text('{"action": "FAST"}\nnot json\n')
+    path.write_text('{"action": "FAST"}\n\n{"action": "FAST"}\nnot json\nnor this\n')
+    with pytest.raises(ValueError, match="malformed event in line 4 of .*log.jsonl"):
+        E.read_jsonl(spark, str(path), "action string")
     with pytest.raises(Exception, match="malformed"):
-        E.read_jsonl(spark, str(path), "action string").collect()
+        E.parsed_lines(spark.read.text(str(path)), "action string").collect()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        E.read_jsonl(spark, str(tmp_path / "none"), "action string")
     assert E.recent(spark.createDataFrame([(1, None)], "event_id long, ts timestamp"), -1).count() == 0
 
 
@@ -313,7 +384,7 @@ def test_collections(spark, tmp_path):
         with pytest.raises(ValueError):
             collection.open_collection(spark, bad)
     rows = spark.createDataFrame([(i, [1.0, float(i)] if i != 7 else [1.0]) for i in range(12)], "id long, v array<double>")
-    got = {r["id"]: (r["point_id"], r["batch"], r["accepted"]) for r in collection.ingested(rows, 2, 5, F.col("id"), "v").collect()}
+    got = {r["id"]: (r["point_id"], r["batch"], r["accepted"]) for r in collection.ingested(rows, 2, 5, "id", "v").collect()}
     assert got[4] == (4, 0, True) and got[7] == (7, 1, False) and got[11] == (11, 2, True)
     base = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
     news = spark.createDataFrame([(2, "c", 1), (2, "d", 2), (3, "e", 1)], "id long, x string, version int")
@@ -370,3 +441,63 @@ def test_logistic_fit(spark):
         adapters.fit_logistic(spark.range(9).selectExpr("id a", "id y"), ["a"], "y", most_rows=3)
     with pytest.raises(ValueError):
         adapters.create("unknown")
+
+
+def test_collections_from_texts(spark):
+    texts = spark.createDataFrame([(1, "aaaa"), (2, "b" * 12), (3, None), (4, "c" * 40)], "id long, text string")
+    got = {r["id"]: (r["sent"], r["vector"]) for r in collection.embedded(texts, "text", (20, 10, 5), lambda t: F.octet_length(t) <= 10, lambda t: F.array(F.length(t).cast("double")), 1).collect()}
+    assert got == {1: ("aaaa", [4.0]), 2: ("b" * 10, [10.0]), 3: (None, [0.0]), 4: ("c" * 10, [10.0])}
+    refused = collection.embedded(texts, "text", (20,), lambda t: F.octet_length(t) <= 10, lambda t: F.array(F.lit(1.0)), 1)
+    assert {r["id"]: r["vector"] for r in refused.collect()}[2] == [0.0]
+    with pytest.raises(Exception, match="no text for id 3"):
+        collection.refreshed(texts, "text", "id", F.array(F.length("text").cast("double"))).collect()
+    teachers = spark.createDataFrame([("en", "a", 4, 0.0), ("de", "b", 8, 0.0)], "lang string, teacher string, dim int, shift double")
+    spoken = spark.createDataFrame([(1, "en"), (2, "de"), (3, "xx")], "id long, lang string")
+    with pytest.raises(ValueError, match="dimensions"):
+        collection.routed(spoken, teachers, "lang", ("c", 4, 0.0))
+    assert collection.routed(spoken.where("id <> 2"), teachers, "lang", ("c", 4, 0.0)).count() == 2
+
+
+def test_languages_of_other_scripts(spark):
+    texts = {"ja": "これは日本語です", "zh": "\U00020000\U00020001\U000200FF 中文", "ko": "한국어 텍스트", "ru": "русский текст"}
+    df = spark.createDataFrame(list(texts.items()), "want string, text string")
+    assert all(r["want"] == r["got"] for r in df.select("want", T.detected_language(F.col("text"))[0].alias("got")).collect())
+
+
+def test_presets_and_read_api(spark, tiny):
+    from sparrowlane.functions.presets import PRESETS, preset
+    from sparrowlane.sources.api import ReadApi
+
+    assert len(PRESETS) == 19 and preset("balanced")["chelation_p"] == 85
+    for bad in (("balanced", "none"), ("none", "chelation")):
+        with pytest.raises(ValueError):
+            preset(*bad)
+    api = ReadApi({"events": spark.read.parquet(f"{tiny}/events.parquet")}, token="t")
+    assert api.get("/api/events", "Bearer t", 5).count() == 5
+    with pytest.raises(PermissionError):
+        api.get("/api/events", "Bearer x")
+    with pytest.raises(KeyError):
+        api.get("/api/none", "Bearer t")
+
+
+def test_query_windows(spark):
+    rows = spark.range(10).withColumnRenamed("id", "q")
+    assert sorted(r["q"] for r in sampling.query_slice(rows, "q", 3, 4, exact=True).collect()) == [3, 4, 5, 6]
+    with pytest.raises(ValueError):
+        sampling.query_slice(rows, "q", 8, 4, exact=True)
+    got = {r["q"]: r["window"] for r in campaigns.windows_of(rows, "q", 3, offset=2).collect()}
+    assert got == {q: (q - 2) // 3 for q in range(2, 10)}
+
+
+def test_campaigns_go_on_where_they_stopped(spark, tmp_path):
+    store, calls = Checkpoints(spark, f"file://{tmp_path}/runs"), []
+    windows_ = campaigns.windows_of(spark.range(10).withColumnRenamed("id", "q"), "q", 3)
+
+    def evaluate(open_):
+        calls.append(sorted({r["window"] for r in open_.collect()}))
+        return open_.groupBy("window").agg(F.sum("q").alias("s"))
+
+    assert campaigns.resumed(windows_, evaluate, store, most=2).count() == 2
+    for _ in range(2):
+        assert {r["window"]: r["s"] for r in campaigns.resumed(windows_, evaluate, store).collect()} == {0: 3, 1: 12, 2: 21, 3: 9}
+    assert calls == [[0, 1], [2, 3]]
