@@ -53,10 +53,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def file_count(df: DataFrame) -> int:
-    """Files enough for the tables that ``df`` reads: one for 32 MB of them, four for each core at least."""
+    """Files enough for the tables that ``df`` reads: one for each part of a scan of them (32 MB at most), four for each core at least."""
+    spark = df.sparkSession
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return max(4 * df.sparkSession.sparkContext.defaultParallelism, min(size >> 25, 1 << 22))
+    part = max(1, min(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes(), 32 << 20))
+    return max(4 * spark.sparkContext.defaultParallelism, min(size // part, 1 << 22))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
