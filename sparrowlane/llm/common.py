@@ -7,6 +7,7 @@ more memory than a batch of short ones.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 from collections.abc import Callable, Iterator
@@ -41,6 +42,18 @@ def delete(spark: SparkSession, *frames: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+@contextlib.contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within the block a query's shuffle files go when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,6 +63,12 @@ def row_of(df: DataFrame) -> Column:
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("row")
 
 
+def mapped_rows(df: DataFrame, keep: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df`` through a function of Arrow batches that returns rows of the same columns; columns go by place, so names are free."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(keep, plain.schema).toDF(*df.columns)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased; other letters as they are."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)

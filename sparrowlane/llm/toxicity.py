@@ -305,12 +305,14 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", thr
     """The rows of ``docs`` with a score under ``threshold``; rows pass through the function, nothing is added to them."""
     common.workers_can_import(docs.sparkSession)
 
+    place = docs.columns.index(text_col)
+
     @common.lean
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            for part in common.slices(batch, text_col):
-                low = [lexicon.score(lexicon.features(fold(t.as_py() or ""), automaton)) < threshold for t in part.column(text_col)]
+            for part in common.slices(batch, place):
+                low = [lexicon.score(lexicon.features(fold(t.as_py() or ""), automaton)) < threshold for t in part.column(place)]
                 yield part.filter(pa.array(low, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return common.mapped_rows(docs, keep)
