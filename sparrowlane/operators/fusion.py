@@ -10,8 +10,11 @@ from .topk import ranked
 
 
 def reciprocal_rank_fusion(rankings: DataFrame, k: float = 60.0, doc: str = "vec_id", variant: str = "variant", most: int = 10) -> DataFrame:
-    """``query_id, doc, score, rank``: sums of 1 / (k + rank), rank from 1; ties by first appearance."""
-    fused = rankings.groupBy("query_id", doc).agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.min(F.struct(variant, "rank")).alias("first"))
+    """``query_id, doc, score, rank``: sums of 1 / (k + rank) to twelve digits, rank from 1; ties by first appearance.
+
+    Ranks from 0, as the leaves of a tree are fused by, are a ``k`` less by one.
+    """
+    fused = rankings.groupBy("query_id", doc).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"), F.min(F.struct(variant, "rank")).alias("first"))
     return ranked(fused, most, ["query_id"], F.col("score").desc(), "first").drop("first")
 
 

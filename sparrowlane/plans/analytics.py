@@ -20,9 +20,6 @@ from .base import r6_sql as R
 
 # ---------------------------------------------------------------- event log
 
-_K = "try_cast(json_extract_string(props, '$.k') AS BIGINT)"
-
-
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return B.table(spark, d, "events")
 

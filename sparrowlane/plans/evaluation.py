@@ -20,7 +20,7 @@ from . import base as B
 from .base import r6, sql
 from .base import r6_sql as R
 from .language import _FAMILIES, _NEG, _START, _STOP, _CUES, _TOKENS, _family_sql, _split_sql, _trees, _TREE, _atomic_sql
-from .retrieval import _DELTAS, harmful_dimensions, metrics_of, run_inference
+from .retrieval import _DELTAS, harmful_dimensions, metrics_of
 
 # ---------------------------------------------------------------- profiles
 
@@ -325,8 +325,7 @@ def recursive_retrieval(spark: SparkSession, d: str) -> DataFrame:
     leaves = _trees(spark, d).where(F.coalesce("is_leaf", F.lit(True))).select(F.col("root").alias("query_id"), F.col("node").alias("variant"), _embedded().alias("q"))
     docs = B.table(spark, d, "documents").select("doc_id", _embedded().alias("v"))
     hits = _keyword_hits(docs, leaves, B.RESULT_K)
-    fused = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(1.0 / (59.0 + F.col("rank"))), 12).alias("score"), F.min(F.struct("variant", "rank")).alias("first"))
-    out = ranked(fused, B.RESULT_K, ["query_id"], F.col("score").desc(), "first")
+    out = fusion.reciprocal_rank_fusion(hits, 59.0, "doc_id")
     return out.select("query_id.conv_id", "query_id.turn", "rank", "doc_id", r6("score").alias("score"))
 
 

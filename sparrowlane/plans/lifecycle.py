@@ -1,16 +1,13 @@
-"""Queries: sinks and read APIs, training cycles, campaigns, stateful forms in batch."""
+"""Queries: sinks, artifacts, checkpoints, fixtures, and fits on aggregates."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import vector as V
 from ..operators import adapters as A
 from ..operators import metrics, storage
-from ..operators import neighborhood as N
-from ..operators.topk import cosine_top_k, ranked
+from ..operators.topk import cosine_top_k
 from ..registry import query
 from ..session import new_path
 from ..sources import sinks

@@ -525,16 +525,12 @@ def _fused(df: DataFrame) -> DataFrame:
 
 @query("SET-1", _fused_sql("round(sum(1.0::DOUBLE / (60 + rank)), 12)"))
 def rrf_variants(spark: SparkSession, d: str) -> DataFrame:
-    rows = _variants(spark, d)
-    fused = rows.groupBy("query_id", "vec_id").agg(F.round(F.sum(1.0 / (60.0 + F.col("rank"))), 12).alias("score"), F.min(F.struct("variant", "rank")).alias("first"))
-    return _fused(ranked(fused, 10, ["query_id"], F.col("score").desc(), "first"))
+    return _fused(fusion.reciprocal_rank_fusion(_variants(spark, d)))
 
 
 @query("SET-2", _fused_sql("round(sum(1.0::DOUBLE / (60 + rank - 1)), 12)"))
 def rrf_leaves(spark: SparkSession, d: str) -> DataFrame:
-    rows = _variants(spark, d)
-    fused = rows.groupBy("query_id", "vec_id").agg(F.round(F.sum(1.0 / (59.0 + F.col("rank"))), 12).alias("score"), F.min(F.struct("variant", "rank")).alias("first"))
-    return _fused(ranked(fused, 10, ["query_id"], F.col("score").desc(), "first"))
+    return _fused(fusion.reciprocal_rank_fusion(_variants(spark, d), 59.0))
 
 
 @query("SET-3", _fused_sql("1.0::DOUBLE / min(rank)"))

@@ -28,7 +28,7 @@ from .base import r6, sql
 from .base import r6_sql as R
 from .evaluation import _unit_sql
 from .language import _FAMILIES, _START, _family_sql
-from .retrieval import _BOUNDED, _LOW, _MLP, _low_rank, _matvec
+from .retrieval import _BOUNDED, _LOW, _MLP, _matvec
 
 # ---------------------------------------------------------------- ingest and refresh
 
