@@ -501,3 +501,21 @@ def test_campaigns_go_on_where_they_stopped(spark, tmp_path):
     for _ in range(2):
         assert {r["window"]: r["s"] for r in campaigns.resumed(windows_, evaluate, store).collect()} == {0: 3, 1: 12, 2: 21, 3: 9}
     assert calls == [[0, 1], [2, 3]]
+
+
+def test_intermediates(spark):
+    from types import SimpleNamespace
+
+    from sparrowlane import session
+
+    small = session.written(spark.range(1000, numPartitions=200), "many")
+    assert small.count() == 1000 and len(small.inputFiles()) <= session.file_count(spark.range(1))
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert any(x.startswith("sparrowlane-many-") for x in os.listdir(folder))
+    session.clean(spark)
+    assert not any(x.startswith("sparrowlane-") for x in os.listdir(folder))
+    # off local mode a folder of the driver's machine is no shared one
+    conf = SimpleNamespace(get=lambda key, default=None: default, set=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", environment={}))
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_folder(cluster)
