@@ -3,16 +3,22 @@
 A text is its words (A-Z lower-cased) and one end; the first word follows a begin mark.  Words, pairs and triples of words
 are known by 64-bit hashes.
 
-Counting: each task sums the pairs of its texts and packs them into one block for each of ``parts`` hash ranges, so the
-shuffle moves sorted arrays, not a row per pair.  A pair's part comes from its first word and six bits of its second:
-a frequent word is spread over 64 parts.  A part's task merges its blocks, writes the sorted array of pair hashes with their
-counts, and sends each word's shares (as a pair's second word: count and number of distinct predecessors; as its first:
-numbers of successors seen once, twice, more often) to the word's part, whose task merges and writes them sorted by hash.
-Only the list of files and the counts of counts reach the driver.
-
-Order three counts triples first, in the same way: a triple's part is that of its first two words.  Its task writes the
-triples and, as contexts, the pairs they begin with (count and numbers of successors seen once, twice, more often), and
-sends each pair they end with (number of distinct predecessors, and count) to the pair's part, which goes on as above.
+Counting: each task sums the n-grams of its texts and packs them into one block for each of ``parts`` parts, so the shuffle
+moves sorted arrays, not a row per n-gram.  In order three the part of a triple is that of its middle word: its task then
+has all contexts (pairs that triples begin with) and all pairs (that triples end with) of the word.  It writes triples,
+contexts (count and numbers of successors seen once, twice, more often) and pairs (number of distinct predecessors), and
+sends each word's shares (as a pair's second word: count and number of distinct predecessors; as its first: numbers of
+successors seen once, twice, more often) to the word's part, whose task merges and writes them sorted by hash.  Frequent
+words (a share of 1 / ``parts`` and more in a sample; only where work is done depends on it) are spread: triples by their
+first two words, so contexts stay whole, and their pairs go on to a part by both words.  Only the list of files, the
+frequent words (``parts`` at most) and the counts of counts reach the driver.
+
+Triples are counted in ``PASSES`` passes over the texts, each for its share of the parts, so only that share is ever in
+the shuffle; what a step hands to the next is a written table, and a step's shuffle files go when it ends.  Order two
+counts pairs in one pass.
+
+Keys of pairs and triples are kept as sorted hashes of 32 bits in buckets of two to four keys: a bucket's number, from the
+leading bits of the hash, is where its keys lie and is not stored.  A key of a file of n is known by log2(n) + 30 bits.
 
 The arrays lie in the shared folder and workers map them into memory, so a worker holds no copy and reads what it needs
 (from a store that cannot be mapped it reads files by need and holds ``READ_BYTES`` of them at most); a batch's distinct words and pairs are looked up in hash order.  Files have names of their own for each task attempt and
@@ -32,6 +38,8 @@ columns are not read, so their names cannot clash.  Without training texts every
 
 from __future__ import annotations
 
+import functools
+import mmap
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -50,8 +58,11 @@ END = common.mix(np.array([0xE17D], np.uint64))[0]
 START = common.mix(np.array([0x57A7], np.uint64))[0]  # in the place before BEGIN
 FLUSH_TOKENS = 2 << 20
 PART_BYTES = 4 << 20  # of input for each part
-SALT_BITS = 6
 MOST_PARTS = 1 << 18
+PASSES = 2
+SCORED_BYTES = 4 << 20  # of texts scored together: every part of the model is asked once for them
+SAMPLE = 16  # of rows, one is looked at for frequent words
+BUCKET_KEYS = 4
 READ_BYTES = 256 << 20  # of arrays that a worker holds where the store cannot be mapped
 
 
@@ -89,20 +100,44 @@ def _range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def pair_part(before: np.ndarray, tokens: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each pair: the first word's range, moved on by six bits of the second, so 64 parts share a frequent word."""
-    salt = (tokens & np.uint64((1 << SALT_BITS) - 1)).astype(np.int64) * max(1, parts >> SALT_BITS)
-    return (_range_of(before, parts) + salt) % parts
+def _is_one_of(words: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Whether each word is among the sorted ``frequent``."""
+    if not len(frequent):
+        return np.zeros(len(words), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, words), len(frequent) - 1)] == words
+
+
+def pair_part(before: np.ndarray, tokens: np.ndarray, frequent: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each pair: its first word's; by both words where that is frequent; its second word's at a text's begin."""
+    part = _range_of(common.mix(before), parts)
+    hot = _is_one_of(before, frequent)
+    part[hot] = _range_of(pair_hash(before[hot], tokens[hot]), parts)
+    first = before == BEGIN
+    part[first] = _range_of(common.mix(tokens[first]), parts)
+    return part
+
+
+def triple_part(earlier: np.ndarray, before: np.ndarray, tokens: np.ndarray, frequent: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each triple: its middle word's; by the first two words where that is frequent; its last word's at a text's begin."""
+    part = _range_of(common.mix(before), parts)
+    hot = _is_one_of(before, frequent)
+    part[hot] = _range_of(pair_hash(earlier[hot], before[hot]), parts)
+    first = earlier == START
+    part[first] = _range_of(common.mix(tokens[first]), parts)
+    return part
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in their smallest unsigned types, self-describing."""
+    """Arrays in their smallest unsigned types, self-describing and compressed."""
     small = [a if a.dtype == np.uint64 else a.astype(np.min_scalar_type(int(a.max(initial=0)))) for a in arrays]
     head = np.array([len(small), *(x for a in small for x in (a.itemsize, len(a)))], np.int64)
-    return head.tobytes() + b"".join(a.tobytes() for a in small)
+    plain = head.tobytes() + b"".join(a.tobytes() for a in small)
+    return np.int64(len(plain)).tobytes() + pa.compress(plain, codec="zstd", asbytes=True)
 
 
 def _unpack(block: bytes) -> list[np.ndarray]:
+    size = int(np.frombuffer(block, np.int64, 1)[0])
+    block = pa.decompress(memoryview(block)[8:], size, codec="zstd", asbytes=True)
     n = int(np.frombuffer(block, np.int64, 1)[0])
     head = np.frombuffer(block, np.int64, 1 + 2 * n)[1:]
     at, out = 8 * (1 + 2 * n), []
@@ -113,6 +148,34 @@ def _unpack(block: bytes) -> list[np.ndarray]:
     return out
 
 
+def bucketed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes as the starts of their buckets and the 32 bits after the bucket's."""
+    bits = max(0, (len(keys) // BUCKET_KEYS).bit_length())
+    at = np.searchsorted(_bucket(keys, bits), np.arange((1 << bits) + 1)).astype(np.uint32)
+    return at, _rest(keys, bits)
+
+
+def _bucket(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def _rest(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(32 - bits)).astype(np.uint32)
+
+
+def places(at: np.ndarray, rest: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted hash is among bucketed keys, and whether it is there; all hashes halve their bucket together."""
+    bits = (len(at) - 1).bit_length() - 1
+    bucket, target = _bucket(wanted, bits), _rest(wanted, bits)
+    low, high = at[bucket].astype(np.int32), at[bucket + 1].astype(np.int32)
+    end = high
+    for _ in range(int((high - low).max(initial=0)).bit_length()):
+        middle = (low + high) >> 1
+        less = (rest.take(middle, mode="clip") < target) & (low < high)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+    return low, (low < end) & (rest.take(low, mode="clip") == target)
+
+
 def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sorted distinct keys and the sums of the values."""
     if not len(keys):
@@ -123,9 +186,8 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[first], *(np.add.reduceat(v[order], first) for v in values))
 
 
-def _pair_blocks(before: np.ndarray, tokens: np.ndarray, parts: int, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _pair_blocks(part: np.ndarray, before: np.ndarray, tokens: np.ndarray, parts: int, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """One block for each part: runs of first words, second words by a dictionary, sums of ``values`` (of ones without any)."""
-    part = pair_part(before, tokens, parts)
     # equal pairs become neighbours; the few that do not are summed later
     bits = np.uint64(24)
     order = np.argsort((before >> (np.uint64(64) - bits) << (np.uint64(64) - bits)) | (pair_hash(before, tokens) >> bits))
@@ -143,14 +205,8 @@ def _pair_blocks(before: np.ndarray, tokens: np.ndarray, parts: int, *values: np
         yield p, _pack(v[runs], np.diff(np.append(runs, len(v))), words, codes, *(x[own] for x in sums))
 
 
-def triple_part(earlier: np.ndarray, before: np.ndarray, tokens: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each triple: that of its first two words; that of its last word where nothing precedes the begin mark."""
-    return np.where(earlier == START, _range_of(tokens, parts), pair_part(earlier, before, parts))
-
-
-def _triple_blocks(earlier: np.ndarray, before: np.ndarray, tokens: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+def _triple_blocks(part: np.ndarray, earlier: np.ndarray, before: np.ndarray, tokens: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
     """One block for each part: runs of first two words and last words, all by a dictionary, and counts."""
-    part = triple_part(earlier, before, tokens, parts)
     context = pair_hash(earlier, before)
     bits = np.uint64(32)
     order = np.argsort((context >> bits << bits) | (pair_hash(context, tokens) >> bits))
@@ -186,7 +242,7 @@ def _small(a: np.ndarray) -> np.ndarray:
 def _write_counted(folder: str, keys: np.ndarray, counts: np.ndarray, *more: np.ndarray) -> tuple[str, str]:
     """A file of sorted keys: those of count 1 alone, then the others with their values."""
     one = counts == 1
-    return _write(folder, [keys[one], keys[~one], *(_small(x[~one]) for x in (counts, *more))])
+    return _write(folder, [*bucketed(keys[one]), *bucketed(keys[~one]), *(_small(x[~one]) for x in (counts, *more))])
 
 
 def _count_of_counts(counts: np.ndarray) -> list[int]:
@@ -203,7 +259,9 @@ class Model:
     triples: dict[int, tuple[str, str, int]] = field(default_factory=dict)
     contexts: dict[int, tuple[str, str, int]] = field(default_factory=dict)
     pairs: dict[int, tuple[str, str, int]] = field(default_factory=dict)
+    spread_pairs: dict[int, tuple[str, str, int]] = field(default_factory=dict)
     words: dict[int, tuple[str, str, int]] = field(default_factory=dict)
+    frequent: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
     tokens: int = 0
     types: int = 0
     predecessors: int = 0
@@ -213,7 +271,11 @@ class Model:
     free_mass: float = 1.0
 
     def mapped(self) -> MappedModel:
-        return MappedModel(self)
+        """The arrays; a worker keeps the mappings of the model that it used last."""
+        if self.folder not in _MAPPED:
+            _MAPPED.clear()
+            _MAPPED[self.folder] = MappedModel(self)
+        return _MAPPED[self.folder]
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -232,6 +294,30 @@ def default_parts(df: DataFrame) -> int:
     return min(MOST_PARTS, 1 << max(4, (max(1, size // PART_BYTES) - 1).bit_length()))
 
 
+def frequent_words(texts: DataFrame, text_col: str, parts: int) -> np.ndarray:
+    """Sorted hashes of words that have a share of 1 / ``parts`` in a sample of the rows.
+
+    Nothing but the part that counts a word depends on it, so a sample will do, and a task may keep to what is frequent there.
+    """
+
+    @common.lean
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for batch in batches:
+            for piece in common.slices(batch, "text"):
+                own, n = np.unique(common.word_hashes(common.texts_of(piece.column("text")))[0], return_counts=True)
+                words, counts = _sums(np.concatenate((words, own)), np.concatenate((counts, n)))
+        total = int(counts.sum())
+        often = counts * 4 * parts >= total
+        yield pa.RecordBatch.from_arrays([pa.array([None, *words[often].view(np.int64).tolist()], pa.int64()), pa.array([total, *counts[often].tolist()], pa.int64())], ["word", "n"])
+
+    rows = texts.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    sums = rows.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = sums.where("word is null").first()
+    found = sums.where("word is not null").where(F.col("n") * parts >= (total["n"] if total else 0)).select("word").collect()  # ``parts`` at most
+    return np.sort(np.array([r["word"] for r in found], np.int64).view(np.uint64))
+
+
 def train(texts: DataFrame, text_col: str = "text", parts: int | None = None, order: int = 2) -> Model:
     """Count the texts and write the arrays of the model of ``order`` two or three."""
     if order not in (2, 3):
@@ -243,25 +329,38 @@ def train(texts: DataFrame, text_col: str = "text", parts: int | None = None, or
     fs, inner = open_fs(folder)
     fs.create_dir(inner)
 
-    @common.lean
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            for piece in common.slices(batch, "text"):
-                before, tokens, offsets = token_stream(common.texts_of(piece.column("text")))
-                held.append((before, tokens) if order == 2 else (word_before(before, offsets), before, tokens))
-                if sum(len(x[-1]) for x in held) >= FLUSH_TOKENS:
-                    yield flushed(held)
-                    held = []
-        if held:
-            yield flushed(held)
+    frequent = frequent_words(texts, text_col, parts)
+
+    def counted(own: int, passes: int) -> DataFrame:
+        """``part, block`` of the parts of pass ``own``."""
+
+        @common.lean
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, ...]] = []
+            for batch in batches:
+                for piece in common.slices(batch, "text"):
+                    before, tokens, offsets = token_stream(common.texts_of(piece.column("text")))
+                    grams = (before, tokens) if order == 2 else (word_before(before, offsets), before, tokens)
+                    part = (pair_part if order == 2 else triple_part)(*grams, frequent, parts)
+                    grams = (part, *grams)
+                    if passes > 1:
+                        mine = part % passes == own
+                        grams = tuple(x[mine] for x in grams)
+                    held.append(grams)
+                    if sum(len(x[-1]) for x in held) >= FLUSH_TOKENS:
+                        yield flushed(held)
+                        held = []
+            if any(len(x[-1]) for x in held):
+                yield flushed(held)
+
+        return texts.select(F.col(text_col).alias("text")).mapInArrow(count, "part int, block binary")
 
     def flushed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         blocks = list((_pair_blocks if order == 2 else _triple_blocks)(*(np.concatenate(x) for x in zip(*held, strict=True)), parts))
         return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], ["part", "block"])
 
-    # kind: b is a block of pairs, s and f are blocks of words as second and first of pairs; t, c, p and w name files of
-    # triples, contexts, pairs and words
+    # kind: b is a block of pairs of frequent words, s and f are blocks of words as second and first of pairs; t, c, p, h
+    # and w name files of triples, contexts, pairs, pairs of frequent words, and words
     schema = "part int, kind string, block binary, path string, types string, n long, counts array<long>"
     names = ["part", "kind", "block", "path", "types", "n", "counts"]
     types = [pa.int32(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64())]
@@ -293,41 +392,44 @@ def train(texts: DataFrame, text_col: str = "text", parts: int | None = None, or
             found = _sums(pair_hash(u[real], v[real]), seen, *(m.astype(np.int64) for m in (seen == 1, seen == 2, seen > 2)))
             path, dtypes = _write_counted(folder, *found)
             rows.append((key[0].as_py(), "c", None, path, dtypes, len(found[0]), None))
-        rows += [(q, "b", block, None, None, 0, None) for q, block in _pair_blocks(v, w, parts, np.where(real, 1, c), c)]
+        seen = np.where(real, 1, c)
+        hot = real & _is_one_of(v, frequent)
+        if not hot.all():
+            rows += pair_rows(key[0].as_py(), "p", *(x[~hot] for x in (v, w, seen, c)))
+        if hot.any():
+            v, w, seen, c = (x[hot] for x in (v, w, seen, c))
+            rows += [(q, "b", block, None, None, 0, None) for q, block in _pair_blocks(pair_part(v, w, frequent, parts), v, w, parts, seen, c)]
         return table_of(rows)
 
-    def merge_pairs(key: tuple, table: pa.Table) -> pa.Table:
-        rows, v, w, c, n = [], [], [], [], []
-        if order == 3:
-            rows = [tuple(r[n] for n in names) for r in table.filter(pc.not_equal(table.column("kind"), "b")).to_pylist()]
-            table = table.filter(pc.equal(table.column("kind"), "b"))
-            if not table.num_rows:
-                return table_of(rows)
-        for block in table.column("block").to_pylist():
-            runs, lengths, words, codes, *counts = _unpack(block)
-            v.append(np.repeat(runs, lengths.astype(np.int64)))
-            w.append(words[codes])
-            c.append(counts[0].astype(np.int64))
-            n.append(counts[-1].astype(np.int64))
-        v, w, c, n = (np.concatenate(x) for x in (v, w, c, n))
+    def pair_rows(part: int, kind: str, v: np.ndarray, w: np.ndarray, c: np.ndarray, n: np.ndarray) -> list[tuple]:
+        """The file of the pairs of a part, all of them, and the shares of their words; ``n`` is how often a pair occurs."""
         h = pair_hash(v, w)
         at = np.argsort(h)
         first = np.flatnonzero(np.insert(h[at][1:] != h[at][:-1], 0, True))
         c, n = np.add.reduceat(c[at], first), np.add.reduceat(n[at], first)
         v, w, h = v[at][first], w[at][first], h[at][first]
         path, dtypes = _write_counted(folder, h, c)
-        rows.append((key[0].as_py(), "p", None, path, dtypes, len(h), _count_of_counts(c)))
+        rows = [(part, kind, None, path, dtypes, len(h), _count_of_counts(c))]
         as_second = _sums(w, n, np.ones_like(n))
         as_first = _sums(v, *((m).astype(np.int64) for m in (c == 1, c == 2, c > 2)), c)
-        for kind, (words, *values) in (("s", as_second), ("f", as_first)):
+        for name, (words, *values) in (("s", as_second), ("f", as_first)):
             ranges = _range_of(words, parts)
             bounds = np.searchsorted(ranges, np.arange(parts + 1))
-            rows += [(q, kind, _pack(words[bounds[q] : bounds[q + 1]], *(x[bounds[q] : bounds[q + 1]] for x in values)), None, None, 0, None) for q in np.flatnonzero(np.diff(bounds)).tolist()]
-        return table_of(rows)
+            rows += [(q, name, _pack(words[bounds[q] : bounds[q + 1]], *(x[bounds[q] : bounds[q + 1]] for x in values)), None, None, 0, None) for q in np.flatnonzero(np.diff(bounds)).tolist()]
+        return rows
+
+    def merge_pairs(key: tuple, table: pa.Table) -> pa.Table:
+        v, w, c, n = [], [], [], []
+        for block in table.column("block").to_pylist():
+            runs, lengths, words, codes, *counts = _unpack(block)
+            v.append(np.repeat(runs, lengths.astype(np.int64)))
+            w.append(words[codes])
+            c.append(counts[0].astype(np.int64))
+            n.append(counts[-1].astype(np.int64))
+        return table_of(pair_rows(key[0].as_py(), "p" if order == 2 else "h", *(np.concatenate(x) for x in (v, w, c, n))))
 
     def merge_words(key: tuple, table: pa.Table) -> pa.Table:
-        rows = [tuple(r[n] for n in names) for r in table.filter(pc.is_in(table.column("kind"), pa.array(["t", "c", "p"]))).to_pylist()]
-        merged = {}
+        rows, merged = [], {}
         for kind, width in (("s", 2), ("f", 4)):
             blocks = [_unpack(b) for b in table.filter(pc.equal(table.column("kind"), kind)).column("block").to_pylist()]
             parted = [np.concatenate([b[k].astype(np.uint64 if not k else np.int64) for b in blocks]) if blocks else np.empty(0, np.uint64 if not k else np.int64) for k in range(width + 1)]
@@ -342,20 +444,30 @@ def train(texts: DataFrame, text_col: str = "text", parts: int | None = None, or
                 columns.append(column)
         if len(words):
             small = [c.astype(np.min_scalar_type(int(c.max()))) for c in columns]
-            path, dtypes = _write(folder, [words[:0], words, *small])
+            path, dtypes = _write(folder, [words, *small])
             c, a = columns[0], columns[1]
             rows.append((key[0].as_py(), "w", None, path, dtypes, len(words), [*_count_of_counts(a), int(c.sum()), int((c > 0).sum()), int(a.sum()), int((a > 2).sum())]))
         return table_of(rows)
 
-    blocks = texts.select(F.col(text_col).alias("text")).mapInArrow(count, "part int, block binary")
-    if order == 3:
-        blocks = blocks.groupBy("part").applyInArrow(merge_triples, schema)
-    merged = blocks.groupBy("part").applyInArrow(merge_pairs, schema).groupBy("part").applyInArrow(merge_words, schema)
-    files = common.written(merged.drop("block"), "ngram-files").collect()  # two or four rows for each part
-    model = Model(folder, parts, order)
+    files: list = []
+
+    def step(blocks: DataFrame, merge, name: str) -> DataFrame:
+        """The written rows of a step; what it names as files is collected, at most two rows for each part."""
+        done = common.written(blocks.groupBy("part").applyInArrow(merge, schema), name)
+        files.extend(done.where("path is not null").drop("block").collect())
+        return done
+
+    with common.short_shuffles(spark):
+        tables = [step(counted(k, PASSES), merge_triples, "ngram-triples") for k in range(PASSES)] if order == 3 else []
+        spread = functools.reduce(DataFrame.unionByName, tables).where("kind = 'b'").select("part", "block") if tables else counted(0, 1)
+        tables.append(step(spread, merge_pairs, "ngram-pairs"))
+        shares = functools.reduce(DataFrame.unionByName, tables).where("kind in ('s', 'f')").select("part", "kind", "block")
+        tables.append(step(shares, merge_words, "ngram-words"))
+        common.delete(spark, *tables)
+    model = Model(folder, parts, order, frequent=frequent)
     for row in files:
-        {"t": model.triples, "c": model.contexts, "p": model.pairs, "w": model.words}[row["kind"]][row["part"]] = (row["path"], row["types"], row["n"])
-    of_triples, of_pairs = ([sum(r["counts"][k] for r in files if r["kind"] == kind) for k in range(4)] for kind in "tp")
+        {"t": model.triples, "c": model.contexts, "p": model.pairs, "h": model.spread_pairs, "w": model.words}[row["kind"]][row["part"]] = (row["path"], row["types"], row["n"])
+    of_triples, of_pairs = ([sum(r["counts"][k] for r in files if r["kind"] in kinds) for k in range(4)] for kinds in ("t", "ph"))
     of_words = [sum(r["counts"][k] for r in files if r["kind"] == "w") for k in range(8)]
     model.tokens, model.types, model.predecessors = of_words[4:7]
     model.triple_discounts, model.pair_discounts, model.word_discounts = discounts(of_triples), discounts(of_pairs), discounts(of_words[:4])
@@ -365,6 +477,9 @@ def train(texts: DataFrame, text_col: str = "text", parts: int | None = None, or
     return model
 
 
+_MAPPED: dict[str, MappedModel] = {}
+
+
 class MappedModel:
     """The arrays of a model, mapped from the shared folder."""
 
@@ -378,7 +493,8 @@ class MappedModel:
         path, dtypes, _ = entry
         if path not in self.open:
             if self.mappable:
-                raw = np.memmap(path, np.uint8, "r")
+                with open(path, "rb") as source:
+                    raw = mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ)
             else:  # files are read by need and the oldest go, so memory is bounded
                 with open_fs(self.m.folder)[0].open_input_file(path) as source:
                     raw = source.read_buffer()
@@ -394,28 +510,41 @@ class MappedModel:
         return self.open[path]
 
     def _looked_up(self, files: dict, hashes: np.ndarray, part: np.ndarray, ones: tuple[int, ...]) -> list[np.ndarray]:
-        """Values of hashes that are sorted within each part; ``part`` is sorted; ``ones`` for keys of count 1, 0 where unknown."""
+        """Values of hashes; ``part`` is sorted; ``ones`` for keys of count 1, 0 where unknown."""
         out = [np.zeros(len(hashes), np.int64) for _ in ones]
         bounds = np.searchsorted(part, np.arange(self.m.parts + 1))
         for p in np.flatnonzero(np.diff(bounds)).tolist():
             if p in files:
-                single, keys, *values = self._arrays(files[p])
+                one_at, one_rest, at, rest, *values = self._arrays(files[p])
                 own = slice(bounds[p], bounds[p + 1])
                 wanted = hashes[own]
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                    known = keys[at] == wanted
+                if len(rest):
+                    place, known = places(at, rest, wanted)
                     for o, v in zip(out, values, strict=True):
-                        o[own] = np.where(known, v[at], 0)
-                if len(single):
-                    known = single[np.minimum(np.searchsorted(single, wanted), len(single) - 1)] == wanted
+                        o[own][known] = v[place[known]]
+                if len(one_rest):
+                    _, known = places(one_at, one_rest, wanted)
                     for o, value in zip(out, ones, strict=True):
                         o[own][known] = value
         return out
 
+    def _of_words(self, distinct: np.ndarray) -> list[np.ndarray]:
+        """Values of sorted distinct word hashes, from files of whole hashes."""
+        out = [np.zeros(len(distinct), np.int64) for _ in range(6)]
+        bounds = np.searchsorted(_range_of(distinct, self.m.parts), np.arange(self.m.parts + 1))
+        for p in np.flatnonzero(np.diff(bounds)).tolist():
+            if p in self.m.words:
+                keys, *values = self._arrays(self.m.words[p])
+                own = slice(bounds[p], bounds[p + 1])
+                at = np.minimum(np.searchsorted(keys, distinct[own]), len(keys) - 1)
+                known = keys[at] == distinct[own]
+                for o, v in zip(out, values, strict=True):
+                    o[own] = np.where(known, v[at], 0)
+        return out
+
     def words(self, distinct: np.ndarray) -> list[np.ndarray]:
         """Count, predecessors, successors seen once, twice, more often, and sum of these, of sorted distinct word hashes."""
-        return self._looked_up(self.m.words, distinct, _range_of(distinct, self.m.parts), (0,) * 6)
+        return self._of_words(distinct)
 
     def _of_each(self, files: dict, h: np.ndarray, part: np.ndarray, ones: tuple[int, ...]) -> list[np.ndarray]:
         """Values of hashes in any order, each distinct one looked up once."""
@@ -435,20 +564,30 @@ class MappedModel:
 
     def pairs(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Counts of pairs, or in order three their numbers of predecessors."""
-        return self._of_each(self.m.pairs, pair_hash(before, tokens), pair_part(before, tokens, self.m.parts), (1,))[0]
+        h, part = pair_hash(before, tokens), pair_part(before, tokens, self.m.frequent, self.m.parts)
+        if self.m.order == 2:
+            return self._of_each(self.m.pairs, h, part, (1,))[0]
+        out = np.zeros(len(h), np.int64)
+        hot = _is_one_of(before, self.m.frequent)
+        for files, own in ((self.m.pairs, ~hot), (self.m.spread_pairs, hot)):
+            if own.any():
+                out[own] = self._of_each(files, h[own], part[own], (1,))[0]
+        return out
 
     def probabilities(self, before: np.ndarray, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of each token after those before it in its text, and its count in training."""
         m = self.m
-        distinct, code = np.unique(np.concatenate((tokens, before)), return_inverse=True)
+        distinct, code = np.unique(np.append(tokens, BEGIN), return_inverse=True)
         count, distinct_before, n1, n2, n3, total = self.words(distinct)
-        own, ahead = code[: len(tokens)], code[len(tokens) :]
+        own, ahead = code[:-1], np.empty(len(tokens), np.int64)
+        ahead[1:] = own[:-1]
+        ahead[offsets[:-1]] = code[-1]
         unseen = m.free_mass / (m.types + 1)
         p = ((distinct_before - _discount(distinct_before, m.word_discounts)) / max(1, m.predecessors) + unseen)[own]
         p = _interpolated(self.pairs(before, tokens), total[ahead], [n[ahead] for n in (n1, n2, n3)], m.pair_discounts, p)
         if m.order == 3:
             earlier = word_before(before, offsets)
-            context, part = pair_hash(earlier, before), pair_part(earlier, before, m.parts)
+            context, part = pair_hash(earlier, before), triple_part(earlier, before, tokens, m.frequent, m.parts)
             total, *seen = self._of_each(m.contexts, context, part, (1, 1, 0, 0))
             p = _interpolated(self._of_each(m.triples, pair_hash(context, tokens), part, (1,))[0], total, seen, m.triple_discounts, p)
         return p, count[own]
@@ -474,7 +613,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapped = model.mapped()
         for batch in batches:
-            for piece in common.slices(batch, "text"):
+            for piece in common.slices(batch, "text", SCORED_BYTES):
                 before, tokens, offsets = token_stream(common.texts_of(piece.column("text")))
                 p, count = mapped.probabilities(before, tokens, offsets)
                 base = np.log10((count + 1) / (model.tokens + model.types + 1))
