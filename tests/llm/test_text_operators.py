@@ -345,7 +345,8 @@ def third_order_by_force(train):
     return p, uni, stream
 
 
-def test_kneser_ney_of_order_three(spark):
+def test_kneser_ney_of_order_three(spark, monkeypatch):
+    monkeypatch.setattr(kneserney, "SAMPLE", 1)
     rng = random.Random(12)
     rows = edge_rows() + [(i, " ".join(words(rng, rng.randrange(1, 60), 12)).upper() if i % 2 else " ".join(words(rng, 40, 50))) for i in range(300, 400)]
     train = [r for r in rows if r[0] is None or r[0] % 3]
@@ -354,8 +355,9 @@ def test_kneser_ney_of_order_three(spark):
     for i, t, *_ in rows:
         tokens = stream(t)
         want.append((str(i), len(tokens) - 1, sum(math.log10(p(u, v, w)) for u, v, w in zip([None, *tokens], tokens, tokens[1:]))))
-    for parts in (1, 8):
+    for parts in (1, 8, 64):
         model = kneserney.train(documents(spark, train, extra="clash"), parts=parts, order=3)
+        assert parts < 64 or (len(model.frequent) > 5 and model.spread_pairs and model.pairs)
         got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in kneserney.score(documents(spark, rows, extra="clash"), model).collect())
         for a, b in zip(got, sorted(want), strict=True):
             assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
@@ -363,6 +365,17 @@ def test_kneser_ney_of_order_three(spark):
         assert sum(p(u, v, w) for w in uni) + p(u, v, "another unseen") == pytest.approx(1)
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 40, 3000])
+def test_bucketed_keys(n):
+    rng = np.random.default_rng(16)
+    keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64))
+    at, rest = kneserney.bucketed(keys)
+    if len(keys):
+        place, found = kneserney.places(at, rest, np.concatenate((keys[::-1], rng.integers(0, 1 << 63, 500, dtype=np.uint64))))
+        assert found[: len(keys)].all() and (place[: len(keys)] == np.arange(len(keys))[::-1]).all() and not found[len(keys) :].any()
+    assert len(at) == (1 << max(0, (len(keys) // kneserney.BUCKET_KEYS).bit_length())) + 1 and at[-1] == len(keys) and rest.itemsize == 4
+
+
 def test_a_store_that_cannot_be_mapped_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(kneserney, "READ_BYTES", 4000)
     rng = random.Random(13)
