@@ -13,7 +13,8 @@ Buckets are classes with an equal band.  Their pairs are never all emitted:
    components, classes of different ones are compared: in memory, by signature bits, each pair in its first common band
    alone.  What passes leaves the task as one row of partners per class; the full sets of these classes are brought to
    the task again and confirm enough links to join all that belong together.  Buckets larger than a block are compared
-   block against block in tasks of their own; no class and no pair is dropped.
+   block against block in tasks of their own; the blocks of a bucket's largest component meet only those of the others, so
+   a large group with a few outsiders costs its size, not its square.  No class and no pair is dropped.
 
 The estimate from equal low bits is corrected for chance, J = (E - 2^-b) / (1 - 2^-b).  Pairs under 0.60 are dropped: over
 five standard deviations below 0.75, which at exactly 0.75 one pair in ten million falls under.  Confirmation counts the intersection of the sets (100 * common >= 75 * all).
@@ -213,10 +214,16 @@ def _rests(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFra
     """``key, first, second, node, partners``: the classes of each task with candidates in other groups, and the candidates."""
     spark = buckets.sparkSession
     labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "size")
-    rows = labelled.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    mixed = mixed.select("key", F.col("main.label").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("size") - F.col("main.n")).alias("others"))
+    # the classes of the largest component lie in blocks of their own, which meet those of the others but not each other
+    rows, inside = labelled.join(mixed, "key"), F.col("label") == F.col("main")
+    dealt = F.xxhash64("node")
+    block = F.when(inside, F.pmod(dealt, F.col("mains"))).otherwise(F.col("mains") + F.pmod(dealt, F.col("others"))).cast("int")
+    meets = F.sequence(F.when(inside, F.col("mains")).otherwise(0), F.col("mains") + F.col("others") - 1)
+    rows = rows.select("key", "band", "node", "label", block.alias("block"), F.explode(meets).alias("other"))
     rows = rows.select("key", "band", "node", "label", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     rows = rows.join(classes.select("node", "n", "bits", "bands"), "node")
     task = _TASK
