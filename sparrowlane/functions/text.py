@@ -22,6 +22,8 @@ SCRIPTS = {
     "thai": r"\x{0E00}-\x{0E7F}",
     "latin": r"A-Za-z\x{00C0}-\x{024F}",
 }
+#: All but Latin; none begins below U+0400, which is tried before the many ranges.
+OTHER_SCRIPTS = r"[\x{0400}-\x{10FFFF}&&[" + "".join(v for k, v in SCRIPTS.items() if k != "latin") + "]]"
 
 
 def words_in(c: Column, words: list[str]) -> Column:
@@ -108,12 +110,11 @@ def overlap(original: Column, part: Column) -> Column:
 
 
 def script_counts(text: Column) -> dict[str, Column]:
-    return {k: F.length(F.regexp_replace(text, f"[^{v}]", "")) for k, v in SCRIPTS.items()}
+    return {k: F.length(F.regexp_replace(text, f"[^{v}]+", "")) for k, v in SCRIPTS.items()}
 
 
-def detected_language(text: Column, default: str = "en", least: float = 0.5) -> tuple[Column, Column]:
-    """Language by dominant script in a fixed order, and its confidence; below ``least`` the default."""
-    n = script_counts(text)
+def _language_of(n: dict[str, Column], default: str, least: float) -> Column:
+    """struct<language, confidence> by the counts of each script, of which one at least is not 0."""
     letters = sum(n.values(), F.lit(0))
     share = lambda *names: sum((n[x] for x in names), F.lit(0)) / letters
     rules = [
@@ -129,9 +130,26 @@ def detected_language(text: Column, default: str = "en", least: float = 0.5) ->
     language, confidence = F.lit(default), F.lit(0.0)
     for code, fits, sure in reversed(rules):
         language, confidence = F.when(fits, code).otherwise(language), F.when(fits, F.least(sure, F.lit(1.0))).otherwise(confidence)
-    none = letters == 0
-    language = F.when(none | (confidence < least), default).otherwise(language)
-    return F.coalesce(language, F.lit(default)), F.coalesce(F.when(none, 0.0).otherwise(confidence), F.lit(0.0))
+    return F.struct(F.when(confidence < least, default).otherwise(language).alias("language"), confidence.alias("confidence"))
+
+
+def language_and_confidence(text: Column, default: str = "en", least: float = 0.5) -> Column:
+    """struct<language, confidence>: the dominant script in a fixed order; below ``least`` the default.
+
+    A text with no script but Latin has a share of 1, so one look for the others is enough.  The rest are counted once for
+    each script: the lambda holds the counts, which a column used in many places would work out at each of them.
+    """
+    latin_only = _language_of({k: F.lit(int(k == "latin")) for k in SCRIPTS}, default, least)
+    counts = F.array(F.struct(*(c.alias(k) for k, c in script_counts(text).items())))
+    counted = F.transform(counts, lambda n: _language_of({k: n[k] for k in SCRIPTS}, default, least))[0]
+    none = F.struct(F.lit(default).alias("language"), F.lit(0.0).alias("confidence"))
+    return F.when(text.rlike(OTHER_SCRIPTS), counted).when(text.rlike(f"[{SCRIPTS['latin']}]"), latin_only).otherwise(none)
+
+
+def detected_language(text: Column, default: str = "en", least: float = 0.5) -> tuple[Column, Column]:
+    """Both fields of :func:`language_and_confidence`; select that instead where both are wanted."""
+    both = language_and_confidence(text, default, least)
+    return both["language"], both["confidence"]
 
 
 def log_snippet(text: Column) -> Column:

@@ -464,6 +464,53 @@ def test_languages_of_other_scripts(spark):
     assert all(r["want"] == r["got"] for r in df.select("want", T.detected_language(F.col("text"))[0].alias("got")).collect())
 
 
+def _scripts_of(text):
+    """Language and confidence by a plain loop over the characters."""
+    import re
+
+    n = {k: len(re.findall("[" + re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), v) + "]", text or "")) for k, v in T.SCRIPTS.items()}
+    total = sum(n.values())
+    japanese = n["kana"] + n["cjk"]
+    if not total:
+        return "en", 0.0
+    if n["kana"] and japanese / total > 0.3:
+        found = "ja", japanese / total
+    elif n["hangul"] / total > 0.3:
+        found = "ko", n["hangul"] / total
+    elif not n["kana"] and n["cjk"] / total > 0.3:
+        found = "zh", n["cjk"] / total
+    else:
+        named = {"ru": "cyrillic", "ar": "arabic", "hi": "devanagari", "th": "thai"}
+        found = next(((k, n[v] / total) for k, v in named.items() if n[v] / total > 0.3), None)
+        found = found or (("en", n["latin"] / total * 0.6) if n["latin"] / total > 0.5 else ("en", 0.0))
+    return (found[0] if found[1] >= 0.5 else "en"), found[1]
+
+
+def _mixed_texts(n=400):
+    import random
+
+    draw = random.Random(7)
+    pools = ["abcXYZéü", " \n.,-", "0123", "漢字一龥", "\U00020000\U0002a6df", "ひらカナー", "한글ᄀㄱ", "Жизнь", "سلامݐ", "हिन्दी", "ไทย", "\U0001f600✓’—", "×÷ƒɏɐʰαβ", "ϿЀӿԀ〿぀ヿ"]
+    mixed = ["".join(draw.choice(draw.choice(few)) for _ in range(draw.randint(1, 40))) for few in (draw.sample(pools, draw.randint(1, 4)) for _ in range(n))]
+    return [None, "", " 12 ", "plain", "naïve café", "’—", *mixed]
+
+
+def _times(df, what):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_language_histogram_counts_each_script_once(spark, tmp_path):
+    from collections import Counter
+
+    from sparrowlane import registry
+
+    texts = _mixed_texts()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["AGG-27"](spark, str(tmp_path))
+    assert _times(got, "regexp_replace") <= len(T.SCRIPTS)
+    assert {r["language"]: r["n"] for r in got.collect()} == Counter(_scripts_of(t)[0] for t in texts)
+
+
 def test_presets_and_read_api(spark, tiny):
     from sparrowlane.functions.presets import PRESETS, preset
     from sparrowlane.sources.api import ReadApi
