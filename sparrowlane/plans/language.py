@@ -96,8 +96,8 @@ _LATIN = r"length(regexp_replace(text, '[^A-Za-z\x{00C0}-\x{024F}]', '', 'g'))"
 @query("STR-7", f"SELECT doc_id, 'en' AS language, {R(f'CASE WHEN {_LATIN} > 0 THEN 0.6 ELSE 0 END')} AS confidence FROM documents")
 def detected_languages(spark: SparkSession, d: str) -> DataFrame:
     """All texts of the tables are Latin; the other scripts are tested on literal rows."""
-    language, confidence = T.detected_language(F.col("text"))
-    return _docs(spark, d).select("doc_id", language.alias("language"), r6(confidence).alias("confidence"))
+    found = _docs(spark, d).select("doc_id", T.language_and_confidence(F.col("text")).alias("found"))
+    return found.select("doc_id", "found.language", r6("found.confidence").alias("confidence"))
 
 
 @query("AGG-27", "SELECT 'en' AS language, count(*) AS n FROM documents")

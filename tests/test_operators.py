@@ -511,6 +511,17 @@ def test_language_histogram_counts_each_script_once(spark, tmp_path):
     assert {r["language"]: r["n"] for r in got.collect()} == Counter(_scripts_of(t)[0] for t in texts)
 
 
+def test_detected_languages_read_each_text_once(spark, tmp_path):
+    from sparrowlane import registry
+
+    texts = _mixed_texts()
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["STR-7"](spark, str(tmp_path))
+    assert _times(got, "regexp_replace") <= len(T.SCRIPTS) and _times(got, "RLIKE") <= 2
+    rows = {r["doc_id"]: (r["language"], r["confidence"]) for r in got.collect()}
+    assert rows == {i: (language, pytest.approx(confidence, abs=1e-6)) for i, (language, confidence) in enumerate(map(_scripts_of, texts))}
+
+
 def test_presets_and_read_api(spark, tiny):
     from sparrowlane.functions.presets import PRESETS, preset
     from sparrowlane.sources.api import ReadApi
