@@ -51,10 +51,13 @@ def retrieved(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SRC-5", "WITH u AS (SELECT l_orderkey AS k, arg_max(l_extendedprice, l_linenumber) AS v FROM lineitem GROUP BY l_orderkey) SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey NOT IN (SELECT k FROM u) UNION ALL SELECT k, v FROM u")
 def upserted(spark: SparkSession, d: str) -> DataFrame:
-    """Line items update order rows; the last line wins."""
+    """Line items update order rows; the last line with a price wins, and of lines of one number the first in the table."""
     base = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    updates = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_extendedprice").alias("v"), F.col("l_linenumber").alias("version"))
-    return C.upserted(base, updates, "k")
+    price, line = F.col("l_extendedprice"), F.col("l_linenumber")
+    known = price.isNotNull() & line.isNotNull()
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    updates = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.when(known, price).alias("v"), F.when(known, line).alias("version"), *place)
+    return C.upserted(base, updates, "k", ("file", "row"))
 
 
 @query("SRC-6", f"WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS point_id, {_VALID} AS good FROM embeddings) SELECT vec_id, point_id, (point_id // 100)::BIGINT AS batch, bool_and(good) OVER (PARTITION BY point_id // 100) AS accepted FROM o")

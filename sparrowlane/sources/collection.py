@@ -46,9 +46,12 @@ def retrieved(rows: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
     return wanted.join(rows, wanted["id"] == rows[id_col]).drop("id")
 
 
-def upserted(base: DataFrame, updates: DataFrame, id_col: str) -> DataFrame:
-    """Updates replace rows of the same id; of several updates the last version wins (column ``version``)."""
-    last = updates.withColumn("__r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("version").desc()))).where("__r = 1").drop("__r", "version")
+def upserted(base: DataFrame, updates: DataFrame, id_col: str, place: tuple[str, ...] = ()) -> DataFrame:
+    """Updates replace rows of the same id; of several updates the last version wins (column ``version``).
+
+    Of updates of one version the first by the columns ``place`` wins, which the result does not have; without them any may.
+    """
+    last = updates.withColumn("__r", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col("version").desc(), *place))).where("__r = 1").drop("__r", "version", *place)
     return base.join(last.select(id_col), id_col, "left_anti").unionByName(last)
 
 

@@ -391,6 +391,26 @@ def test_collections(spark, tmp_path):
     assert {(r["id"], r["x"]) for r in collection.upserted(base, news, "id").collect()} == {(1, "a"), (2, "d"), (3, "e")}
 
 
+def test_upserts_of_one_version_take_the_first_row_of_the_table(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from sparrowlane import registry
+
+    def put(name, **columns):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        pq.write_table(pa.table(columns), tmp_path / name)
+
+    put("orders.parquet", o_orderkey=list(range(12)), o_totalprice=[-1.0] * 12)
+    # the second file is larger, so Spark reads it before the first; no line 2 has a price
+    put("lineitem.parquet/a.parquet", l_orderkey=[*range(10), *range(5)], l_linenumber=pa.array([1] * 10 + [2] * 5, pa.int32()), l_extendedprice=[*map(float, range(10)), *[None] * 5])
+    put("lineitem.parquet/b.parquet", l_orderkey=[k % 10 for k in range(20_000)], l_linenumber=pa.array([1] * 20_000, pa.int32()), l_extendedprice=[100.0 + k for k in range(20_000)])
+    got = {r["k"]: r["v"] for r in registry.queries()["SRC-5"](spark, str(tmp_path)).collect()}
+    assert got == {k: float(k) for k in range(10)} | {10: -1.0, 11: -1.0}
+    news = spark.createDataFrame([(1, "late", 1, 9), (1, "first", 1, 2), (1, "old", 0, 1)], "id long, x string, version int, at int")
+    assert [tuple(r) for r in collection.upserted(spark.createDataFrame([(1, "a")], "id long, x string"), news, "id", ("at",)).collect()] == [(1, "first")]
+
+
 def test_checkpoints(spark, tmp_path):
     store = Checkpoints(spark, f"file://{tmp_path}/versions")
     assert store.names() == []
